@@ -207,7 +207,8 @@ def merge_sketch(parts: DataFrame, bits: int, depth: int) -> RepeatSketch:
         now, once, twice = None, None, None
 
         def row():
-            return pa.RecordBatch.from_pydict({"block": [now], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
+            bits_ = np.packbits(twice, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits_])], names=["block", "bits"])
 
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):

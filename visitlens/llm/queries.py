@@ -4,24 +4,49 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing
-from .common import table
+from . import langid, mixing, packing, quality, substring
+from .common import crc_mod, table
 
 
 def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 4) == 2
+    learnt = langid.learn(docs.where(~held).select("doc_id", "text", "lang"))
+    return langid.identify(docs, learnt).select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", "quality")
+    model = quality.learn(docs.join(labels, "doc_id"))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
+    "op2_zstd_language": op2_zstd_language,
+    "op4_boosted_quality": op4_boosted_quality,
+    "op7_count_min_substrings": op7_count_min_substrings,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
+    "op7_count_min_substrings": substring.oracle_sql(),
     "op10_source_mix": mixing.oracle_sql(),
 }
