@@ -25,6 +25,9 @@ from pyspark.sql.window import Window
 
 BLOCK = 4096
 LEVEL = 6
+#: the coder stores tiny inputs as they are; texts under SHORT bytes are encoded behind
+#: PAD bytes of each dictionary, less what those take alone
+SHORT, PAD = 256, 512
 UNKNOWN = "und"
 #: all bytes but ASCII lower-case letters and those of longer characters become blanks
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,6 +60,18 @@ def learn(rows: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 65_53
     return {k: v[:dictionary_bytes] for k, v in out.items() if v}
 
 
+def encoded_sizes(data: bytes, coders: list, pads: list[tuple[bytes, int]]) -> list[int]:
+    """Bytes that each language's coder takes for the normalised text."""
+    if len(data) < SHORT:
+        return [len(c.compress(pad + data)) - alone for c, (pad, alone) in zip(coders, pads)]
+    sizes = [0] * len(coders)
+    for lo in range(0, len(data), BLOCK):
+        part = data[lo : lo + BLOCK]
+        for k, c in enumerate(coders):
+            sizes[k] += len(c.compress(part)) - 6
+    return sizes
+
+
 def _compressors(dictionaries: dict[str, bytes], level: int) -> list:
     import zstandard as z
 
@@ -82,6 +97,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _compressors(shared.value, level)
+        pads = [(d[:PAD] + b" ", len(c.compress(d[:PAD] + b" "))) for c, d in zip(made, shared.value.values())]
         for batch in batches:
             lang, score, margin, rejected = [], [], [], []
             for value in batch.column(0):
@@ -90,11 +106,7 @@ def identify(
                 if not letter or not made:
                     row = (UNKNOWN, 0.0, 0.0, True)
                 else:
-                    sizes = [0] * len(made)
-                    for lo in range(0, len(data), BLOCK):
-                        part = data[lo : lo + BLOCK]
-                        for k, c in enumerate(made):
-                            sizes[k] += len(c.compress(part)) - 6
+                    sizes = encoded_sizes(data, made, pads)
                     order = sorted(range(len(made)), key=lambda k: (sizes[k], k))
                     best, second = sizes[order[0]], sizes[order[1]] if len(order) > 1 else len(data)
                     m = max(0.0, (second - best) / max(1, second))
