@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, substring
+from . import divergence, langid, licences, mixing, ngram_join, packing, quality, substring, vector_dups
 from .common import crc_mod, table
 
 
@@ -21,6 +21,10 @@ def op2_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learnt).select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op3_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod("doc_id", 5) == 0
@@ -29,11 +33,24 @@ def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = divergence.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,12 +58,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_zstd_language": op2_zstd_language,
+    "op3_subspace_vectors": op3_subspace_vectors,
     "op4_boosted_quality": op4_boosted_quality,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_divergence_rules": op6_divergence_rules,
     "op7_count_min_substrings": op7_count_min_substrings,
+    "op8_licence_sentences": op8_licence_sentences,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
+    "op3_subspace_vectors": vector_dups.oracle_sql(),
+    "op5_ngram_jaccard": ngram_join.oracle_sql(),
+    "op8_licence_sentences": licences.oracle_sql(),
     "op7_count_min_substrings": substring.oracle_sql(),
     "op10_source_mix": mixing.oracle_sql(),
 }
