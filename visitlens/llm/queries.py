@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, langid, licences, mixing, ngram_join, packing, quality, substring, vector_dups
+from . import divergence, hpylm, langid, licences, mixing, ngram_join, packing, quality, substring, vector_dups
 from .common import crc_mod, table
 
 
@@ -51,6 +51,13 @@ def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    rows = hpylm.score(docs, docs.where(~held))
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +71,7 @@ QUERIES = {
     "op6_divergence_rules": op6_divergence_rules,
     "op7_count_min_substrings": op7_count_min_substrings,
     "op8_licence_sentences": op8_licence_sentences,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_source_mix": op10_source_mix,
 }
 
