@@ -174,28 +174,32 @@ def sketch_cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def sketch_parts(hashes: np.ndarray, bits: int, depth: int) -> Iterator[tuple[int, bytes]]:
-    """Of one task's values: (block, payload) with the cells hit, and how often up
-    to two, as sorted differences."""
+    """Of one task's values: (block, payload) with the cells hit, as sorted differences,
+    and a bit for each whether it was hit more than once."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
     for r in range(depth):
         cell, n = np.unique(sketch_cell(hashes, r, bits), return_counts=True)
-        code = (cell << _U(1)) | (n > 1).astype(_U)
         edges = np.searchsorted(cell, np.arange(0, (1 << bits) + 1, 1 << BLOCK_BITS).astype(_U))
         for k in range(len(edges) - 1):
-            part = code[edges[k] : edges[k + 1]]
+            part = cell[edges[k] : edges[k + 1]]
             if len(part):
-                d = np.diff(part - _U(k << (BLOCK_BITS + 1)), prepend=_U(0))
-                small = d < 255
-                yield (r << (bits - BLOCK_BITS)) + k, (
-                    np.int32(len(d)).tobytes() + np.where(small, d, 255).astype(np.uint8).tobytes() + d[~small].astype(np.uint32).tobytes()
-                )
+                d = np.diff(part - _U(k << BLOCK_BITS), prepend=_U(0))
+                many = np.packbits(n[edges[k] : edges[k + 1]] > 1)
+                small = np.minimum(d, 255).astype(np.uint8)
+                yield (r << (bits - BLOCK_BITS)) + k, pack(np.int32(len(d)).tobytes() + small.tobytes() + many.tobytes() + d[d >= 255].astype(np.uint32).tobytes())
 
 
 def _cells(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    payload = zstandard.decompress(payload)
     n = int(np.frombuffer(payload, np.int32, 1)[0])
     d = np.frombuffer(payload, np.uint8, n, 4).astype(np.int64)
-    d[d == 255] = np.frombuffer(payload, np.uint32, -1, 4 + n)
-    code = np.cumsum(d)
-    return code >> 1, (code & 1) == 1
+    many = np.unpackbits(np.frombuffer(payload, np.uint8, (n + 7) // 8, 4 + n), count=n).astype(bool)
+    d[d == 255] = np.frombuffer(payload[4 + n + (n + 7) // 8 :], np.uint32)
+    return np.cumsum(d), many
 
 
 def merge_sketch(parts: DataFrame, bits: int, depth: int) -> RepeatSketch:
