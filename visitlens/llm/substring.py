@@ -70,8 +70,8 @@ def repeat_sketch(docs: DataFrame, window: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``carry``, n_words, n_removed and kept_text (the kept words
-    joined by one blank), one row per row of docs."""
+    """doc_id, the columns of ``carry`` (text may be one), n_words, n_removed and
+    kept_text (the kept words joined by one blank), one row per row of docs."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
     sketch = spark.sparkContext.broadcast(repeat_sketch(rows, window))
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
         .agg(F.collect_list("h1").alias("firsts"))
     )
     joined = rows.join(found, F.coalesce(rows.doc_id, F.lit(last)) == found.doc, "left").drop("doc")
-    schema = rows.drop("text").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
+    schema = (rows if "text" in carry else rows.drop("text")).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     result = list(schema.fields)
     return joined.mapInArrow(kept, schema)
 
