@@ -17,6 +17,7 @@ often as they occur; an empty table gives an empty table; other columns are igno
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +29,9 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-CACHE_WORDS = 400_000  # entries kept by a worker before it starts its cache anew
+CACHED = 800_000  # entries which each of a worker's caches holds before it starts anew
 
-_TOKENIZERS: dict[str, tuple] = {}
+_ENCODERS: dict[str, "_Encoder"] = {}
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -39,59 +40,83 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(name: str):
-    """A worker's tokenizer and its cache of encoded words: little-endian 32-bit ids by
-    a word with the blank before it."""
-    if name not in _TOKENIZERS:
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: visible Latin-1
+    characters stand for themselves, the others follow after 255 in order."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids (little-endian unsigned 32-bit) of the vocabulary's own pre-tokens, from the
+    tokenizer's model."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tokenize = tok.model.tokenize
+        self.letters = _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class _Parts(dict):
+    """Ids of a text's parts between single blanks, each with the blank before it."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        out = self[part] = self.encode(" " + part)
+        return out
+
+
+class _Encoder:
+    """A worker's tokenizer behind two caches.
+
+    The vocabulary's pattern splits before each blank that stands alone, so a text
+    without two blanks in a row is the concatenation of its blank-led parts. A part is
+    split by the pattern, and every distinct pre-token is encoded once. Beyond the Latin
+    letters, where two libraries' character tables may differ, the tokenizer splits."""
+
+    def __init__(self, name: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_file(name))
-        tok.encode_special_tokens = True
-        _TOKENIZERS[name] = (tok, {}, {})
-    return _TOKENIZERS[name]
-
+        self.tok = Tokenizer.from_file(tokenizer_file(name))
+        self.tok.encode_special_tokens = True
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.piece = _Pieces(self.tok).__getitem__
+        self.part = _Parts(self.by_pattern).__getitem__
 
-def _ids(tok, texts: list[str]) -> list[bytes]:
-    return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def by_pattern(self, text: str) -> bytes:
+        if text and max(text) > "\u024f":
+            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.piece, self.split(text)))
 
+    def __call__(self, text: str) -> bytes:
+        parts = text.split(" ")
+        if "" in parts:
+            return self.by_pattern(text)
+        return self.by_pattern(parts[0]) + b"".join(map(self.part, parts[1:]))
 
-def encode_texts(texts: list[str], name: str = "byte_bpe_50k.json") -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit bytes.
 
-    A byte-level vocabulary splits before each blank that stands alone, so a text
-    without two blanks in a row is the concatenation of its blank-led parts; each
-    distinct part is encoded once per worker. Other texts are encoded as they are."""
-    tok, first, later = _tokenizer(name)
-    out: list = [None] * len(texts)
-    split, whole = {}, []
-    for i, t in enumerate(texts):
-        parts = t.split(" ")
-        if "" in parts:
-            whole.append(i)
-        else:
-            split[i] = parts
-    if len(later) > CACHE_WORDS:
-        later.clear()
-    new = {p for parts in split.values() for p in parts[1:]}.difference(later)
-    if new:
-        new = list(new)
-        later.update(zip(new, _ids(tok, [" " + p for p in new])))
-    heads = {parts[0] for parts in split.values()}.difference(first)
-    if len(first) > CACHE_WORDS:
-        first.clear()
-        heads = {parts[0] for parts in split.values()}
-    if heads:
-        heads = list(heads)
-        first.update(zip(heads, _ids(tok, heads)))
-    get = later.__getitem__
-    for i, parts in split.items():
-        out[i] = first[parts[0]] + b"".join(map(get, parts[1:]))
-    for i, ids in zip(whole, _ids(tok, [texts[i] for i in whole]) if whole else ()):
-        out[i] = ids
-    return out
+def encoder(name: str = "byte_bpe_50k.json") -> _Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS[name] = _Encoder(name)
+    return _ENCODERS[name]
 
 
 def pieces(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1) -> DataFrame:
@@ -100,19 +125,19 @@ def pieces(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k.j
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(texts), 500):
-                rows: list[tuple] = []
-                for doc, data in zip(ids[lo : lo + 500], encode_texts([t or "" for t in texts[lo : lo + 500].to_pylist()], tokenizer)):
-                    data += end
-                    n = len(data) // 4
-                    for s in range(0, n, window):
-                        part = data[4 * s : 4 * (s + window)]
-                        rows.append((doc, s, len(part) // 4, zlib.crc32(part), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                )
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = encode(text.as_py() or "") + end
+                n = len(data) // 4
+                for s in range(0, n, window):
+                    part = data[4 * s : 4 * (s + window)]
+                    rows.append((doc, s, len(part) // 4, zlib.crc32(part), n))
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            )
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
