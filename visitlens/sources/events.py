@@ -164,10 +164,10 @@ def legacy_logs(spark: SparkSession, sf_dir: str, clicks: bool = False) -> DataF
     raw = raw_events(spark, sf_dir).where(F.col("event_type").isin("click") if clicks else F.col("event_type") == "page_view")
     n = F.regexp_extract("event_id", r"\d+", 0).cast("long")
     rows = raw.select(
-        n.alias("id"), F.when(n % 11 == 0, F.lit(None)).otherwise(F.lit("e")).alias("mark"),
+        n.alias("id"), F.when(n % 11 != 0, F.concat(F.lit("k:"), n.cast("string"))).alias("event_id"),
         F.when(n % 13 != 0, F.col("event_time")).alias("local_time"), F.when(n % 26 != 0, F.col("server_time")).alias("created_at"),
         F.when(n % 5 == 0, "").otherwise("page_view").alias("event"), F.concat(F.lit(" "), F.col("ua_raw")).alias("ua"), F.col("ip_raw").alias("ip"),
         F.col("geo_hint.country").alias("country"), F.coalesce("geo_hint.region", F.lit("")).alias("region"), F.col("geo_hint.city").alias("city"),
         F.col("geo_hint.lat").alias("latitude"), F.col("geo_hint.lng").alias("longitude"), "target_url",
     )
-    return rows.withColumn("event_id", F.when(F.col("mark").isNull(), F.concat(F.lit("k:"), F.col("id").cast("string")))).drop("mark")
+    return rows
