@@ -198,7 +198,7 @@ def property_text(props: Column, key: str) -> Column:
 def bounded_int(props: Column, key: str, most: int) -> Column:
     """A number, rounded down, held within 0 and ``most``; null if it is none."""
     n = F.try_element_at(props, F.lit(key)).try_cast("double")
-    return F.when(~F.isnan(n), F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.floor(n).cast("double"))).cast("int"))
+    return F.when(n.isNotNull() & ~F.isnan(n), F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.floor(n).cast("double"))).cast("int"))
 
 
 def bounded_int_strict(props: Column, key: str, most: int) -> Column:
