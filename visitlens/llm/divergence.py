@@ -144,3 +144,42 @@ def judge(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"),
         F.col("near.c").alias("class_distance"), F.col("near.w").alias("word_distance"),
     )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the base counts and the verdict, for unique doc_ids."""
+    strips = "\n".join(f"s{k + 1} as materialized (select *, regexp_replace(t{k}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g') as t{k + 1} from s{k})," for k, p in enumerate(_STRIP))
+    n = len(_STRIP)
+    classes = ", ".join([f"length(t{k}) - length(t{k + 1})" for k in range(n)] + [f"length(t{n})"])
+    common = ", ".join(f"len(list_filter(low, lambda x: x = '{c}'))" for c in COMMON)
+
+    listed = ", ".join(f"'{c}'" for c in COMMON)
+
+    def sums(column: str, k: int) -> str:
+        return ", ".join(f"sum({column}[{i + 1}])" for i in range(k))
+
+    def js(p: str, q: str, k: int) -> str:
+        half = f"(({p}[i] + {q}[i]) / 2)"
+        part = [f"case when {x}[i] > 0 then {x}[i] * log2({x}[i] / {half}) else 0.0 end" for x in (p, q)]
+        return f"sqrt(greatest(0.0, list_sum(list_transform(range(1, {k + 1}), lambda i: ({part[0]} + {part[1]}) / 2))))"
+
+    return f"""
+with s0 as (select doc_id, lang, coalesce(text, '') as t0 from documents),
+{strips}
+w as materialized (select doc_id, lang, t0, regexp_extract_all(t0, '[^\\x20\\x09-\\x0D]+') as words, list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines,
+        list_filter(regexp_extract_all(lower(t0), '[^\\x20\\x09-\\x0D]+'), lambda x: x in ({listed})) as low, [{classes}] as cls from s{n}),
+c as materialized (select doc_id, lang, len(words)::bigint as n_words, (list_sum(cls) - cls[2])::bigint as word_chars, cls[3]::bigint as n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, cls, [{common}] as com from w),
+e as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+g as (select doc_id, i, word as a, lead(word) over o as b, lead(word, 2) over o as c from e window o as (partition by doc_id order by i)),
+h as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from g where c is not null),
+r as (select doc_id, count(distinct p)::bigint as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from h where n > 1) group by doc_id),
+f as (select lang, sum(n_words) as n, [{sums('cls', n + 1)}] as cls, [{sums('com', len(COMMON))}] as com from c where lang is not null group by lang having sum(n_words) > 0),
+q as (select lang, list_transform(cls, lambda x: x / list_sum(cls)) as qc, list_transform(list_append(com, n - list_sum(com)), lambda x: x / n) as qw from f),
+p as (select doc_id, list_transform(cls, lambda x: x / list_sum(cls)) as pc, list_transform(list_append(com, n_words - list_sum(com)), lambda x: x / n_words) as pw from c where n_words > 0),
+j as (select doc_id, {js('pc', 'qc', n + 1)} as dc, {js('pw', 'qw', len(COMMON) + 1)} as dw from p, q),
+m as (select doc_id, arg_min(dc, dc + dw) as dc, arg_min(dw, dc + dw) as dw from j group by doc_id),
+b as (select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words, dc, dw from c left join r using (doc_id) left join m using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and coalesce(dc, 0) <= {MAX_CLASS_DISTANCE} and (n_words < {MIN_COMMON_WORDS} or coalesce(dw, 0) <= {MAX_WORD_DISTANCE}) as kept
+from b"""

@@ -78,6 +78,7 @@ QUERIES = {
 ORACLES = {
     "op3_subspace_vectors": vector_dups.oracle_sql(),
     "op5_ngram_jaccard": ngram_join.oracle_sql(),
+    "op6_divergence_rules": divergence.oracle_sql(),
     "op8_licence_sentences": licences.oracle_sql(),
     "op7_count_min_substrings": substring.oracle_sql(),
     "op10_source_mix": mixing.oracle_sql(),
