@@ -7,8 +7,8 @@ Jaccard 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each. Shingle
 document only need not be sent, so a document with more than a fifth of its own shingles
 sends nothing. Sets that share a key are compared in two steps.
 
-1. Each set with one or two pivots of its keys' groups. This resolves groups of copies
-   with a number of pairs in proportion to their members.
+1. Each set with one or two pivots of its keys' groups, in three rounds under different
+   orders. This resolves groups of copies with pairs in proportion to their members.
 2. What is left of a key's group, if it is in more than one component, in tiles: the
    sets of a size band and of the band below (sizes further apart cannot reach 0.8),
    pair by pair on hashed bitmaps. The bits which only one of two has bound the overlap
@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,10 @@ from .tiles import tiled
 
 WORDS = 5
 PERCENT = 80
-SIGNATURE_WORDS = 16  # of 64 bits
+SIGNATURE_WORDS = 16  # of 64 bits, in tiles
+SHARP_WORDS = 64  # of 64 bits, for the pairs that are left
+#: extra rounds of pivots, each under another order of the sets
+PIVOT_ORDERS = (0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 CELLS_PER_SHINGLE, MOST_BITS = 1.0, 27
 FLUSH = 4_000_000
 
@@ -75,9 +77,9 @@ def set_ids(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(np.uint64)).view(np.int64)
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    bit = grams & np.uint64(64 * SIGNATURE_WORDS - 1)
-    out = np.zeros(64 * SIGNATURE_WORDS, bool)
+def signature(grams: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
+    bit = grams & np.uint64(64 * words - 1)
+    out = np.zeros(64 * words, bool)
     out[bit.astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
@@ -118,9 +120,9 @@ def _survey(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(sid, n, keys, sig, grams) of each document that has a key to send."""
+    """(sid, n, keys, sig, sharp, grams) of each document that has a key to send."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2**MOST_BITS bits at most
-    names = ["sid", "n", "keys", "sig", "grams"]
+    names = ["sid", "n", "keys", "sig", "sharp", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,16 +137,16 @@ def _keyed(docs: DataFrame, sketch, percent: int) -> DataFrame:
                     continue
                 sid = set_ids(grams, edge)[pick]
                 keys = [grams[edge[i] : edge[i + 1]][again[edge[i] : edge[i + 1]]][: send[i]] for i in pick]
-                sig = np.concatenate([signature(grams[edge[i] : edge[i + 1]]) for i in pick])
+                sig, sharp = (np.concatenate([signature(grams[edge[i] : edge[i + 1]], w) for i in pick]) for w in (SIGNATURE_WORDS, SHARP_WORDS))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(sid), pa.array(n[pick]), _long_lists(np.concatenate(keys), np.array([len(k) for k in keys])),
-                        _long_lists(sig, np.full(len(pick), SIGNATURE_WORDS)), _long_lists(grams[ranges(edge[pick], edge[pick + 1])], n[pick]),
+                        _long_lists(sig, np.full(len(pick), SIGNATURE_WORDS)), _long_lists(sharp, np.full(len(pick), SHARP_WORDS)), _long_lists(grams[ranges(edge[pick], edge[pick + 1])], n[pick]),
                     ],
                     names=names,
                 )
 
-    schema = "sid long, n long, keys array<long>, sig array<long>, grams array<long>"
+    schema = "sid long, n long, keys array<long>, sig array<long>, sharp array<long>, grams array<long>"
     return docs.select("text").mapInArrow(run, schema)
 
 
@@ -156,54 +158,109 @@ def _overlap_bound(na: Column, nb: Column, a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by size, bitmap bound and exact intersection."""
-    one = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("grams").alias("gb"))
-    two = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("grams").alias("ga"))
-    both = pairs.join(one, "b").join(two, "a")
-    na, nb = F.col("na"), F.col("nb")
+    """The pairs (a, b) whose sets link: by size and the bound of sharp bitmaps first,
+    and the arrays of those that pass by exact intersection."""
 
     def enough(overlap: Column) -> Column:
-        return 100 * overlap >= percent * (na + nb - overlap)
+        return 100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)
+
+    def side(x: str, column: str) -> DataFrame:
+        return sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"v{x}"))
 
-    both = both.where(enough(F.least(na, nb))).where(enough(_overlap_bound(na, nb, "sa", "sb")))
-    return both.where(enough(F.size(F.array_intersect("ga", "gb")))).select("a", "b")
+    na, nb = F.col("na"), F.col("nb")
+    near = pairs.join(side("b", "sharp"), "b").join(side("a", "sharp"), "a")
+    near = near.where(enough(F.least(na, nb))).where(enough(_overlap_bound(na, nb, "va", "vb"))).select("a", "b")
+    near = stored(near, "near-pairs")
+    both = near.join(side("b", "grams"), "b").join(side("a", "grams"), "a")
+    return both.where(enough(F.size(F.array_intersect("va", "vb")))).select("a", "b")
+
+
+def _pairs_in_groups(group: np.ndarray, cols: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by group, the pairs of a group that may link: all rows against
+    those a fixed distance behind them, distance by distance."""
+    sid, n, comp, visitor, salt, split, sig = (cols[c] for c in ("sid", "n", "comp", "visitor", "salt", "split", "sig"))
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live = np.arange(len(group))
+    distance = 1
+    while True:
+        live = live[live + distance < len(group)]
+        live = live[group[live] == group[live + distance]]
+        if not len(live):
+            return np.concatenate(out_a), np.concatenate(out_b)
+        i, j = live, live + distance
+        ok = (comp[i] != comp[j]) & ~(visitor[i] & visitor[j]) & (~split[i] | (salt[i] != salt[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        if len(i):
+            alone_i = np.bitwise_count(sig[i] & ~sig[j]).sum(1, dtype=np.int64)
+            alone_j = np.bitwise_count(sig[j] & ~sig[i]).sum(1, dtype=np.int64)
+            common = np.minimum(n[i] - alone_i, n[j] - alone_j)
+            ok = 100 * common >= percent * (n[i] + n[j] - common)
+            out_a.append(np.minimum(sid[i], sid[j])[ok])
+            out_b.append(np.maximum(sid[i], sid[j])[ok])
+        distance += 1
+
+
+TILE_KEYS = ["h", "band", "ti", "tj"]
 
 
 def _tile_pairs(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sid")
-        n, comp, visitor, salt = (pdf[c].to_numpy() for c in ("n", "comp", "visitor", "salt"))
-        sid, sig = pdf["sid"].to_numpy(), np.array(pdf["sig"].tolist(), np.int64).view(np.uint64)
-        split = len(pdf) and pdf["ti"].iloc[0] != pdf["tj"].iloc[0]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(pdf) - 1):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ~(visitor[i + 1 :] & visitor[i])) + i + 1
-            if split:
-                j = j[salt[j] != salt[i]]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            if len(j):
-                common = np.minimum(n[i] - np.bitwise_count(sig[i] & ~sig[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(sig[j] & ~sig[i]).sum(1, dtype=np.int64))
-                j = j[100 * common >= percent * (n[i] + n[j] - common)]
-                out.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])))
-        a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({"a": a, "b": b})
+    """Rows sorted by tile -> candidate pairs. What is held is a batch and the tile
+    that it ends in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+
+        def pairs(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+            keys = np.stack([cols[k] for k in TILE_KEYS], 1)
+            group = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
+            a, b = _pairs_in_groups(group, cols | {"split": cols["ti"] != cols["tj"]}, percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*TILE_KEYS, "sid", "n", "comp", "visitor", "salt")}
+            new = {c: v if c == "visitor" else v.astype(np.int64) for c, v in new.items()}
+            new["sig"] = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
+            cols = new if rest is None else {c: np.concatenate([rest[c], new[c]]) for c in new}
+            if not len(cols["h"]):
+                continue
+            last = np.logical_and.reduce([cols[k] == cols[k][-1] for k in TILE_KEYS])
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            yield pairs({c: v[:cut] for c, v in cols.items()})
+            rest = {c: v[cut:] for c, v in cols.items()}
+        if rest is not None:
+            yield pairs(rest)
 
     return run
 
 
-def _rest_pairs(keys: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Step 2: candidate pairs of different components, from tiles."""
+def _mixed_members(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of those keys whose sets are in more than one component, with it."""
     member = keys.join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     member = stored(member.select("h", "sid", "n", "comp"), "members")
     mixed = stored(member.groupBy("h").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("h"), "mixed")
-    rows = stored(member.join(mixed, "h"), "mixed-members")
+    return stored(member.join(mixed, "h"), "mixed-members")
+
+
+def _star(rows: DataFrame, order: int) -> DataFrame:
+    """Each set with one or two pivots of other components: the first set of a key's
+    group under the order."""
+    rank = F.col("sid").bitwiseXOR(F.lit(order))
+    pivots = rows.groupBy("h").agg(F.min(rank).alias("r"), F.min_by("comp", rank).alias("pc"))
+    pivots = stored(pivots.select("h", F.col("r").bitwiseXOR(F.lit(order)).alias("p"), "pc"), "pivots")
+    star = rows.join(pivots, "h").where("comp <> pc").groupBy("sid").agg(F.min("p").alias("p"), F.max("p").alias("q"))
+    return stored(star.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("a"), F.col("sid").alias("b")), "star")
+
+
+def _tile_candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 2: candidate pairs of different components, from tiles."""
     rows = rows.join(sets.select("sid", "sig"), "sid")
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     home = F.struct(band.alias("band"), F.lit(False).alias("visitor"))
     above = F.struct((band + 1).alias("band"), F.lit(True).alias("visitor"))
     rows = rows.withColumn("at", F.explode(F.array(home, above))).select("h", "sid", "n", "comp", "sig", "at.band", "at.visitor")
     rows = tiled(stored(rows, "banded"), ["h", "band"], "sid", "ngram")
-    return rows.groupBy("h", "band", "ti", "tj").applyInPandas(_tile_pairs(percent), "a long, b long").distinct()
+    rows = rows.select(*TILE_KEYS, "sid", "n", "comp", "visitor", "salt", "sig")
+    return rows.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -217,12 +274,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sets = stored(_keyed(docs, sketch, percent).dropDuplicates(["sid"]), "sets")
     keys = sets.select(F.explode("keys").alias("h"), "sid", "n")
-    pivots = stored(keys.groupBy("h").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).where("p <> q").select("h", "p"), "pivots")
-    star = keys.join(pivots, "h").where("sid <> p").groupBy("sid").agg(F.min("p").alias("p"), F.max("p").alias("q"))
-    star = stored(star.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("a"), F.col("sid").alias("b")), "star")
-    links = stored(verified(star, sets, percent), "links")
-    found = components(links, "sets")
-    more = stored(verified(stored(_rest_pairs(keys, sets, found, percent), "rest"), sets, percent), "more-links")
+    none = sets.select(F.col("sid").alias("id"), F.col("sid").alias("component"))
+    rows, links, found = _mixed_members(keys, none), None, none
+    for order in (0, *PIVOT_ORDERS):
+        more = stored(verified(_star(rows, order), sets, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        found = components(links, "sets")
+        rows = _mixed_members(keys, found)
+    more = stored(verified(stored(_tile_candidates(rows, sets, percent), "rest"), sets, percent), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more), "sets-all")
 
