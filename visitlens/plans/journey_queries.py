@@ -335,12 +335,43 @@ def attempts(s: SparkSession, d: str) -> DataFrame:
     return rows.select("dedup_key", (F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("i"))).alias("attempted_at"), ((F.col("i") == F.col("n")) & (F.col("n") % 2 == 0)).alias("ok"))
 
 
-query("notification_status", lambda s, d: alerts.notification_status(history(s, d), attempts(s, d)))
-query("due_notifications", lambda s, d: alerts.due_notifications(alerts.notification_status(history(s, d), attempts(s, d)), T.NOW))
-query("incident_summary", lambda s, d: alerts.incident_summary(alerts.notification_status(history(s, d), attempts(s, d))))
+HISTORY = f""", {BUCKETS.replace("granularity in ('5m', '1d')", "granularity = '1d'")}, {MEASURED}, {FIRED}, o as (select *, row_number() over (partition by rule_id order by bucket_time) as nth from h),
+  f as (select rule_id, nth, bucket_time, measured, bucket_time as last, true as kept from o where nth = 1
+        union all select o.rule_id, o.nth, o.bucket_time, o.measured, case when o.bucket_time > f.last + to_seconds(o.cooldown_seconds) then o.bucket_time else f.last end,
+          o.bucket_time > f.last + to_seconds(o.cooldown_seconds) from f join o on o.rule_id = f.rule_id and o.nth = f.nth + 1),
+  i as (select f.rule_id || '|' || coalesce(a.geo_area_id, '') || '|' || a.granularity || '|' || epoch(f.bucket_time)::bigint as dedup_key, f.rule_id, a.name, a.comparator, a.threshold, f.bucket_time,
+          f.measured, f.bucket_time + interval 1 hour as created_at, day(f.bucket_time) % 10 as n from f join alert_rules a using (rule_id) where kept),
+  t as (select dedup_key, created_at, n::bigint as attempts, case when n > 0 and n % 2 = 0 then 'DELIVERED' when n >= 8 then 'DEAD_LETTER' when n > 0 then 'RETRY_WAIT' else 'PENDING' end as state from i),
+  st as (select *, case state when 'RETRY_WAIT' then created_at + to_minutes(attempts + 1) when 'PENDING' then created_at end as next_attempt from t)"""
+
+
+def _history(name: str, run, sql: str) -> None:
+    query(name, run, f"{HISTORY} {sql}", "rollups", "alert_rules", recursive=True)
+
+
+def status(s: SparkSession, d: str) -> DataFrame:
+    return alerts.notification_status(history(s, d), attempts(s, d))
+
+
+_history("notification_status", status, "select dedup_key, created_at, attempts, state, next_attempt from st")
+_history(
+    "due_notifications", lambda s, d: alerts.due_notifications(status(s, d), T.NOW).select("dedup_key", "state"),
+    f"select dedup_key, state from st where state in ('PENDING', 'RETRY_WAIT') and next_attempt <= {NOW} order by created_at, dedup_key limit 25",
+)
+_history(
+    "incident_summary", lambda s, d: alerts.incident_summary(status(s, d)),
+    "select count(*)::bigint as total, count(*) filter (where state = 'DELIVERED')::bigint as notified, count(*) filter (where state <> 'DELIVERED')::bigint as pending from st",
+)
+_history(
+    "recent_incidents", lambda s, d: alerts.recent_incidents(history(s, d), T.NOW, hours=240).select("dedup_key", "rule_id", "created_at"),
+    f"select dedup_key, rule_id, created_at from i where created_at >= {NOW} - interval 240 hour order by created_at desc, dedup_key limit 50",
+)
+_history(
+    "notification_payload", lambda s, d: alerts.notification_payload(history(s, d)).select("title", "summary", "source_id", "idempotency_key"),
+    """select 'Alert: ' || name as title, comparator || ' ' || name || ' threshold ' || threshold || ' (measured ' || measured || ', bucket ' || strftime(bucket_time, '%Y-%m-%dT%H:%M:%SZ') || ')' as summary,
+       rule_id::varchar as source_id, 'incident:' || dedup_key as idempotency_key from i""",
+)
 query("apply_cooldown", lambda s, d: alerts.apply_cooldown(hits(s, d), history(s, d), AT).select("rule_id", "bucket_time", "measured"))
-query("recent_incidents", lambda s, d: alerts.recent_incidents(history(s, d), T.NOW, hours=240).select("dedup_key", "rule_id", "created_at"))
-query("notification_payload", lambda s, d: alerts.notification_payload(history(s, d)).select("title", "summary", "source_id", "idempotency_key"))
 
 # ---------------------------------------------------------------- log, retention, windows, backfill
 
