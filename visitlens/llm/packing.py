@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-CACHED = 800_000  # entries which each of a worker's caches holds before it starts anew
+CACHED = 500_000  # entries which each of a task's caches holds before it starts anew
 
 _ENCODERS: dict[str, "_Encoder"] = {}
 
@@ -80,7 +80,7 @@ class _Parts(dict):
 
 
 class _Encoder:
-    """A worker's tokenizer behind two caches.
+    """A worker's tokenizer behind two caches, which a task empties when it ends.
 
     The vocabulary's pattern splits before each blank that stands alone, so a text
     without two blanks in a row is the concatenation of its blank-led parts. A part is
@@ -98,6 +98,9 @@ class _Encoder:
         self.tok = Tokenizer.from_file(tokenizer_file(name))
         self.tok.encode_special_tokens = True
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.clear()
+
+    def clear(self) -> None:
         self.piece = _Pieces(self.tok).__getitem__
         self.part = _Parts(self.by_pattern).__getitem__
 
@@ -138,6 +141,7 @@ def pieces(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k.j
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
+        encode.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
