@@ -328,6 +328,17 @@ def test_language_model_sums_to_one(spark):
         assert 0 < end_after_word < 0.1 and first + 10 ** got[99] == pytest.approx(1, abs=1e-3)
 
 
+def test_language_model_has_a_restaurant_for_every_previous_word(spark):
+    """Of 200 words, each is followed by its own partner; the model knows all of them,
+    whether looked up in tasks or joined."""
+    texts = spark.createDataFrame([(k, f"a{k % 200} b{k % 200}") for k in range(800)], "doc_id long, text string")
+    ask = spark.createDataFrame([(k, f"a{k} b{k}") for k in range(200)] + [(1000 + k, f"a{k} b{(k + 7) % 200}") for k in range(200)], "doc_id long, text string")
+    runs = [{r.doc_id: r.score for r in hpylm.score(ask, texts, **o).collect()} for o in ({}, {"heavy": 20}, {"pairs": 10})]
+    for got in runs:
+        assert all(got[k] > got[1000 + k] + 1 for k in range(200))
+        assert got == pytest.approx(runs[0], rel=1e-6)
+
+
 def test_seating_has_as_many_tables_as_the_restaurant_expects():
     n, d, mass, base = 200_000, 0.5, 3.0, 0.2
     c = np.full(n, 5)
