@@ -24,9 +24,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    groups = ngram_join.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stored(groups, "kept-ids"), F.col("doc_id") == F.col("kept_id")).select(*docs.columns)
+    """One row of each group: that of the smallest id, null last, and among rows of the
+    same id the first by row key. Groups are of rows, whose keys are given here, so null
+    and repeated ids lose or keep no row. A row without words is a group of its own."""
+    keyed = stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed-rows")
+    groups = ngram_join.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
+    members = groups.join(keyed.select("row_key", "doc_id"), F.col("member") == F.col("row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    kept = stored(members.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("kept_key")), "kept-rows")
+    return keyed.join(kept, F.col("row_key") == F.col("kept_key")).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,27 @@ def test_stages(spark, sf):
     assert P.ORACLE_SQL is None and "pipeline" in P.QUERIES
 
 
+def test_null_and_repeated_ids(spark, sf):
+    """Every row counts by itself, whatever its id: clean rows without an id stay, of
+    copies one row stays, and a row is mixed in as often as the plan says."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = text["c"] + " more"
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (1, text["c"]), (1, text["c"]), (5, near), (5, text["d"]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, text["a"]), (None, text["b"]), (1, text["c"]), (5, text["d"]), (None, None)], key=str)
+
+    plan = collections.Counter()
+    for r in P.mixing.mix(docs).collect():
+        plan[r.doc_id] += r.taken
+    taken = collections.Counter()
+    for r in P.mix_sources(spark, docs, sf).collect():
+        taken[r.doc_id] += len(r.text.split())
+    assert plan[None] and plan[1] and taken == plan
+
+
 def test_empty(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in P.STAGES:

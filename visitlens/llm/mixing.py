@@ -49,8 +49,10 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, rows_per_range: int = 65_536) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken, one row per row of docs."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, rows_per_range: int = 65_536, row_key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken, one row per row of docs, and
+    the column ``row_key``, which orders rows that are alike."""
+    carry = [row_key] if row_key else []
     sized = stored(
         docs.select(
             "doc_id",
@@ -58,6 +60,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256).alias("key"),
+            *carry,
         ),
         "sized",
     )
@@ -71,23 +74,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         sums.join(targets, "skey").select("skey", "range", "source_size", "target", F.coalesce(place, F.lit(0)).alias("before")), "mix-ranges"
     )
     inside = F.sum("size").over(
-        Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     )
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0))
     out = sized.join(ranges, ["skey", "range"]).withColumn("prior", F.col("before") + F.coalesce(inside, F.lit(0)))
     rest = budget - epochs * F.col("source_size") - F.col("prior")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: a row for each whole epoch and one with the
     first words (joined by one blank) of what was taken in part. Same columns as docs;
-    rows of which nothing is taken are gone. doc_id has to be unique."""
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("mix_id"), "size", "taken")
+    rows of which nothing is taken are gone. Each row, whatever its doc_id (null or
+    repeated), has its own place in the plan, by a row key which is given here."""
+    keyed = stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(keyed, **options, row_key="mix_row").where("taken > 0").select(F.col("mix_row").alias("mix_key"), "size", "taken")
     part = F.col("taken") - F.col("copies") * F.col("size")
-    rows = docs.join(stored(plan, "mix-plan"), F.col("doc_id") == F.col("mix_id")).withColumn("copies", F.floor(F.col("taken") / F.col("size")))
+    rows = keyed.join(stored(plan, "mix-plan"), F.col("mix_row") == F.col("mix_key")).withColumn("copies", F.floor(F.col("taken") / F.col("size")))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("copies") + (part > 0).cast("long"))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("piece") > F.col("copies"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col("text"))
