@@ -142,6 +142,17 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e(t), "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_added_tokens_as_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    e, fresh, rng = packing.encoder(), Tokenizer.from_file(packing.tokenizer_file()), random.Random(3)
+    assert np.frombuffer(e("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+    parts = ["a", " ", "  ", "\n", "é", " x", "中", "<|endoftext|>", "<|endof", "text|>", "don't"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(e(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 def test_language_id_on_held_out_documents(spark, sf, empty):
     docs = common.table(spark, sf, "documents")
     held = common.crc_mod("doc_id", 4) == 2

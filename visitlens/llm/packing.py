@@ -85,7 +85,8 @@ class _Encoder:
     The vocabulary's pattern splits before each blank that stands alone, so a text
     without two blanks in a row is the concatenation of its blank-led parts. A part is
     split by the pattern, and every distinct pre-token is encoded once. Beyond the Latin
-    letters, where two libraries' character tables may differ, the tokenizer splits."""
+    letters, where two libraries' character tables may differ, the tokenizer splits. A
+    text that holds an added token's literal is encoded whole by the tokenizer."""
 
     def __init__(self, name: str):
         import os
@@ -96,7 +97,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file(name))
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.clear()
 
@@ -104,12 +105,17 @@ class _Encoder:
         self.piece = _Pieces(self.tok).__getitem__
         self.part = _Parts(self.by_pattern).__getitem__
 
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def by_pattern(self, text: str) -> bytes:
         if text and max(text) > "\u024f":
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
         return b"".join(map(self.piece, self.split(text)))
 
     def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self.whole(text)
         parts = text.split(" ")
         if "" in parts:
             return self.by_pattern(text)
