@@ -6,10 +6,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,12 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where
-    it is unset (single-machine tests) a new temporary folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on a
+    single machine (tests) may it be unset; a new temporary folder takes its place."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="visitlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,10 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back. This cuts the
     lineage: a lost executor costs only its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).store(df, name)
+
+
+class Scratch:
+    """Stored tables of one operator, which it deletes once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t), (None, None))
+            if path is not None:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,20 +116,10 @@ def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 _U = np.uint64
-#: odd multipliers of the polynomial hashes, one pair (bytes, words) per seed
-_BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POW.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        inv = pow(base, -1, 1 << 64)
-        up, down = np.full(size, base, _U), np.full(size, inv, _U)
-        up[0] = down[0] = 1
-        have = _POW[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have[0][:n], have[1][:n]
+#: odd constants of the hashes, one for each seed
+_SEEDS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+_LANE, _PLACE = 8, _U(0xD6E8FEB86659FD93)
+_SHORT = 64  # bytes up to which words are hashed side by side, longer ones each for itself
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,24 +130,44 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    base = _BASES[seed][0]
-    up, down = _powers(base, len(b) + 1)
-    total = np.zeros(len(b) + 1, _U)
-    np.cumsum((b.astype(_U) + _U(1)) * up[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+    """64-bit hashes of the words: the scrambled sum of their scrambled lanes of eight
+    bytes, each with its place. Up to eight bytes, unlike words of a length never agree."""
+    n = ends - starts
+    padded = np.concatenate([b, np.zeros(_LANE, np.uint8)])
+    lanes = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    total = np.zeros(len(starts), _U)
+
+    def scrambled(at: np.ndarray, left: np.ndarray, place) -> np.ndarray:
+        rest = (np.clip(_LANE - left, 0, _LANE) * 8).astype(_U)
+        return mix(((lanes[at] << rest) >> rest) + (place + _U(1)) * _PLACE + _SEEDS[seed])
+
+    live = np.flatnonzero((n > 0) & (n <= _SHORT))
+    k = 0
+    while len(live):
+        total[live] += scrambled(starts[live] + _LANE * k, n[live] - _LANE * k, np.array([k], _U))
+        k += 1
+        live = live[n[live] > _LANE * k]
+    for i in np.flatnonzero(n > _SHORT):
+        for lo in range(0, int(n[i]), CHUNK_BYTES):
+            at = np.arange(lo, min(int(n[i]), lo + CHUNK_BYTES), _LANE)
+            total[i] += scrambled(starts[i] + at, n[i] - at, (at // _LANE).astype(_U)).sum(dtype=_U)
+    return mix(total + n.astype(_U) * _SEEDS[1 - seed])
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of each k consecutive entries; windows over text borders are included
-    and have to be left out by the caller."""
+    """Hash of each k consecutive entries, by doubling; windows over text borders are
+    included and have to be left out by the caller."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    base = _BASES[seed][1]
-    up, down = _powers(base, len(words) + 1)
-    total = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n])
+    out, done, run, size = np.full(n, _SEEDS[seed]), 0, words, 1
+    while True:
+        if k & size:
+            out = mix(out * _PLACE + run[done : done + n])
+            done += size
+        if done == k:
+            return out
+        run, size = mix(run[:-size] * _SEEDS[seed] + run[size:]), size * 2
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -152,21 +184,56 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 BLOCK_BITS = 20  # cells of one block of a sketch
+REPEATED = (2,)
+SKETCH_FILES = 4
+_LOADED: dict[str, list[np.ndarray]] = {}  # the sketch that this worker read last
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """A merged count-min sketch, as files which every executor fetches once from the
+    shared folder. A cell keeps the level of its count: how many of ``levels`` it has
+    reached (one or two bits). The level of a value is never below that of its count.
+    What the driver holds, and what tasks are sent, are file names."""
+
+    bits: int
+    depth: int
+    levels: tuple[int, ...]
+    files: tuple[str, ...]
+
+    def _rows(self) -> list[np.ndarray]:
+        if self.files[0] not in _LOADED:
+            import pyarrow.parquet as pq
+
+            _LOADED.clear()
+            width = _packed_bits(self.levels) << (BLOCK_BITS - 3)
+            rows = [np.zeros(width << (self.bits - BLOCK_BITS), np.uint8) for _ in range(self.depth)]
+            for name in self.files:
+                for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(16):
+                    for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                        r, k = divmod(block, 1 << (self.bits - BLOCK_BITS))
+                        rows[r][k * width : (k + 1) * width] = np.frombuffer(packed.as_buffer(), np.uint8)
+            _LOADED[self.files[0]] = rows
+        return _LOADED[self.files[0]]
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """The least level of each value's cells."""
+        out = np.full(len(h), len(self.levels), np.uint8)
+        for r, packed in enumerate(self._rows()):
+            cell = sketch_cell(h, r, self.bits)
+            if _packed_bits(self.levels) == 1:
+                here = (packed[cell >> _U(3)] >> (cell & _U(7)).astype(np.uint8)) & np.uint8(1)
+            else:
+                here = (packed[cell >> _U(2)] >> ((cell & _U(3)) * _U(2)).astype(np.uint8)) & np.uint8(3)
+            out = np.minimum(out, here)
+        return out
 
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        return self.level(h) > 0
 
-class RepeatSketch:
-    """Bits of the cells that were hit at least twice. ``seen`` never says False for
-    a value which occurs twice (a count-min sketch whose counts saturate at two)."""
-
-    def __init__(self, bits: int, rows: list[np.ndarray]):
-        self.bits, self.rows = bits, rows
 
-    def repeated(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for r, packed in enumerate(self.rows):
-            cell = sketch_cell(h, r, self.bits)
-            out &= (packed[cell >> _U(3)] >> (cell & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
-        return out
+def _packed_bits(levels: tuple[int, ...]) -> int:
+    return 1 if len(levels) == 1 else 2
 
 
 def sketch_cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -175,71 +242,74 @@ def sketch_cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def sketch_parts(hashes: np.ndarray, bits: int, depth: int) -> Iterator[tuple[int, bytes]]:
     """Of one task's values: (block, payload) with the cells hit, as sorted differences,
-    and a bit for each whether it was hit more than once."""
+    and the counts of those hit more than once, up to 255."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for r in range(depth):
         cell, n = np.unique(sketch_cell(hashes, r, bits), return_counts=True)
+        n = np.minimum(n, 255).astype(np.uint8)
         edges = np.searchsorted(cell, np.arange(0, (1 << bits) + 1, 1 << BLOCK_BITS).astype(_U))
         for k in range(len(edges) - 1):
-            part = cell[edges[k] : edges[k + 1]]
+            part, count = cell[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]
             if len(part):
                 d = np.diff(part - _U(k << BLOCK_BITS), prepend=_U(0))
-                many = np.packbits(n[edges[k] : edges[k + 1]] > 1)
                 small = np.minimum(d, 255).astype(np.uint8)
-                yield (r << (bits - BLOCK_BITS)) + k, pack(np.int32(len(d)).tobytes() + small.tobytes() + many.tobytes() + d[d >= 255].astype(np.uint32).tobytes())
+                large, many = d[d >= 255].astype(np.uint32), count > 1
+                head = np.array([len(d), len(large)], np.int32).tobytes()
+                yield (r << (bits - BLOCK_BITS)) + k, pack(head + small.tobytes() + large.tobytes() + np.packbits(many).tobytes() + count[many].tobytes())
 
 
 def _cells(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     payload = zstandard.decompress(payload)
-    n = int(np.frombuffer(payload, np.int32, 1)[0])
-    d = np.frombuffer(payload, np.uint8, n, 4).astype(np.int64)
-    many = np.unpackbits(np.frombuffer(payload, np.uint8, (n + 7) // 8, 4 + n), count=n).astype(bool)
-    d[d == 255] = np.frombuffer(payload[4 + n + (n + 7) // 8 :], np.uint32)
-    return np.cumsum(d), many
+    n, wide = (int(x) for x in np.frombuffer(payload, np.int32, 2))
+    d = np.frombuffer(payload, np.uint8, n, 8).astype(np.int64)
+    d[d == 255] = np.frombuffer(payload, np.uint32, wide, 8 + n)
+    at = 8 + n + 4 * wide
+    many = np.unpackbits(np.frombuffer(payload, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    count = np.ones(n, np.uint32)
+    count[many] = np.frombuffer(payload, np.uint8, -1, at + (n + 7) // 8)
+    return np.cumsum(d), count
 
 
-def merge_sketch(parts: DataFrame, bits: int, depth: int) -> RepeatSketch:
+def merge_sketch(parts: DataFrame, bits: int, depth: int, levels: tuple[int, ...] = REPEATED) -> Sketch:
     """Merge the (block, payload) rows of all tasks, block by block, in a stream with
-    the memory of one block; the driver receives 2**bits * depth bits."""
+    the memory of one block. The blocks, 2**bits * depth cells at most, are written to a
+    few files of the shared folder; nothing of them passes through the driver's memory."""
     n_blocks = depth << (bits - BLOCK_BITS)
+    if not 1 <= len(levels) <= 3:
+        raise ValueError("one to three levels")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice = None, None, None
+        now, count = None, None
 
         def row():
-            bits_ = np.packbits(twice, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits_])], names=["block", "bits"])
+            level = np.searchsorted(np.array(levels), count, "right").astype(np.uint8)
+            if _packed_bits(levels) == 1:
+                packed = np.packbits(level, bitorder="little")
+            else:
+                packed = level[0::4] | level[1::4] << 2 | level[2::4] << 4 | level[3::4] << 6
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed.tobytes()])], names=["block", "bits"])
 
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if block != now:
                     if now is not None:
                         yield row()
-                    now, once, twice = block, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-                cell, many = _cells(payload.as_py())
-                twice[cell[once[cell]]] = True
-                twice[cell[many]] = True
-                once[cell] = True
+                    now, count = block, np.zeros(1 << BLOCK_BITS, np.uint32)
+                cell, n = _cells(payload.as_py())
+                count[cell] += n
         if now is not None:
             yield row()
 
-    got = (
-        parts.select("block", "payload")
-        .repartition(n_blocks, "block")
-        .sortWithinPartitions("block")
-        .mapInArrow(merge, "block int, bits binary")
-        .collect()
-    )
-    rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)]
-    width = 1 << (BLOCK_BITS - 3)
-    for block, packed in got:
-        r, k = divmod(block, 1 << (bits - BLOCK_BITS))
-        rows[r][k * width : (k + 1) * width] = np.frombuffer(packed, np.uint8)
-    return RepeatSketch(bits, rows)
+    sc = parts.sparkSession.sparkContext
+    merged = parts.select("block", "payload").repartition(min(n_blocks, 64), "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    files = stored(stored(merged, "sketch-blocks").coalesce(SKETCH_FILES), "sketch").inputFiles()
+    for f in files:
+        sc.addFile(f)
+    return Sketch(bits, depth, tuple(levels), tuple(sorted(f.rsplit("/", 1)[1] for f in files)))
 
 
 def sketch_bits(n_values: int, per_value: float, most: int) -> int:
@@ -257,22 +327,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     of the longest path. Each round is a stored table; minima are combined before
     the shuffle, and the joins are of two stored tables, which lets Spark split a
     hot vertex."""
-    both = stored(
-        edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")),
-        f"{name}-edges",
-    )
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l"), f"{name}-labels")
+    scratch = Scratch(edges.sparkSession)
+    ab, ba = edges.select("a", "b").where("a <> b"), edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")
+    both = scratch.store(ab.unionByName(ba), f"{name}-edges")
+    labels = scratch.store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l"), f"{name}-labels")
+    last = labels
     while True:
-        near = stored(
-            both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("l").alias("m")), f"{name}-near"
-        )
-        step = stored(
-            labels.join(near, labels.id == near.a).select("id", "l", F.least("l", "m").alias("n")), f"{name}-step"
-        )
+        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("l").alias("m"))
+        step = scratch.store(labels.join(near, labels.id == near.a).select("id", "l", F.least("l", "m").alias("n")), f"{name}-step")
         up = step.select(F.col("id").alias("parent"), F.col("n").alias("root"))
-        new = stored(
-            step.join(up, step.n == up.parent).select("id", "l", F.least("n", "root").alias("n")), f"{name}-jump"
-        )
+        new = scratch.store(step.join(up, step.n == up.parent).select("id", "l", F.least("n", "root").alias("n")), f"{name}-jump")
+        scratch.drop(last, step)
         if new.where("l <> n").isEmpty():
+            scratch.drop(both)
             return new.select("id", F.col("n").alias("component"))
-        labels = new.select("id", F.col("n").alias("l"))
+        labels, last = new.select("id", F.col("n").alias("l")), new

@@ -1,27 +1,36 @@
 """N-gram Jaccard join: exact near-duplicate groups of whole texts.
 
-A document is the set of its distinct five-word shingles, as sorted 64-bit hashes. Equal
-sets are one from the start. Under one order of all shingles (those which a lossless
-repeat sketch knows to be in one document only come first, then by hash), two sets of
-Jaccard 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each. Shingles of one
-document only need not be sent, so a document with more than a fifth of its own shingles
-sends nothing. Sets that share a key are compared in two steps.
-
-1. Each set with one or two pivots of its keys' groups, in three rounds under different
-   orders. This resolves groups of copies with pairs in proportion to their members.
+A document is the set of its distinct five-word shingles, as sorted 64-bit hashes; sets
+have 128-bit ids, and equal ids are one set from the start. All shingles are ordered by
+the level of a count-min sketch of their counts, rare ones first, then by hash. Under
+such an order, two sets of Jaccard 0.8 share a shingle among the first n - ceil(0.8 n) + 1
+of the larger and the first n - ceil(1.6 n / 1.8) + 1 of the smaller one (its index
+keys). Shingles which the sketch knows to be in one document only come first and need
+not be sent, so a document with more than a fifth of its own shingles sends nothing.
+Sets that share a key are compared in three steps, none of which returns pairs: each
+gives at most as many rows as came in.
+
+1. Each set with up to four pivots, which are members of its keys' groups. The rows of a
+   pivot are a tile, or several if they are many; in it, the pivot's array is intersected
+   with each member's. This resolves groups of copies at a cost in proportion to them.
 2. What is left of a key's group, if it is in more than one component, in tiles: the
-   sets of a size band and of the band below (sizes further apart cannot reach 0.8),
-   pair by pair on hashed bitmaps. The bits which only one of two has bound the overlap
-   from above. A large tile is split by salts.
-
-Pairs which pass are joined with their arrays, bounded once more, and checked by exact
-intersection. Components come from links by spreading minima. All pairs of different
-sets that could link are either compared or already in one component.
+   sets of a size band and the index sets of the band below (sizes further apart cannot
+   reach 0.8), on hashed bitmaps. The bits which only one of two has bound the overlap
+   from above. A pair that shares an earlier one of the set's ``FEW`` most shared keys
+   is left to that key's tile. Rows with a partner that may link go on.
+3. These rows, with their arrays, in the same tiles: bitmaps of a size that follows the
+   sets, then exact sorted intersection of what passes, unless already linked. A set
+   goes out with the root that it has inside the tile.
+
+Components come from these links by spreading minima. All pairs of sets that could link
+are either compared or already in one component. A tile that would be too large by rows
+or by shingles is split by salts.
 
 Defined results: a text without words (or null) is empty, linked with nothing, its own
 component; under five words, the whole sequence is one shingle; rows which repeat a
-doc_id are copies like any others, and keep their rows; an empty table gives an empty
-table; extra columns are ignored.
+doc_id are copies like any others, and keep their rows; a null doc_id names a component
+only where all ids of it are null; an empty table gives an empty table; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +39,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, merge_sketch, mix, ranges, sketch_bits, sketch_parts, stored, text_chunks, window_hashes, word_hashes, word_spans
-from .tiles import tiled
+from .common import Scratch, Sketch, components, lower_ascii, merge_sketch, mix, ranges, sketch_bits, sketch_parts, text_chunks, window_hashes, word_hashes, word_spans
+from .tiles import Roots, binary16, pairs_behind, salts_of, tiled, whole_groups
 
 WORDS = 5
 PERCENT = 80
-SIGNATURE_WORDS = 16  # of 64 bits, in tiles
-SHARP_WORDS = 64  # of 64 bits, for the pairs that are left
-#: extra rounds of pivots, each under another order of the sets
-PIVOT_ORDERS = (0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
+SIGNATURE_WORDS = 32  # of 64 bits, in the tiles of step 2
+BITS_PER_SHINGLE = 16  # in those of step 3
+FEW = 8
+PIVOT_SEEDS = (11, 12)
 CELLS_PER_SHINGLE, MOST_BITS = 1.0, 27
+LEVELS = (2, 8, 64)
 FLUSH = 4_000_000
 
 
@@ -70,17 +80,21 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.
         yield lo, grams, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def set_ids(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set: the scrambled sum of its scrambled members."""
-    total = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(mix(grams ^ np.uint64(0x1234567)), out=total[1:])
-    return mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(np.uint64)).view(np.int64)
+def set_ids(grams: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A 128-bit id of each set: two scrambled sums of its scrambled members."""
+    halves = []
+    for seed in (0x1234567, 0x89ABCDEF01):
+        total = np.zeros(len(grams) + 1, np.uint64)
+        np.cumsum(mix(grams ^ np.uint64(seed)), out=total[1:])
+        halves.append(mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(np.uint64)))
+    data = np.stack(halves, 1).astype("<u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(np.arange(0, len(data) + 1, 16, dtype=np.int32)), pa.py_buffer(data)])
 
 
 def signature(grams: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
-    bit = grams & np.uint64(64 * words - 1)
+    """A bitmap of 64 * words bits (words being a power of two)."""
     out = np.zeros(64 * words, bool)
-    out[bit.astype(np.int64)] = True
+    out[(grams & np.uint64(64 * words - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
@@ -97,9 +111,8 @@ def _survey(docs: DataFrame, bits: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             parts = list(sketch_parts(np.concatenate(held), bits, 1)) if held else []
             k = len(parts)
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64())] * 3 + [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names
-            )
+            none = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
 
         names = ["doc_id", "n", "sid", "block", "payload"]
         for batch in batches:
@@ -108,189 +121,260 @@ def _survey(docs: DataFrame, bits: int) -> DataFrame:
                 held.append(grams)
                 n += len(grams)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, k), pa.array(np.diff(edge)), pa.array(set_ids(grams, edge)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                    names=names,
+                    [batch.column(0).slice(lo, k), pa.array(np.diff(edge)), set_ids(grams, edge), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
                 )
                 if n >= FLUSH:
                     yield flush()
                     held, n = [], 0
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, block int, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid binary, block int, payload binary")
 
 
-def _keyed(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(sid, n, keys, sig, sharp, grams) of each document that has a key to send."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2**MOST_BITS bits at most
-    names = ["sid", "n", "keys", "sig", "sharp", "grams"]
+def _keyed(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
+    """(sid, n, keys, n_index, sig, grams) of each set that has a key to send, once in
+    each task: its keys in order, the first n_index of which are index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
             for _, grams, edge in shingle_sets(batch.column(0)):
-                again = shared.value.repeated(grams)
+                level = sketch.level(grams)
                 n = np.diff(edge)
-                total = np.concatenate([[0], np.cumsum(again)])
-                own = n - (total[edge[1:]] - total[edge[:-1]])
-                send = np.where(n > 0, n - (percent * n + 99) // 100 + 1 - own, 0)
-                pick = np.flatnonzero(send > 0)
-                if not len(pick):
+                total = np.concatenate([[0], np.cumsum(level == 0)])
+                own = total[edge[1:]] - total[edge[:-1]]
+                probe = n - (percent * n + 99) // 100 + 1 - own
+                index = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1 - own
+                ids = set_ids(grams, edge)
+                pick = []
+                for i in np.flatnonzero((n > 0) & (probe > 0)):
+                    if (x := ids[i].as_py()) not in done:
+                        done.add(x)
+                        pick.append(i)
+                if not pick:
                     continue
-                sid = set_ids(grams, edge)[pick]
-                keys = [grams[edge[i] : edge[i + 1]][again[edge[i] : edge[i + 1]]][: send[i]] for i in pick]
-                sig, sharp = (np.concatenate([signature(grams[edge[i] : edge[i + 1]], w) for i in pick]) for w in (SIGNATURE_WORDS, SHARP_WORDS))
+                keys = []
+                for i in pick:
+                    mine, lv = grams[edge[i] : edge[i + 1]], level[edge[i] : edge[i + 1]]
+                    keys.append(mine[np.argsort(lv, kind="stable")[own[i] : own[i] + probe[i]]])
+                pick = np.array(pick)
+                sig = np.concatenate([signature(grams[edge[i] : edge[i + 1]]) for i in pick])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(sid), pa.array(n[pick]), _long_lists(np.concatenate(keys), np.array([len(k) for k in keys])),
-                        _long_lists(sig, np.full(len(pick), SIGNATURE_WORDS)), _long_lists(sharp, np.full(len(pick), SHARP_WORDS)), _long_lists(grams[ranges(edge[pick], edge[pick + 1])], n[pick]),
+                        ids.take(pa.array(pick)), pa.array(n[pick]), _long_lists(np.concatenate(keys), np.array([len(k) for k in keys])), pa.array(np.maximum(index[pick], 0)),
+                        _long_lists(sig, np.full(len(pick), SIGNATURE_WORDS)), _long_lists(grams[ranges(edge[pick], edge[pick + 1])], n[pick]),
                     ],
-                    names=names,
+                    names=["sid", "n", "keys", "n_index", "sig", "grams"],
                 )
 
-    schema = "sid long, n long, keys array<long>, sig array<long>, sharp array<long>, grams array<long>"
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "sid binary, n long, keys array<long>, n_index long, sig array<long>, grams array<long>")
 
 
-def _overlap_bound(na: Column, nb: Column, a: str, b: str) -> Column:
-    def alone(x: str, y: str) -> Column:
-        return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)")
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Of sorted distinct values, how many are in both."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
 
-    return F.least(na - alone(a, b), nb - alone(b, a))
 
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    na, nb = len(a), len(b)
+    if 100 * min(na, nb) < percent * max(na, nb):
+        return False
+    common = _overlap(a, b)
+    return 100 * common >= percent * (na + nb - common)
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: by size and the bound of sharp bitmaps first,
-    and the arrays of those that pass by exact intersection."""
 
-    def enough(overlap: Column) -> Column:
-        return 100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)
+def _list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and where each row's begin."""
+    edge = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False).view(np.uint64), edge
 
-    def side(x: str, column: str) -> DataFrame:
-        return sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"v{x}"))
 
-    na, nb = F.col("na"), F.col("nb")
-    near = pairs.join(side("b", "sharp"), "b").join(side("a", "sharp"), "a")
-    near = near.where(enough(F.least(na, nb))).where(enough(_overlap_bound(na, nb, "va", "vb"))).select("a", "b")
-    near = stored(near, "near-pairs")
-    both = near.join(side("b", "grams"), "b").join(side("a", "grams"), "a")
-    return both.where(enough(F.size(F.array_intersect("va", "vb")))).select("a", "b")
+# ---------------------------------------------------------------- step 1: pivots
 
 
-def _pairs_in_groups(group: np.ndarray, cols: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by group, the pairs of a group that may link: all rows against
-    those a fixed distance behind them, distance by distance."""
-    sid, n, comp, visitor, salt, split, sig = (cols[c] for c in ("sid", "n", "comp", "visitor", "salt", "split", "sig"))
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    live = np.arange(len(group))
-    distance = 1
-    while True:
-        live = live[live + distance < len(group)]
-        live = live[group[live] == group[live + distance]]
-        if not len(live):
-            return np.concatenate(out_a), np.concatenate(out_b)
-        i, j = live, live + distance
-        ok = (comp[i] != comp[j]) & ~(visitor[i] & visitor[j]) & (~split[i] | (salt[i] != salt[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[ok], j[ok]
-        if len(i):
-            alone_i = np.bitwise_count(sig[i] & ~sig[j]).sum(1, dtype=np.int64)
-            alone_j = np.bitwise_count(sig[j] & ~sig[i]).sum(1, dtype=np.int64)
-            common = np.minimum(n[i] - alone_i, n[j] - alone_j)
-            ok = 100 * common >= percent * (n[i] + n[j] - common)
-            out_a.append(np.minimum(sid[i], sid[j])[ok])
-            out_b.append(np.maximum(sid[i], sid[j])[ok])
-        distance += 1
+def _star_links(star: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(pivot, sid) -> (a, b): the rows whose sets link."""
+    star = scratch.store(star.join(sets.select("sid", "n"), "sid"), "star")
+    large = salts_of(star, ["pivot"], "star", weight="n")
+    rows = star.join(large, "pivot", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    members = rows.select("pivot", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), "sid", F.lit(1).alias("part"))
+    heads = rows.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).distinct()
+    heads = heads.select("pivot", "salt", F.col("pivot").alias("sid"), F.lit(0).alias("part"))
+    tiles = members.unionByName(heads).join(sets.select("sid", "grams"), "sid").select("pivot", "salt", "part", "sid", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, head = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            values, edge = _list_values(batch.column(4))
+            pivots, salts, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            hit = []
+            for i, at in enumerate(zip(pivots, salts)):
+                mine = values[edge[i] : edge[i + 1]]
+                if parts[i] == 0:
+                    tile, head = at, mine.copy()
+                elif at == tile and _links(head, mine, percent):
+                    hit.append(i)
+            pick = pa.array(hit, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(3).take(pick)], names=["a", "b"])
+
+    dealt = tiles.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "part")
+    out = scratch.store(dealt.mapInArrow(run, "a binary, b binary"), "star-links")
+    scratch.drop(star)
+    return out
+
+
+def _pivots(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pivot, sid): each set with the pivots of its keys' groups, at most two under each
+    of two orders. A group's pivot is the first of its index sets under the order."""
+    ranks = [F.min(F.when(F.col("index"), F.struct(F.xxhash64(F.lit(s), "sid").alias("r"), "sid")))["sid"].alias(f"p{s}") for s in PIVOT_SEEDS]
+    groups = keys.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), *ranks).where("lo <> hi and p11 is not null").drop("lo", "hi")
+    groups = scratch.store(groups, "pivots")
+    ends = [f(f"p{s}").alias(f"{f.__name__}{s}") for s in PIVOT_SEEDS for f in (F.min, F.max)]
+    star = keys.select("h", "sid").join(groups, "h").groupBy("sid").agg(*ends)
+    return star.select(F.explode(F.array_distinct(F.array("min11", "max11", "min12", "max12"))).alias("pivot"), "sid").where("pivot <> sid")
+
+
+# ---------------------------------------------------------------- steps 2 and 3: tiles
+
+
+def _mixed_members(keys: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, sid, n, index, comp, many): the rows of those keys whose sets are in more than
+    one component; many is the key's number of rows."""
+    member = keys.join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    member = scratch.store(member.select("h", "sid", "n", "index", "comp"), "members")
+    groups = member.groupBy("h").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("many"), F.max("index").alias("any")).where("p <> q and any")
+    out = scratch.store(member.join(groups.select("h", "many"), "h"), "mixed-members")
+    scratch.drop(member)
+    return out
 
 
 TILE_KEYS = ["h", "band", "ti", "tj"]
+TILE_SCHEMA = "h long, band int, ti int, tj int, salt int, sid binary, comp binary, n long, index boolean, visitor boolean, earlier array<long>"
 
 
-def _tile_pairs(percent: int):
-    """Rows sorted by tile -> candidate pairs. What is held is a batch and the tile
-    that it ends in."""
+def _tile_rows(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows of mixed groups in their tiles, with the bitmaps. ``earlier``: of the set's
+    few most shared index keys, those before this one."""
+    order = F.struct((-F.col("many")).alias("less"), "h")
+    few = rows.where("index").groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(order)), 1, FEW).alias("few"))
+    rows = rows.join(few, "sid", "left").withColumn("here", order)
+    rows = rows.withColumn("earlier", F.expr("transform(filter(coalesce(few, array()), x -> x < here), x -> x.h)")).drop("few", "here", "many")
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    home, above = F.struct(band.alias("band"), F.lit(False).alias("visitor")), F.struct((band + 1).alias("band"), F.lit(True).alias("visitor"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("index"), F.array(home, above)).otherwise(F.array(home)))).select("*", "at.*").drop("at")
+    banded = scratch.store(rows, "banded")
+    return tiled(banded, ["h", "band"], "sid", "ngram", weight="n").join(sets.select("sid", "sig"), "sid").select(*[c.split()[0] for c in TILE_SCHEMA.split(", ")], "sig")
+
+
+def _usable(batch: pa.RecordBatch, percent: int):
+    """Whether the rows i and j of a tile are a pair to be compared in this one."""
+    sid, comp = binary16(batch.column("sid")), binary16(batch.column("comp"))
+    n, salt, index, visitor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "salt", "index", "visitor"))
+    split = batch.column("ti").to_numpy() != batch.column("tj").to_numpy()
+    values, edge = _list_values(batch.column("earlier"))
+    size = np.diff(edge)
+    earlier, there = np.zeros((len(n), FEW), np.uint64), np.arange(FEW) < size[:, None]
+    earlier[there] = values[edge[0] : edge[-1]]
+
+    def usable(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        smaller_i = (n[i] < n[j]) | ((n[i] == n[j]) & ((sid[i, 0] < sid[j, 0]) | ((sid[i, 0] == sid[j, 0]) & (sid[i, 1] < sid[j, 1]))))
+        ok = (comp[i] != comp[j]).any(1) & ~(visitor[i] & visitor[j]) & (~split[i] | (salt[i] != salt[j]))
+        ok &= np.where(smaller_i, index[i] & ~visitor[j], index[j] & ~visitor[i])
+        ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        at = np.flatnonzero(ok)
+        if len(at):
+            a, b = i[at], j[at]
+            both = (earlier[a][:, :, None] == earlier[b][:, None, :]) & there[a][:, :, None] & there[b][:, None, :]
+            ok[at[both.any((1, 2))]] = False
+        return ok
+
+    return usable
+
+
+def _may_link(n: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """By the bits that only one of two has, whether their overlap may suffice."""
+    alone_i = np.bitwise_count(sig[i] & ~sig[j]).sum(1, dtype=np.int64)
+    alone_j = np.bitwise_count(sig[j] & ~sig[i]).sum(1, dtype=np.int64)
+    common = np.minimum(n[i] - alone_i, n[j] - alone_j)
+    return 100 * common >= percent * (n[i] + n[j] - common)
+
+
+def _with_partner(percent: int):
+    """Step 2: the rows of a tile that have a partner by the bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
+        for batch, group in whole_groups(batches, TILE_KEYS):
+            sig = _list_values(batch.column("sig"))
+            sig = sig[0][sig[1][0] : sig[1][-1]].reshape(-1, SIGNATURE_WORDS)
+            n, keep = batch.column("n").to_numpy(), np.zeros(len(group), bool)
+            for i, j in pairs_behind(group, _usable(batch, percent)):
+                ok = _may_link(n, sig, i, j, percent)
+                keep[i[ok]] = keep[j[ok]] = True
+            yield batch.select([c for c in batch.schema.names if c != "sig"]).filter(pa.array(keep))
+
+    return run
 
-        def pairs(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-            keys = np.stack([cols[k] for k in TILE_KEYS], 1)
-            group = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
-            a, b = _pairs_in_groups(group, cols | {"split": cols["ti"] != cols["tj"]}, percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*TILE_KEYS, "sid", "n", "comp", "visitor", "salt")}
-            new = {c: v if c == "visitor" else v.astype(np.int64) for c, v in new.items()}
-            new["sig"] = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
-            cols = new if rest is None else {c: np.concatenate([rest[c], new[c]]) for c in new}
-            if not len(cols["h"]):
-                continue
-            last = np.logical_and.reduce([cols[k] == cols[k][-1] for k in TILE_KEYS])
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            yield pairs({c: v[:cut] for c, v in cols.items()})
-            rest = {c: v[cut:] for c, v in cols.items()}
-        if rest is not None:
-            yield pairs(rest)
+def _tile_roots(percent: int):
+    """Step 3: (sid, root) of the rows of a tile that link with an earlier row of it."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, group in whole_groups(batches, TILE_KEYS):
+            values, edge = _list_values(batch.column("grams"))
+            n, roots = batch.column("n").to_numpy(), Roots(len(group))
+            words = 1 << int(np.ceil(np.log2(max(1, np.median(n) * BITS_PER_SHINGLE / 64))))
+            sig = np.stack([signature(values[edge[i] : edge[i + 1]], words) for i in range(len(group))])
+            for i, j in pairs_behind(group, _usable(batch, percent)):
+                ok = _may_link(n, sig, i, j, percent)
+                for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                    if roots.find(a) != roots.find(b) and _links(values[edge[a] : edge[a + 1]], values[edge[b] : edge[b + 1]], percent):
+                        roots.link(a, b)
+            rows, root = roots.moved()
+            sid = batch.column("sid")
+            yield pa.RecordBatch.from_arrays([sid.take(pa.array(rows)), sid.take(pa.array(root))], names=["a", "b"])
 
+    return run
 
-def _mixed_members(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of those keys whose sets are in more than one component, with it."""
-    member = keys.join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    member = stored(member.select("h", "sid", "n", "comp"), "members")
-    mixed = stored(member.groupBy("h").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("h"), "mixed")
-    return stored(member.join(mixed, "h"), "mixed-members")
 
+def _tile_links(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "sid")
 
-def _star(rows: DataFrame, order: int) -> DataFrame:
-    """Each set with one or two pivots of other components: the first set of a key's
-    group under the order."""
-    rank = F.col("sid").bitwiseXOR(F.lit(order))
-    pivots = rows.groupBy("h").agg(F.min(rank).alias("r"), F.min_by("comp", rank).alias("pc"))
-    pivots = stored(pivots.select("h", F.col("r").bitwiseXOR(F.lit(order)).alias("p"), "pc"), "pivots")
-    star = rows.join(pivots, "h").where("comp <> pc").groupBy("sid").agg(F.min("p").alias("p"), F.max("p").alias("q"))
-    return stored(star.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("a"), F.col("sid").alias("b")), "star")
+    near = scratch.store(dealt(_tile_rows(rows, sets, percent, scratch)).mapInArrow(_with_partner(percent), TILE_SCHEMA), "with-partner")
+    return scratch.store(dealt(near.join(sets.select("sid", "grams"), "sid")).mapInArrow(_tile_roots(percent), "a binary, b binary"), "tile-links")
 
 
-def _tile_candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 2: candidate pairs of different components, from tiles."""
-    rows = rows.join(sets.select("sid", "sig"), "sid")
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    home = F.struct(band.alias("band"), F.lit(False).alias("visitor"))
-    above = F.struct((band + 1).alias("band"), F.lit(True).alias("visitor"))
-    rows = rows.withColumn("at", F.explode(F.array(home, above))).select("h", "sid", "n", "comp", "sig", "at.band", "at.visitor")
-    rows = tiled(stored(rows, "banded"), ["h", "band"], "sid", "ngram")
-    rows = rows.select(*TILE_KEYS, "sid", "n", "comp", "visitor", "salt", "sig")
-    return rows.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+# ---------------------------------------------------------------- the operator
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per row of docs."""
-    docs = docs.select("doc_id", "text")
+    docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(n_bytes // 6, CELLS_PER_SHINGLE, MOST_BITS)
-    survey = stored(_survey(docs, bits), "survey")
+    survey = scratch.store(_survey(docs, bits), "survey")
     each = survey.where("block is null").select("doc_id", "n", "sid")
-    sketch = merge_sketch(survey.where("block is not null"), bits, 1)
-
-    sets = stored(_keyed(docs, sketch, percent).dropDuplicates(["sid"]), "sets")
-    keys = sets.select(F.explode("keys").alias("h"), "sid", "n")
-    none = sets.select(F.col("sid").alias("id"), F.col("sid").alias("component"))
-    rows, links, found = _mixed_members(keys, none), None, none
-    for order in (0, *PIVOT_ORDERS):
-        more = stored(verified(_star(rows, order), sets, percent), "links")
-        links = more if links is None else links.unionByName(more)
-        found = components(links, "sets")
-        rows = _mixed_members(keys, found)
-    more = stored(verified(stored(_tile_candidates(rows, sets, percent), "rest"), sets, percent), "more-links")
+    sketch = merge_sketch(survey.where("block is not null"), bits, 1, LEVELS)
+
+    sets = scratch.store(_keyed(docs, sketch, percent).dropDuplicates(["sid"]), "sets")
+    keys = scratch.store(sets.select(F.posexplode("keys").alias("pos", "h"), "sid", "n", "n_index").select("h", "sid", "n", (F.col("pos") < F.col("n_index")).alias("index")), "keys")
+    links = _star_links(_pivots(keys, scratch), sets, percent, scratch)
+    found = components(links, "sets")
+    rows = _mixed_members(keys, found, scratch)
+    more = _tile_links(rows, sets, percent, scratch)
     if not more.isEmpty():
         found = components(links.unionByName(more), "sets-all")
 
     some = each.where("n > 0")
-    copies = some.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    named = copies.join(found, copies.sid == found.id, "left").select("sid", "rep", F.coalesce("component", "sid").alias("comp"))
-    named = stored(named, "named")
-    smallest = stored(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest")
-    of_set = stored(named.join(smallest, "comp").select(F.col("sid").alias("set"), "component_id"), "of-set")
+    named = some.groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    named = named.join(found, named.sid == found.id, "left").select("sid", "rep", F.coalesce("component", "sid").alias("comp"))
+    named = scratch.store(named, "named")
+    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of_set = scratch.store(named.join(smallest, "comp").select(F.col("sid").alias("set"), "component_id"), "of-set")
+    scratch.drop(sets, keys, rows, links, more, named)
     linked = some.join(of_set, some.sid == of_set.set).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -72,16 +72,15 @@ def repeat_sketch(docs: DataFrame, window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``carry`` (text may be one), n_words, n_removed and
     kept_text (the kept words joined by one blank), one row per row of docs."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
-    sketch = spark.sparkContext.broadcast(repeat_sketch(rows, window))
+    sketch = repeat_sketch(rows, window)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, _, _, _, edge, _, h1, h2 in _windows(batch.column(1), window, True):
                 doc = np.repeat(ids[lo : lo + len(edge) - 1], np.diff(edge))
-                hit = sketch.value.repeated(h1)
+                hit = sketch.repeated(h1)
                 yield pa.RecordBatch.from_arrays([pa.array(x[hit].view(np.int64)) for x in (h1, h2, doc)], names=["h1", "h2", "doc"])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +89,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
             texts, firsts = batch.column(names.index("text")), batch.column(names.index("firsts"))
             n_words, n_removed, out = [], [], []
             for lo, b, starts, ends, first, edge, at, h1, _ in _windows(texts, window, False):
-                hit = sketch.value.repeated(h1)
+                hit = sketch.repeated(h1)
                 data = b.tobytes()
                 for i in range(len(first) - 1):
                     w0, w1, e0, e1 = first[i], first[i + 1], edge[i], edge[i + 1]
