@@ -222,6 +222,54 @@ def test_ngram_tiles_find_what_pivots_do_not(spark):
     assert got == want
 
 
+def test_ngram_join_of_a_large_group_around_a_passage(spark):
+    """2 000 near copies of one text which fall into many components, copies of some,
+    texts that only share the passage, null and repeated ids."""
+    rng = random.Random(3)
+    base, passage = [f"b{k}" for k in range(90)], [f"p{k}" for k in range(40)]
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(90)] = f"q{rng.randrange(400)}"
+        rows.append((k, " ".join(words)))
+    rows += [(3000 + k, " ".join([f"u{k}-{j}" for j in range(rng.choice([5, 60]))] + passage)) for k in range(150)]
+    rows += [(4000 + k, rows[k][1]) for k in range(0, 300, 3)] + [(None, rows[7][1]), (None, "only here with no id at all"), (7, rows[7][1]), (5, None)]
+    sets = [frozenset(tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))) if t else frozenset() for _, t in rows]
+    distinct, holders, links = sorted(set(sets), key=sorted), collections.defaultdict(list), set()
+    for i, s in enumerate(distinct):
+        shared = collections.Counter(j for g in s for j in holders[g])
+        links |= {(i, j) for j, c in shared.items() if 100 * c >= 80 * (len(s) + len(distinct[j]) - c)}
+        for g in s:
+            holders[g].append(i)
+    root, number = groups(range(len(distinct)), links), {s: i for i, s in enumerate(distinct)}
+    least = collections.defaultdict(lambda: None)
+    for (i, _), s in zip(rows, sets):
+        if s and i is not None:
+            r = root[number[s]]
+            least[r] = i if least[r] is None else min(i, least[r])
+    want = collections.Counter((i, len(s), least[root[number[s]]] if s else i) for (i, _), s in zip(rows, sets))
+    assert len({c for _, _, c in want}) > 20
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_words_of_a_regular_pattern_have_hashes_of_their_own():
+    """Thue-Morse words, which collide under any polynomial modulo 2**64."""
+    import pyarrow as pa
+
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    (_, _, data, off), = common.text_chunks(pa.array([f"{a} {b} {a}"]))
+    starts, ends, _ = common.word_spans(data, off)
+    for seed in (0, 1):
+        h = common.word_hashes(data, starts, ends, seed)
+        assert h[0] != h[1] and h[0] == h[2]
+        patterns = [common.window_hashes(np.where(np.frombuffer(w[:32].encode(), np.uint8) == 97, *h[:2]), 32, seed)[0] for w in (a, b)]
+        assert patterns[0] != patterns[1]
+
+
 def test_vectors(spark, empty):
     rng = np.random.default_rng(4)
     rows, n = [], 0

@@ -15,12 +15,14 @@ gives at most as many rows as came in.
    with each member's. This resolves groups of copies at a cost in proportion to them.
 2. What is left of a key's group, if it is in more than one component, in tiles: the
    sets of a size band and the index sets of the band below (sizes further apart cannot
-   reach 0.8), on hashed bitmaps. The bits which only one of two has bound the overlap
-   from above. A pair that shares an earlier one of the set's ``FEW`` most shared keys
-   is left to that key's tile. Rows with a partner that may link go on.
-3. These rows, with their arrays, in the same tiles: bitmaps of a size that follows the
-   sets, then exact sorted intersection of what passes, unless already linked. A set
-   goes out with the root that it has inside the tile.
+   reach 0.8). A pair that shares an earlier one of the sets' ``FEW`` first keys, by
+   how many share them, is left to that key's tile, so that few rows are left. They come
+   again with bitmaps, ``BITS_PER_SHINGLE`` bits a shingle, folded to one length inside
+   a tile: the bits which only one of two has bound the overlap from above. Rows with a
+   partner that may link go on.
+3. These rows, with their arrays, in the same tiles: exact sorted intersection of what
+   passes the bitmaps, unless already linked. A set goes out with the root that it has
+   inside the tile.
 
 Components come from these links by spreading minima. All pairs of sets that could link
 are either compared or already in one component. A tile that would be too large by rows
@@ -47,8 +49,7 @@ from .tiles import Roots, binary16, pairs_behind, salts_of, tiled, whole_groups
 
 WORDS = 5
 PERCENT = 80
-SIGNATURE_WORDS = 32  # of 64 bits, in the tiles of step 2
-BITS_PER_SHINGLE = 16  # in those of step 3
+BITS_PER_SHINGLE = 16
 FEW = 8
 PIVOT_SEEDS = (11, 12)
 CELLS_PER_SHINGLE, MOST_BITS = 1.0, 27
@@ -91,13 +92,20 @@ def set_ids(grams: np.ndarray, edge: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(np.arange(0, len(data) + 1, 16, dtype=np.int32)), pa.py_buffer(data)])
 
 
-def signature(grams: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
-    """A bitmap of 64 * words bits (words being a power of two)."""
+def signature(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of at least ``BITS_PER_SHINGLE`` bits for each shingle, its length in
+    64-bit words being a power of two."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(grams)) * BITS_PER_SHINGLE / 64))))
     out = np.zeros(64 * words, bool)
     out[(grams & np.uint64(64 * words - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words."""
+    return np.bitwise_or.reduce(sig.reshape(-1, words), 0)
+
+
 def _long_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
 
@@ -158,11 +166,11 @@ def _keyed(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
                     mine, lv = grams[edge[i] : edge[i + 1]], level[edge[i] : edge[i + 1]]
                     keys.append(mine[np.argsort(lv, kind="stable")[own[i] : own[i] + probe[i]]])
                 pick = np.array(pick)
-                sig = np.concatenate([signature(grams[edge[i] : edge[i + 1]]) for i in pick])
+                sigs = [signature(grams[edge[i] : edge[i + 1]]) for i in pick]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(pick)), pa.array(n[pick]), _long_lists(np.concatenate(keys), np.array([len(k) for k in keys])), pa.array(np.maximum(index[pick], 0)),
-                        _long_lists(sig, np.full(len(pick), SIGNATURE_WORDS)), _long_lists(grams[ranges(edge[pick], edge[pick + 1])], n[pick]),
+                        _long_lists(np.concatenate(sigs), np.array([len(x) for x in sigs])), _long_lists(grams[ranges(edge[pick], edge[pick + 1])], n[pick]),
                     ],
                     names=["sid", "n", "keys", "n_index", "sig", "grams"],
                 )
@@ -253,12 +261,14 @@ def _mixed_members(keys: DataFrame, found: DataFrame, scratch: Scratch) -> DataF
 
 TILE_KEYS = ["h", "band", "ti", "tj"]
 TILE_SCHEMA = "h long, band int, ti int, tj int, salt int, sid binary, comp binary, n long, index boolean, visitor boolean, earlier array<long>"
+TILE_COLUMNS = [c.split()[0] for c in TILE_SCHEMA.split(", ")]
 
 
-def _tile_rows(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Rows of mixed groups in their tiles, with the bitmaps. ``earlier``: of the set's
-    few most shared index keys, those before this one."""
-    order = F.struct((-F.col("many")).alias("less"), "h")
+def _tile_rows(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows of mixed groups in their tiles. ``earlier``: of the set's first index keys,
+    those before this one. Keys of like counts come in the order in which sets send
+    them, so that sets which share many keys have most of the first ones in common."""
+    order = F.struct((-F.floor(F.log2("many"))).alias("less"), F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("place"), "h")
     few = rows.where("index").groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(order)), 1, FEW).alias("few"))
     rows = rows.join(few, "sid", "left").withColumn("here", order)
     rows = rows.withColumn("earlier", F.expr("transform(filter(coalesce(few, array()), x -> x < here), x -> x.h)")).drop("few", "here", "many")
@@ -266,7 +276,7 @@ def _tile_rows(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     home, above = F.struct(band.alias("band"), F.lit(False).alias("visitor")), F.struct((band + 1).alias("band"), F.lit(True).alias("visitor"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("index"), F.array(home, above)).otherwise(F.array(home)))).select("*", "at.*").drop("at")
     banded = scratch.store(rows, "banded")
-    return tiled(banded, ["h", "band"], "sid", "ngram", weight="n").join(sets.select("sid", "sig"), "sid").select(*[c.split()[0] for c in TILE_SCHEMA.split(", ")], "sig")
+    return tiled(banded, ["h", "band"], "sid", "ngram", weight="n").select(*TILE_COLUMNS)
 
 
 def _usable(batch: pa.RecordBatch, percent: int):
@@ -302,18 +312,46 @@ def _may_link(n: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, perc
     return 100 * common >= percent * (n[i] + n[j] - common)
 
 
-def _with_partner(percent: int):
-    """Step 2: the rows of a tile that have a partner by the bitmaps."""
+def _promising(batch: pa.RecordBatch, group: np.ndarray, sigs: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The usable pairs of all tiles that may link. Tiles whose shortest bitmaps are of
+    one length are compared together."""
+    n, usable = batch.column("n").to_numpy(), _usable(batch, percent)
+    words = np.array([len(x) for x in sigs])
+    shortest = np.minimum.reduceat(words, np.flatnonzero(np.diff(group, prepend=-1)))[np.cumsum(np.diff(group, prepend=group[0]) > 0)]
+    for w in np.unique(shortest):
+        rows = np.flatnonzero(shortest == w)
+        for lo, hi in _runs(group[rows], max(1, (1 << 22) // int(w))):
+            part = rows[lo:hi]
+            sig = np.stack([folded(sigs[i], int(w)) for i in part])
+            for i, j in pairs_behind(group[part], lambda a, b, part=part: usable(part[a], part[b])):
+                ok = _may_link(n[part], sig, i, j, percent)
+                yield part[i[ok]], part[j[ok]]
+
+
+def _runs(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole groups of about ``most`` rows."""
+    lo = 0
+    while lo < len(group):
+        hi = int(np.searchsorted(group, group[min(lo + most, len(group)) - 1], "right"))
+        yield lo, hi
+        lo = hi
+
+
+def _rows_of(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    values, edge = _list_values(batch.column(column))
+    return [values[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+
+def _with_partner(percent: int, bitmaps: bool):
+    """Step 2: the rows of a tile that have a partner, by the bitmaps if they are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in whole_groups(batches, TILE_KEYS):
-            sig = _list_values(batch.column("sig"))
-            sig = sig[0][sig[1][0] : sig[1][-1]].reshape(-1, SIGNATURE_WORDS)
-            n, keep = batch.column("n").to_numpy(), np.zeros(len(group), bool)
-            for i, j in pairs_behind(group, _usable(batch, percent)):
-                ok = _may_link(n, sig, i, j, percent)
-                keep[i[ok]] = keep[j[ok]] = True
-            yield batch.select([c for c in batch.schema.names if c != "sig"]).filter(pa.array(keep))
+            keep = np.zeros(len(group), bool)
+            pairs = _promising(batch, group, _rows_of(batch, "sig"), percent) if bitmaps else pairs_behind(group, _usable(batch, percent))
+            for i, j in pairs:
+                keep[i] = keep[j] = True
+            yield batch.select(TILE_COLUMNS).filter(pa.array(keep))
 
     return run
 
@@ -323,14 +361,10 @@ def _tile_roots(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in whole_groups(batches, TILE_KEYS):
-            values, edge = _list_values(batch.column("grams"))
-            n, roots = batch.column("n").to_numpy(), Roots(len(group))
-            words = 1 << int(np.ceil(np.log2(max(1, np.median(n) * BITS_PER_SHINGLE / 64))))
-            sig = np.stack([signature(values[edge[i] : edge[i + 1]], words) for i in range(len(group))])
-            for i, j in pairs_behind(group, _usable(batch, percent)):
-                ok = _may_link(n, sig, i, j, percent)
-                for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-                    if roots.find(a) != roots.find(b) and _links(values[edge[a] : edge[a + 1]], values[edge[b] : edge[b + 1]], percent):
+            grams, roots = _rows_of(batch, "grams"), Roots(len(group))
+            for i, j in _promising(batch, group, [signature(x) for x in grams], percent):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if roots.find(a) != roots.find(b) and _links(grams[a], grams[b], percent):
                         roots.link(a, b)
             rows, root = roots.moved()
             sid = batch.column("sid")
@@ -343,7 +377,9 @@ def _tile_links(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     def dealt(x: DataFrame) -> DataFrame:
         return x.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "sid")
 
-    near = scratch.store(dealt(_tile_rows(rows, sets, percent, scratch)).mapInArrow(_with_partner(percent), TILE_SCHEMA), "with-partner")
+    some = scratch.store(dealt(_tile_rows(rows, percent, scratch)).mapInArrow(_with_partner(percent, False), TILE_SCHEMA), "some-partner")
+    near = scratch.store(dealt(some.join(sets.select("sid", "sig"), "sid")).mapInArrow(_with_partner(percent, True), TILE_SCHEMA), "near-partner")
+    scratch.drop(some)
     return scratch.store(dealt(near.join(sets.select("sid", "grams"), "sid")).mapInArrow(_tile_roots(percent), "a binary, b binary"), "tile-links")
 
 
