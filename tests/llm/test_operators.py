@@ -157,7 +157,7 @@ def test_language_id_on_held_out_documents(spark, sf, empty):
     docs = common.table(spark, sf, "documents")
     held = common.crc_mod("doc_id", 4) == 2
     learnt = langid.learn(docs.where(~held).select("doc_id", "text", "lang"))
-    got = langid.identify(docs, learnt, carry=("doc_id", "lang")).where(held).collect()
+    got = langid.identify(docs, learnt, carry=("doc_id", "lang")).select("row.*", "lang_pred", "score").where(held).collect()
     assert len(got) > 20 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !! 34"), (4, "中文")], "doc_id long, text string")
     assert [(r.lang_pred == "und", r.rejected) for r in langid.identify(odd, learnt).orderBy("doc_id").collect()][:3] == [(True, True)] * 3

@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from visitlens.llm import ngram_join
 from visitlens.llm.common import stored, table
@@ -47,6 +49,20 @@ def test_null_and_repeated_ids(spark, sf):
     assert plan[None] and plan[1] and taken == plan
 
 
+def test_extra_columns_with_clashing_names(spark, sf):
+    """Columns called as the operators' own, inner or outer, come through all stages."""
+    names = ["score", "size", "doc", "n_words", "row", "row_key", "taken", "piece", "sid", "firsts", "margin", "kept_text"]
+    docs = table(spark, sf, "documents").limit(200)
+    plain = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    out = plain
+    for _, stage in P.STAGES[:-1]:
+        out = stored(stage(spark, out, sf), "test-clash")
+        assert out.columns == plain.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert P.pack_sequences(spark, out, sf).count() >= len(rows)
+
+
 def test_empty(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in P.STAGES:

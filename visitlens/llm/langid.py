@@ -40,24 +40,27 @@ def normalised(text: str) -> bytes:
 
 def learn(rows: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 65_536, doc_bytes: int = 2_000) -> dict[str, bytes]:
     """Rows of (doc_id, text, lang) -> a dictionary per language, from at most
-    ``sample_docs`` rows of each, picked by a hash of doc_id. One pass over the texts;
+    ``sample_docs`` rows of each, picked by a hash of doc_id, until it is full. Of each,
+    a stretch at a place given by a hash; words that the dictionary has already are left
+    out, so texts that open alike or are copies take no room. One pass over the texts;
     the driver receives no more than the dictionaries' raw material."""
-    rows = rows.where("lang is not null and text rlike '\\\\p{L}'")
-    per_lang = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not per_lang:
-        return {}
+    rows = rows.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "text", "lang")
+    pick, room = F.xxhash64("doc_id"), 4 * doc_bytes
     # a hash threshold that leaves about four times the sample of each language
-    keep = F.lit(False)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    for lang, n in per_lang.items():
-        keep = keep | ((F.col("lang") == lang) & (u < int(min(1.0, (4 * sample_docs + 20) / n) * (1 << 30))))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.where(keep).select("doc_id", "lang", F.substring("text", 1, 4 * doc_bytes).alias("text")).withColumn("nth", nth)
-    out: dict[str, bytes] = dict.fromkeys(sorted(per_lang), b"")
-    for r in picked.where(F.col("nth") <= sample_docs).orderBy("lang", "nth").collect():
-        if len(out[r.lang]) < dictionary_bytes:
-            out[r.lang] += normalised(r.text)[:doc_bytes] + b" "
-    return {k: v[:dictionary_bytes] for k, v in out.items() if v}
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs + 20) / F.count("*")).alias("share")
+    rows = rows.join(rows.groupBy("lang").agg(share), "lang").where(F.pmod(pick, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - room + 1)).cast("int")
+    picked = rows.select("doc_id", "lang", F.col("text").substr(place + 1, F.lit(room)).alias("text"))
+    picked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(pick, "doc_id", "text"))).where(F.col("nth") <= sample_docs)
+    out: dict[str, dict[bytes, None]] = {}
+    size: dict[str, int] = {}
+    for r in picked.orderBy("lang", "nth").toLocalIterator():
+        words = out.setdefault(r.lang, {})
+        for w in normalised(r.text)[:doc_bytes].split():
+            if w not in words and size.get(r.lang, 0) < dictionary_bytes:
+                words[w] = None
+                size[r.lang] = size.get(r.lang, 0) + len(w) + 1
+    return {k: (b" ".join(v) + b" ")[:dictionary_bytes] for k, v in sorted(out.items()) if v}
 
 
 def encoded_sizes(data: bytes, coders: list, pads: list[tuple[bytes, int]]) -> list[int]:
@@ -89,11 +92,10 @@ def _compressors(dictionaries: dict[str, bytes], level: int) -> list:
 def identify(
     docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, min_margin: float = 0.01, min_letters: int = 64, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The columns of ``carry`` (doc_id if none), lang_pred, score, margin and rejected.
-    Only the text is looked at."""
+    """doc_id, or the columns of ``carry`` as the struct ``row``, whatever their names;
+    lang_pred, score, margin and rejected. Only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # dictionary_bytes a language
     names = list(dictionaries)
-    carry = carry or ("doc_id",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _compressors(shared.value, level)
@@ -119,9 +121,9 @@ def identify(
                 names=[f.name for f in schema],
             )
 
-    rows = docs.select(F.col("text").alias("__text"), *carry)
+    rows = docs.select("text", F.struct(*carry).alias("row") if carry else F.col("doc_id"))
     schema = (
-        rows.drop("__text")
+        rows.drop("text")
         .withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "margin": F.lit(0.0), "rejected": F.lit(False)})
         .schema
     )

@@ -9,7 +9,8 @@ All of it is DataFrame code.
 
 Defined results: a null text has size 0; the null source is a source of its own, last in
 order; repeated rows count each; an empty table gives an empty table; extra columns
-are ignored.
+are ignored (``take`` keeps them, whatever their names). All ranges of a source are
+ordered in one task, and all sources in one: some 10**7 of either are fine.
 """
 
 from __future__ import annotations
@@ -89,17 +90,16 @@ def take(docs: DataFrame, **options) -> DataFrame:
     first words (joined by one blank) of what was taken in part. Same columns as docs;
     rows of which nothing is taken are gone. Each row, whatever its doc_id (null or
     repeated), has its own place in the plan, by a row key which is given here."""
-    keyed = stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", "text", F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("row")), "mix-rows")
     plan = mix(keyed, **options, row_key="mix_row").where("taken > 0").select(F.col("mix_row").alias("mix_key"), "size", "taken")
     part = F.col("taken") - F.col("copies") * F.col("size")
     rows = keyed.join(stored(plan, "mix-plan"), F.col("mix_row") == F.col("mix_key")).withColumn("copies", F.floor(F.col("taken") / F.col("size")))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("copies") + (part > 0).cast("long"))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("piece") > F.col("copies"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = rows.select("row", text.alias("new_text"))
+    new = {"text": F.col("new_text"), "n_chars": F.char_length("new_text").cast("long")}
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def oracle_sql(weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> str:

@@ -16,7 +16,7 @@ def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = crc_mod("doc_id", 4) == 2
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     learnt = langid.learn(docs.where(~held).select("doc_id", "text", "lang"))
     return langid.identify(docs, learnt).select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
@@ -27,7 +27,7 @@ def op3_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = crc_mod("doc_id", 5) == 0
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", "quality")
     model = quality.learn(docs.join(labels, "doc_id"))
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")

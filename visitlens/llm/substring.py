@@ -12,8 +12,9 @@ single windows take the second pass too, with the same result.
 
 Defined results: a null or empty text has no words; texts of under 20 words have no
 windows and keep all; rows with the same doc_id do not take words from each other; a
-null doc_id comes after all others; an empty table gives an empty table; extra columns
-are ignored, or carried along if named in ``carry``.
+null doc_id comes after all others, and such rows go by a hash of their text, so that
+alike ones count as rows of one id; an empty table gives an empty table; extra columns
+are ignored, or carried along, whatever their names, if named in ``carry``.
 """
 
 from __future__ import annotations
@@ -70,18 +71,20 @@ def repeat_sketch(docs: DataFrame, window: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``carry`` (text may be one), n_words, n_removed and
+    """doc_id, the columns of ``carry`` as the struct ``row``, n_words, n_removed and
     kept_text (the kept words joined by one blank), one row per row of docs."""
-    rows = docs.select("doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
+    row = [F.struct(*carry).alias("row")] if carry else []
+    rows = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("alike"), "text", *row)
     sketch = repeat_sketch(rows, window)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, _, _, _, edge, _, h1, h2 in _windows(batch.column(1), window, True):
-                doc = np.repeat(ids[lo : lo + len(edge) - 1], np.diff(edge))
+            for lo, _, _, _, _, edge, _, h1, h2 in _windows(batch.column(2), window, True):
                 hit = sketch.repeated(h1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[hit].view(np.int64)) for x in (h1, h2, doc)], names=["h1", "h2", "doc"])
+                doc = pa.array((np.repeat(np.arange(len(edge) - 1), np.diff(edge)) + lo)[hit])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[hit].view(np.int64)) for x in (h1, h2)), batch.column(0).take(doc), batch.column(1).take(doc)], names=["h1", "h2", "doc", "like"]
+                )
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,17 +121,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
                 [new[f.name] if f.name in new else batch.column(names.index(f.name)) for f in result], names=[f.name for f in result]
             )
 
-    last = (1 << 63) - 1
     found = (
-        rows.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), "text")
-        .mapInArrow(candidates, "h1 long, h2 long, doc long")
+        rows.select("doc_id", "alike", "text")
+        .mapInArrow(candidates, "h1 long, h2 long, doc long, like long")
         .groupBy("h1", "h2")
-        .agg(F.min("doc").alias("doc"))
-        .groupBy("doc")
+        .agg(F.min("doc").alias("doc"), F.min("like").alias("like"))
+        .groupBy("doc", F.when(F.col("doc").isNull(), F.col("like")).alias("like"))
         .agg(F.collect_list("h1").alias("firsts"))
     )
-    joined = rows.join(found, F.coalesce(rows.doc_id, F.lit(last)) == found.doc, "left").drop("doc")
-    schema = (rows if "text" in carry else rows.drop("text")).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & F.col("alike").eqNullSafe(F.col("like")), "left").drop("doc", "like")
+    schema = rows.drop("alike", "text").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     result = list(schema.fields)
     return joined.mapInArrow(kept, schema)
 
