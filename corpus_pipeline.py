@@ -18,21 +18,23 @@ from visitlens.llm.common import crc_mod, stored, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learnt; lang becomes the predicted one. Texts
     without a letter, or of no language in particular, go."""
-    learnt = langid.learn(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    learnt = langid.learn(docs.where(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))).select("doc_id", "text", "lang"))
     found = langid.identify(docs, learnt, carry=tuple(docs.columns))
-    return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    kept = found.where("not rejected")
+    return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that of the smallest id, null last, and among rows of the
     same id the first by row key. Groups are of rows, whose keys are given here, so null
     and repeated ids lose or keep no row. A row without words is a group of its own."""
-    keyed = stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed-rows")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")), "keyed-rows")
     groups = ngram_join.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
     members = groups.join(keyed.select("row_key", "doc_id"), F.col("member") == F.col("row_key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     kept = stored(members.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("kept_key")), "kept-rows")
-    return keyed.join(kept, F.col("row_key") == F.col("kept_key")).select(*docs.columns)
+    rows = keyed.join(kept, F.col("row_key") == F.col("kept_key"))
+    return rows.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     changed = F.col("n_removed") > 0
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     kept = kept.where("n_words > n_removed or n_removed = 0")
-    return kept.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns])
+    old = {c: F.col("row")[c] for c in docs.columns}
+    return kept.select(*[(F.when(changed, new[c]).otherwise(old[c]) if c in new else old[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
