@@ -12,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
+#: what a finished write has shuffled is not needed again, as the table is read instead
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # ---------------------------------------------------------------- shared tables
@@ -48,7 +51,12 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
@@ -61,6 +69,18 @@ class Scratch:
                 where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(row_key, row): a key of its own for each row, the same whenever it is read, and
+    the columns of docs as a struct. Rows of files are keyed by file and place in it;
+    others are stored first."""
+    row = F.struct(*docs.columns).alias("row")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("row_key")
+    try:
+        return docs.select(place, row)
+    except AnalysisException:
+        return stored(docs.select(F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")).alias("row_key"), row), "keyed-rows")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -46,9 +46,12 @@ def learn(rows: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 65_53
     the driver receives no more than the dictionaries' raw material."""
     rows = rows.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "text", "lang")
     pick, room = F.xxhash64("doc_id"), 4 * doc_bytes
+    many = rows.groupBy("lang").count().collect()  # a dictionary each follows
+    if not many:
+        return {}
     # a hash threshold that leaves about four times the sample of each language
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs + 20) / F.count("*")).alias("share")
-    rows = rows.join(rows.groupBy("lang").agg(share), "lang").where(F.pmod(pick, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    shares = F.create_map(*[F.lit(x) for lang, n in many for x in (lang, min(1.0, (4.0 * sample_docs + 20) / n))])
+    rows = rows.where(F.pmod(pick, F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
     place = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - room + 1)).cast("int")
     picked = rows.select("doc_id", "lang", F.col("text").substr(place + 1, F.lit(room)).alias("text"))
     picked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(pick, "doc_id", "text"))).where(F.col("nth") <= sample_docs)

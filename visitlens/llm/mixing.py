@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored
+from .common import WORD, row_keys, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -90,10 +90,12 @@ def take(docs: DataFrame, **options) -> DataFrame:
     first words (joined by one blank) of what was taken in part. Same columns as docs;
     rows of which nothing is taken are gone. Each row, whatever its doc_id (null or
     repeated), has its own place in the plan, by a row key which is given here."""
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", "text", F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("row")), "mix-rows")
-    plan = mix(keyed, **options, row_key="mix_row").where("taken > 0").select(F.col("mix_row").alias("mix_key"), "size", "taken")
+    keyed = row_keys(docs)
+    row = F.col("row")
+    plan = mix(keyed.select(row["doc_id"].alias("doc_id"), row["source"].alias("source"), row["text"].alias("text"), F.col("row_key").alias("mix_row")), **options, row_key="mix_row")
+    plan = stored(plan.where("taken > 0").select(F.col("mix_row").alias("mix_key"), "size", "taken"), "mix-plan")
     part = F.col("taken") - F.col("copies") * F.col("size")
-    rows = keyed.join(stored(plan, "mix-plan"), F.col("mix_row") == F.col("mix_key")).withColumn("copies", F.floor(F.col("taken") / F.col("size")))
+    rows = keyed.join(plan, F.col("row_key") == F.col("mix_key")).withColumns({"copies": F.floor(F.col("taken") / F.col("size")), "text": row["text"]})
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("copies") + (part > 0).cast("long"))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("piece") > F.col("copies"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col("text"))

@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch, Sketch, components, lower_ascii, merge_sketch, mix, ranges, sketch_bits, sketch_parts, text_chunks, window_hashes, word_hashes, word_spans
 from .tiles import Roots, binary16, pairs_behind, salts_of, tiled, whole_groups
@@ -116,10 +117,9 @@ def _survey(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def flush() -> pa.RecordBatch:
-            parts = list(sketch_parts(np.concatenate(held), bits, 1)) if held else []
-            k = len(parts)
-            none = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            parts = list(sketch_parts(np.concatenate(held), bits, 1))
+            none = [pa.nulls(len(parts), t) for t in (kind, pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
 
         names = ["doc_id", "n", "sid", "block", "payload"]
@@ -132,11 +132,13 @@ def _survey(docs: DataFrame, bits: int) -> DataFrame:
                     [batch.column(0).slice(lo, k), pa.array(np.diff(edge)), set_ids(grams, edge), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
                 )
                 if n >= FLUSH:
-                    yield flush()
+                    yield flush(batch.column(0).type)
                     held, n = [], 0
-        yield flush()
+        if held:
+            yield flush(batch.column(0).type)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid binary, block int, payload binary")
+    schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", "long").add("sid", "binary").add("block", "integer").add("payload", "binary")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _keyed(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
@@ -387,7 +389,8 @@ def _tile_links(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id, one row per row of docs."""
+    """doc_id, n_shingles and component_id, one row per row of docs. doc_id may be of any
+    type that has an order; component_id is of the same."""
     docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(n_bytes // 6, CELLS_PER_SHINGLE, MOST_BITS)

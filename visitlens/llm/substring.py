@@ -129,6 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
         .groupBy("doc", F.when(F.col("doc").isNull(), F.col("like")).alias("like"))
         .agg(F.collect_list("h1").alias("firsts"))
     )
+    found = stored(found, "first-windows")
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & F.col("alike").eqNullSafe(F.col("like")), "left").drop("doc", "like")
     schema = rows.drop("alike", "text").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     result = list(schema.fields)
