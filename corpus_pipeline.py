@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.llm import langid, mixing, ngram_join, packing, substring
-from visitlens.llm.common import crc_mod, stored, table
+from visitlens.llm.common import crc_mod, row_keys, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group: that of the smallest id, null last, and among rows of the
     same id the first by row key. Groups are of rows, whose keys are given here, so null
     and repeated ids lose or keep no row. A row without words is a group of its own."""
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")), "keyed-rows")
-    groups = ngram_join.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
-    members = groups.join(keyed.select("row_key", "doc_id"), F.col("member") == F.col("row_key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    kept = stored(members.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("kept_key")), "kept-rows")
-    rows = keyed.join(kept, F.col("row_key") == F.col("kept_key"))
-    return rows.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+    keyed, row = row_keys(docs), F.col("row")
+    ident = F.struct(row["doc_id"].isNull().alias("no_id"), row["doc_id"].alias("doc_id"), F.col("row_key").alias("key"))
+    groups = ngram_join.near_duplicates(keyed.select(ident.alias("doc_id"), row["text"].alias("text")))
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.key").alias("kept_key"))
+    return keyed.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
