@@ -99,9 +99,12 @@ def test_components(spark):
     assert all(want[i] == c for i, c in got.items()) and all(i in got or want[i] == i for i in want)
 
 
-def test_packing(docs, empty):
-    rows = packing.pack(docs, window=256).collect()
-    tok = packing.encoder().tok
+@pytest.mark.parametrize("salt_rows", [200_000, 7])
+def test_packing(docs, empty, salt_rows):
+    from tokenizers import Tokenizer
+
+    rows = packing.pack(docs, window=256, salt_rows=salt_rows).collect()
+    tok = Tokenizer.from_file(packing.tokenizer_file())
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -134,12 +137,15 @@ def test_plan_uses_each_piece_once_and_pads_little():
     assert (used == hist).all() and 1 - (hist @ np.arange(2049)) / (2048 * sum(n for _, n in packs)) < 0.01
 
 
-def test_encoder_equals_the_tokenizer():
-    e, rng = packing.encoder(), random.Random(1)
-    parts = ["a", " ", "  ", "\n", "\t", ".", "'s", "é", " x", "12", "中", "<|endoftext|>", "\r\n", "😀", "don't"]
-    for _ in range(2000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(e(t), "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids
+def test_encoder_on_texts_without_blanks():
+    """Chinese, Thai and encoded bytes, longer than what the caches keep."""
+    from tokenizers import Tokenizer
+
+    e, fresh, rng = packing.encoder(), Tokenizer.from_file(packing.tokenizer_file()), random.Random(5)
+    for letters, n in (("中文字符没有空格。", 20_000), ("ภาษาไทย", 20_000), ("abcXYZ0189+/", 1_000_000), ("éàü", 5_000)):
+        t = "".join(rng.choice(letters) for _ in range(n))
+        assert np.frombuffer(e(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert max(len(k) for k in e.piece.__self__) <= packing.LONGEST and max(map(len, e.part.__self__), default=0) <= packing.LONGEST
 
 
 def test_encoder_takes_added_tokens_as_a_fresh_tokenizer():

@@ -3,6 +3,7 @@ hashing of words in Arrow batches, repeat sketches and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -90,6 +91,16 @@ def crc_mod(col, m: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)
 
 
+def give_back() -> None:
+    """At a task's end: hand memory that is free, but still the worker's, back to the
+    machine, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- words of Arrow text
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import give_back
+
 BLOCK = 4096
 LEVEL = 6
 #: the coder stores tiny inputs as they are; texts under SHORT bytes are encoded behind
@@ -123,6 +125,7 @@ def identify(
                 [*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[f.name for f in schema],
             )
+        give_back()
 
     rows = docs.select("text", F.struct(*carry).alias("row") if carry else F.col("doc_id"))
     schema = (

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, Sketch, components, lower_ascii, merge_sketch, mix, ranges, sketch_bits, sketch_parts, text_chunks, window_hashes, word_hashes, word_spans
+from .common import Scratch, Sketch, components, give_back, lower_ascii, merge_sketch, mix, ranges, sketch_bits, sketch_parts, text_chunks, window_hashes, word_hashes, word_spans
 from .tiles import Roots, binary16, pairs_behind, salts_of, tiled, whole_groups
 
 WORDS = 5
@@ -55,7 +55,7 @@ FEW = 8
 PIVOT_SEEDS = (11, 12)
 CELLS_PER_SHINGLE, MOST_BITS = 1.0, 27
 LEVELS = (2, 8, 64)
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -136,6 +136,7 @@ def _survey(docs: DataFrame, bits: int) -> DataFrame:
                     held, n = [], 0
         if held:
             yield flush(batch.column(0).type)
+        give_back()
 
     schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", "long").add("sid", "binary").add("block", "integer").add("payload", "binary")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -176,6 +177,7 @@ def _keyed(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
                     ],
                     names=["sid", "n", "keys", "n_index", "sig", "grams"],
                 )
+        give_back()
 
     return docs.select("text").mapInArrow(run, "sid binary, n long, keys array<long>, n_index long, sig array<long>, grams array<long>")
 
@@ -371,6 +373,7 @@ def _tile_roots(percent: int):
             rows, root = roots.moved()
             sid = batch.column("sid")
             yield pa.RecordBatch.from_arrays([sid.take(pa.array(rows)), sid.take(pa.array(root))], names=["a", "b"])
+        give_back()
 
     return run
 

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import give_back, stored
 
-CACHED = 500_000  # entries which each of a task's caches holds before it starts anew
+#: what each of a task's caches holds before it starts anew, and the longest key it keeps
+CACHED_ENTRIES, CACHED_BYTES, LONGEST = 400_000, 32 << 20, 256
 
 _ENCODERS: dict[str, "_Encoder"] = {}
 
@@ -48,34 +49,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    """Ids (little-endian unsigned 32-bit) of the vocabulary's own pre-tokens, from the
-    tokenizer's model."""
-
-    def __init__(self, tok):
-        super().__init__()
-        self.tokenize = tok.model.tokenize
-        self.letters = _byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-
-class _Parts(dict):
-    """Ids of a text's parts between single blanks, each with the blank before it."""
+class _Cache(dict):
+    """Ids by text, bounded by entries and by the characters and bytes that they hold."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHED:
+    def __missing__(self, text: str) -> bytes:
+        out = self.encode(text)
+        if len(text) > LONGEST:
+            return out
+        if len(self) >= CACHED_ENTRIES or self.held >= CACHED_BYTES:
             self.clear()
-        out = self[part] = self.encode(" " + part)
+            self.held = 0
+        self.held += len(text) + len(out)
+        self[text] = out
         return out
 
 
@@ -99,11 +88,17 @@ class _Encoder:
         self.tok = Tokenizer.from_file(tokenizer_file(name))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.tokenize, self.letters = self.tok.model.tokenize, _byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.piece = _Pieces(self.tok).__getitem__
-        self.part = _Parts(self.by_pattern).__getitem__
+        self.piece = _Cache(self.pre_token).__getitem__
+        self.part = _Cache(lambda part: self.by_pattern(" " + part)).__getitem__
+
+    def pre_token(self, piece: str) -> bytes:
+        """Ids of one of the vocabulary's own pre-tokens, from the tokenizer's model."""
+        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -148,6 +143,7 @@ def pieces(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k.j
                 [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
         encode.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -241,24 +237,27 @@ def plan_runs(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return runs
 
 
-def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, salt_rows: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset."""
+    offset. A length with more than ``salt_rows`` pieces is dealt over as many salts as
+    keep each near that number."""
     spark = docs.sparkSession
-    cut = stored(
-        pieces(docs, window, tokenizer, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")), "pieces"
-    )
+    cut = stored(pieces(docs, window, tokenizer, end_id).withColumn("fp", F.xxhash64("doc_id", "start", "ids_crc32")), "pieces")
+    of_length = {a: n for a, n in cut.groupBy("length").count().collect()}  # at most `window` rows
+    many = {0: 1} | {a: -(-n // salt_rows) for a, n in of_length.items() if n > salt_rows}
+    salts = F.create_map(*[F.lit(x).cast("long") for pair in many.items() for x in pair])
+    cut = cut.withColumn("salt", F.pmod("fp", F.coalesce(salts[F.col("length")], F.lit(1))).cast("int")).drop("fp")
     counts = cut.groupBy("length", "salt").count()
     hist = np.zeros(window + 1, np.int64)
-    for a, n in counts.groupBy("length").agg(F.sum("count")).collect():  # at most `window` rows
+    for a, n in of_length.items():
         hist[a] = n
     runs = spark.createDataFrame(plan_runs(plan_packs(hist, window)), "length long, lo long, hi long, base long, offset long")
     before = counts.select(
         "length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).alias("before")
     )
     in_salt = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    # `before` has at most window * salts rows, `runs` is bounded by the plan
-    ranked = cut.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", in_salt - 1 + F.coalesce("before", F.lit(0)))
+    # `before` has a row for each salt_rows pieces and one a length; `runs` is bounded by the plan
+    ranked = cut.join(before, ["length", "salt"]).withColumn("rank", in_salt - 1 + F.coalesce("before", F.lit(0)))
     return ranked.join(F.broadcast(runs), (ranked.length == runs.length) & (ranked["rank"] >= runs.lo) & (ranked["rank"] < runs.hi)).select(
         "doc_id", "start", ranked.length, "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
     )

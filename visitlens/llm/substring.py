@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merge_sketch, ranges, sketch_bits, sketch_parts, stored, text_chunks, window_hashes, word_hashes, word_spans
+from .common import give_back, merge_sketch, ranges, sketch_bits, sketch_parts, stored, text_chunks, window_hashes, word_hashes, word_spans
 
 WINDOW = 20
 CELLS_PER_WINDOW, MOST_BITS, DEPTH = 1.5, 28, 2
-FLUSH = 4_000_000  # hashes which a task holds before it sends its counts
+FLUSH = 1_500_000  # hashes which a task holds before it sends its counts
 
 
 def _windows(texts: pa.Array, k: int, seed2: bool) -> Iterator[tuple]:
@@ -66,6 +66,7 @@ def repeat_sketch(docs: DataFrame, window: int):
                     yield flush()
                     held, n = [], 0
         yield flush()
+        give_back()
 
     return merge_sketch(docs.select("text").mapInArrow(count, "block int, payload binary"), bits, DEPTH)
 
@@ -85,6 +86,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(x[hit].view(np.int64)) for x in (h1, h2)), batch.column(0).take(doc), batch.column(1).take(doc)], names=["h1", "h2", "doc", "like"]
                 )
+        give_back()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
             yield pa.RecordBatch.from_arrays(
                 [new[f.name] if f.name in new else batch.column(names.index(f.name)) for f in result], names=[f.name for f in result]
             )
+        give_back()
 
     found = (
         rows.select("doc_id", "alike", "text")
