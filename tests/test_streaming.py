@@ -36,6 +36,43 @@ def test_ingest_twice_is_ingest_once(spark, sf, topic, tmp_path):
     assert total(got) == total(want)
 
 
+def test_batches_carry_the_ledger_and_the_throttle(spark, sf, tmp_path):
+    """Two views ten seconds apart in two batches, redelivered in a third: one is let
+    through; sessions and snapshots are those of the whole."""
+    base = T.raw(spark, sf).where("event_type = 'page_view' and session_id is not null and page_url is not null").limit(1)
+
+    def view(name: str, seconds: int, page: str):
+        time = F.expr(f"timestamp_ntz '2024-01-15T10:00:00' + interval {seconds} seconds")
+        return base.withColumns({"event_id": F.lit(name), "event_time": time, "server_time": time, "page_url": F.lit(f"https://site.example/{page}")})
+
+    batches = [
+        view("e1", 0, "cv"), view("e2", 10, "cv").unionByName(view("e3", 20, "contact")),
+        view("e2", 10, "cv").unionByName(view("e4", 310, "cv")).unionByName(view("e4", 310, "cv")), view("e5", 320, "cv"),
+    ]
+    cfg = jobs.Config(str(tmp_path / "out"), T.NOW, intent=(R.policies(spark), R.signal_rules(spark), R.metadata(spark)))
+    for order in ((0, 1, 2, 3), (2,)):  # running one again changes nothing
+        for k in order:
+            jobs.ingest_batch(events.event_json(batches[k]).drop("key"), cfg, k)
+        facts = spark.read.parquet(cfg.path("facts"))
+        assert sorted(r.event_id for r in facts.collect()) == ["e1", "e3", "e4"]
+    for name in ("raw", "legacy_log", "enriched"):
+        assert spark.read.parquet(cfg.path(name)).count() == 3
+    assert spark.read.parquet(cfg.path("timeline")).select("operation_id").distinct().count() == 3
+    (session,) = jobs.current(spark.read.parquet(cfg.path("sessions")), jobs.SESSION).collect()
+    assert (session.page_views, session.entry_page, session.exit_page, session.duration_ms) == (3, "/cv", "/cv", 310_000)
+    (snapshot,) = jobs.current(spark.read.parquet(cfg.path("snapshots")), jobs.SESSION).collect()
+    assert (snapshot.first_event, snapshot.last_event) == (session.first_event, session.last_event)
+
+
+def test_ttl_and_throttle_keep_null_keys_and_one_of_equals(spark, sf):
+    rows = T.enriched(spark, sf).where("event_type = 'page_view' and session_id is not null").limit(1)
+    no_site = rows.withColumn("site_id", F.lit(None).cast("string"))
+    assert dedup.throttle_visits(no_site).count() == 1 and dedup.throttle_visits(no_site.unionByName(no_site)).count() == 1
+    assert dedup.dedup_ttl(rows.unionByName(rows)).count() == 1
+    null_id = rows.withColumn("event_id", F.lit(None).cast("string"))
+    assert dedup.dedup_ttl(null_id).count() == 1
+
+
 def test_throttle_as_state_equals_batch(spark, sf, tmp_path):
     rows = T.enriched(spark, sf)
     rows.where("event_time < timestamp_ntz '2024-01-15'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # User-agent markers, in order of precedence.
@@ -348,3 +348,11 @@ def rule_match(rule: dict[str, Column], step: dict[str, Column]) -> Column:
 def fires(measured: Column, threshold: Column, comparator: Column) -> Column:
     """False for a comparator that is none: such a rule is invalid."""
     return F.coalesce(F.when(comparator == ">=", measured >= threshold).when(comparator == "<=", measured <= threshold), F.lit(False))
+
+
+def small(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """A configuration table, to be broadcast: rules that people write. More than
+    ``most`` rows are an error and not a plan that fails later."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"a rule table of more than {most} rows")
+    return F.broadcast(table)

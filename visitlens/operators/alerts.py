@@ -24,7 +24,7 @@ def measure_alerts(rollups: DataFrame, rules: DataFrame, buckets: DataFrame) ->
     sums = rollups.groupBy("site_id", "granularity", "geo_level", "geo_area_id", "event_type", "bucket_time").agg(F.sum("event_count").alias("n"))
     area = F.coalesce("r_geo_area_id", F.lit(""))
     same = [F.col(c) == F.col(f"r_{c}") for c in ("site_id", "event_type", "geo_level", "granularity")] + [(area == "") | (F.col("geo_area_id") == area)]
-    found = sums.join(F.broadcast(r), same).groupBy(F.col("r_rule_id").alias("rule_id"), "bucket_time").agg(F.sum("n").alias("measured"))
+    found = sums.join(C.small(r), same).groupBy(F.col("r_rule_id").alias("rule_id"), "bucket_time").agg(F.sum("n").alias("measured"))
     return buckets.select("rule_id", "bucket_time").join(found, ["rule_id", "bucket_time"], "left").withColumn("measured", F.coalesce("measured", F.lit(0)))
 
 
@@ -39,7 +39,7 @@ def evaluate_alerts(rollups: DataFrame, rules: DataFrame, now: str, lookback: in
     newest = F.when(F.col("granularity") == "1d", C.bucket_floor(clock, "1d")).otherwise(C.bucket_floor(clock, "5m"))
     back = F.explode(F.sequence(F.lit(0), F.lit(max(1, lookback) - 1)))
     buckets = rules.withColumn("back", back).select("rule_id", (newest - _step(F.col("granularity")) * F.col("back")).alias("bucket_time"))
-    hits = measure_alerts(rollups, rules, buckets).join(F.broadcast(rules.select(*RULE)), "rule_id").where(C.fires(F.col("measured"), F.col("threshold"), F.col("comparator")))
+    hits = measure_alerts(rollups, rules, buckets).join(C.small(rules.select(*RULE)), "rule_id").where(C.fires(F.col("measured"), F.col("threshold"), F.col("comparator")))
     first = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("bucket_time")))
     return hits.withColumn("nth", first).where("nth = 1").drop("nth")
 
@@ -75,7 +75,7 @@ def backtest_alerts(rollups: DataFrame, rules: DataFrame, start: str, end: str)
     rules = valid_rules(rules)
     first, last = F.expr(f"timestamp_ntz '{start}'"), F.expr(f"timestamp_ntz '{end}'")
     buckets = rules.select("rule_id", F.explode(F.sequence(first, last, _step(F.col("granularity")))).alias("bucket_time")).where(F.col("bucket_time") < last)
-    hits = measure_alerts(rollups, rules, buckets).join(F.broadcast(rules.select(*RULE)), "rule_id").where(C.fires(F.col("measured"), F.col("threshold"), F.col("comparator")))
+    hits = measure_alerts(rollups, rules, buckets).join(C.small(rules.select(*RULE)), "rule_id").where(C.fires(F.col("measured"), F.col("threshold"), F.col("comparator")))
     epoch = F.unix_seconds(F.col("bucket_time").cast("timestamp"))
     per = hits.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct(epoch.alias("t"), "measured"))).alias("seen"), F.first("cooldown_seconds").alias("cool"))
     start_state = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,measured:bigint>>").alias("kept"))

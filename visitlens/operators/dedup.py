@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,36 +30,77 @@ def dedup_inbox(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame
 
 
 def dedup_ttl(events: DataFrame, seconds: int = 86_400) -> DataFrame:
-    """An event id goes if it was let through within the last ``seconds``."""
+    """An event id goes if it was let through within the last ``seconds``; of records
+    that are alike in id and time, one stays."""
     return _accepted(events, ["event_id"], seconds, F.lit(True))
 
 
-def throttle_visits(events: DataFrame, seconds: int = 300) -> DataFrame:
-    """Page views of the same site, visitor and page within ``seconds`` of the last one
-    that was let through are dropped; other events, and those without key, stay."""
+def visit_keys(events: DataFrame) -> DataFrame:
+    """``events`` with _key (the visitor) and _counts: whether the throttle looks at it."""
     key = C.session_key(F.col("session_id"), F.col("anon_id"), F.col("ip_hash"), F.col("device_type"))
-    rows = events.withColumn("_key", key)
-    counts = (F.col("event_type") == "page_view") & F.col("_key").isNotNull() & ~C.blank(F.col("page_url"))
-    return _accepted(rows, ["site_id", "_key", "page_url"], seconds, counts).drop("_key")
+    return events.withColumn("_key", key).withColumn("_counts", _is_visit())
+
+
+VISIT = ["site_id", "_key", "page_url"]
+
+
+def _is_visit():
+    return F.coalesce((F.col("event_type") == "page_view") & F.col("_key").isNotNull() & ~C.blank(F.col("page_url")), F.lit(False))
+
+
+def throttle_visits(events: DataFrame, seconds: int = 300, earlier: DataFrame | None = None) -> DataFrame:
+    """Page views of the same site, visitor and page within ``seconds`` of the last one
+    that was let through are dropped; other events, and those without key, stay.
+    ``earlier`` (site_id, _key, page_url, last in microseconds): what was let through
+    before, by earlier batches."""
+    return _accepted(visit_keys(events).drop("_counts"), VISIT, seconds, _is_visit(), earlier).drop("_key")
 
 
-def _accepted(rows: DataFrame, keys: list[str], seconds: int, counts) -> DataFrame:
+def micros(column: str = "event_time"):
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _accepted(rows: DataFrame, keys: list[str], seconds: int, counts, earlier: DataFrame | None = None) -> DataFrame:
     """A fold over each key's arrivals in time: a row is let through if the expiry of the
-    last one let through is not after it. Rows of different keys never meet; a key's
-    times are folded as an array of two small numbers per row."""
-    rows = rows.withColumn("_counts", F.coalesce(counts, F.lit(False)))
-    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
-    order = F.struct(micros.alias("t"), *[F.col(c).alias(c) for c in ARRIVAL])
-    limit = seconds * 1_000_000
-    state = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("ids"))
-    seen = rows.where("_counts").groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("seen"))
-
-    def fold(acc, x):
-        take = acc["last"].isNull() | (x["t"] >= acc["last"] + limit)
-        mark = F.concat_ws("|", x["event_id"], x["t"].cast("string"), x["server_time"].cast("string"))
-        return F.struct(F.when(take, x["t"]).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["ids"], F.array(mark))).otherwise(acc["ids"]).alias("ids"))
-
-    kept = seen.select(*keys, F.explode(F.aggregate("seen", state, fold)["ids"]).alias("_mark"))
-    mark = F.concat_ws("|", "event_id", micros.cast("string"), F.col("server_time").cast("string"))
-    counted = rows.where("_counts").withColumn("_mark", mark).join(kept, [*keys, "_mark"], "left_semi").drop("_mark")
-    return counted.select(*rows.columns).unionByName(rows.where("not _counts")).drop("_counts")
+    last one let through is not after it. Null keys are keys like others.
+
+    An arrival at least ``seconds`` after the one before it is always let through, so a
+    key falls into islands that do not depend on each other. They are found from the
+    first and last arrivals of periods of that length, which are combined before the
+    shuffle; then each island is a stream in time order with one number carried on, and
+    the islands of a hot key are spread over the tasks."""
+    limit, columns = seconds * 1_000_000, rows.columns
+    rows = rows.withColumns({"_counts": F.coalesce(counts, F.lit(False)), "_t": micros()}).withColumn("_period", F.floor(F.col("_t") / limit))
+    counted = rows.where("_counts")
+    by_key = Window.partitionBy(*keys).orderBy("_period")
+    periods = counted.groupBy(*keys, "_period").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    begins = F.coalesce(F.col("_lo") - F.lag("_hi").over(by_key) >= limit, F.lit(True))
+    periods = periods.withColumn("_begin", F.when(begins, F.col("_lo")))
+    periods = periods.withColumn("_island", F.last("_begin", ignorenulls=True).over(by_key)).drop("_lo", "_hi", "_begin")
+    if earlier is not None:
+        periods = _join_null_safe(periods, earlier.withColumnRenamed("last", "_last"), keys, "left")
+    else:
+        periods = periods.withColumn("_last", F.lit(None).cast("long"))
+    dealt = _join_null_safe(counted, periods, [*keys, "_period"], "inner")
+    group = F.to_json(F.struct(*keys, "_island"), {"ignoreNullFields": "false"})
+    dealt = dealt.select(*columns, "_t", "_last", group.alias("_group"))
+
+    def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, until = None, None
+        for batch in batches:
+            keep = []
+            for t, last, g in zip(*(batch.column(c).to_pylist() for c in ("_t", "_last", "_group"))):
+                if g != group:
+                    group, until = g, None if last is None else last + limit
+                keep.append(until is None or t >= until)
+                until = t + limit if keep[-1] else until
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    dealt = dealt.repartition("_group").sortWithinPartitions("_group", "_t", *ARRIVAL)
+    return dealt.mapInArrow(let_through, rows.select(*columns).schema).unionByName(rows.where("not _counts").select(*columns))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    right = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)))
+    return left.join(right, on, how).drop(*[f"_r{i}" for i in range(len(keys))])

@@ -38,8 +38,10 @@ def replay_steps(facts: DataFrame, start: str, end: str, site: str = SITE) -> Da
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str = "event_id") -> DataFrame:
-    """Old rows, and the new ones whose key is not there; one row per new key."""
-    fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
+    """Old rows, and the new ones whose key is not there; of new rows with one key the
+    first in time stays."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy("event_time", *[c for c in new.columns if c not in (key, "event_time", "properties")]))
+    fresh = new.withColumn("_nth", first).where("_nth = 1").drop("_nth").join(old.select(key), key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
@@ -78,12 +80,13 @@ def journey_summary(steps: DataFrame, start: str, end: str, site: str = SITE, ad
 def _match(rules: DataFrame, steps: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Rule table x steps where the rule holds. Rules are a small configuration table."""
     rules = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    return steps.join(F.broadcast(rules), C.rule_match({c: F.col(f"r_{c}") for c in fields}, {c: F.col(c) for c in STEP}))
+    return steps.join(C.small(rules), C.rule_match({c: F.col(f"r_{c}") for c in fields}, {c: F.col(c) for c in STEP}))
 
 
 def content_of_steps(steps: DataFrame, metadata: DataFrame) -> DataFrame:
     """Each step with the metadata it stands for: by type and id, else by page path,
-    else by target path. Metadata of a site is a small table."""
+    else by target path. Metadata grows with the content, so it is not hinted to be
+    broadcast; Spark does that where its size allows."""
     meta = metadata.where("active").select(
         F.col("site_id").alias("m_site"), F.struct("content_type", "content_id", "primary_intent", "intent_weight", "display_title").alias("m"),
         F.lower("content_type").alias("m_type"), F.col("content_id").alias("m_id"), F.col("canonical_path").alias("m_path"),
@@ -92,9 +95,9 @@ def content_of_steps(steps: DataFrame, metadata: DataFrame) -> DataFrame:
 
     def by_path(name: str, column: str):
         side = paths.select(F.col("m_site").alias(f"_{name}_site"), F.col("m_path").alias(f"_{name}_path"), F.col("m").alias(f"_{name}"))
-        return F.broadcast(side), (F.col("site_id") == F.col(f"_{name}_site")) & (F.col(column) == F.col(f"_{name}_path"))
+        return side, (F.col("site_id") == F.col(f"_{name}_site")) & (F.col(column) == F.col(f"_{name}_path"))
 
-    direct = F.broadcast(meta.select("m_site", "m_type", "m_id", F.col("m").alias("direct")))
+    direct = meta.select("m_site", "m_type", "m_id", F.col("m").alias("direct"))
     same = (F.col("site_id") == F.col("m_site")) & (F.lower("content_type") == F.col("m_type")) & (F.col("content_id") == F.col("m_id")) & ~C.blank(F.col("content_id"))
     rows = steps.join(direct, same, "left").join(*by_path("page", "page_path"), "left").join(*by_path("target", "target_path"), "left")
     return rows.withColumn("content", F.coalesce("direct", "_page", "_target")).select(*steps.columns, "content")
@@ -171,7 +174,7 @@ def attribution(steps: DataFrame, snapshots: DataFrame, rules: DataFrame, start:
     per = per.join(scores, "session_id", "left")
     small = rules.where((F.col("site_id") == site) & F.col("active")).select(F.lower("host_pattern").alias("host"), "source_label", "source_type", "priority", "rule_id")
     domains = per.select("referrer_domain").distinct().where("referrer_domain is not null")
-    named = domains.join(F.broadcast(small), F.lower("referrer_domain").contains(F.col("host")))
+    named = domains.join(C.small(small), F.lower("referrer_domain").contains(F.col("host")))
     named = named.groupBy("referrer_domain").agg(F.min(F.struct("priority", "rule_id", "source_label", "source_type")).alias("rule"))
     rows = per.join(named, "referrer_domain", "left")
     none = F.col("referrer_domain").isNull()
@@ -194,8 +197,8 @@ def top_content(steps: DataFrame, metadata: DataFrame, start: str, end: str, sit
         F.col("content_type").alias("m_type"), F.col("content_id").alias("m_id"), F.col("canonical_path").alias("m_path"), "display_title", "cover_url"
     )
     contents = rows.groupBy("path", "content_type", "content_id").agg(F.count("*").alias("n"))
-    by_id = contents.join(F.broadcast(meta), (F.col("content_id") == F.col("m_id")) & (F.col("content_type") == F.col("m_type")))
-    by_path = contents.join(F.broadcast(meta), F.col("path") == F.col("m_path"))
+    by_id = contents.join(meta, (F.col("content_id") == F.col("m_id")) & (F.col("content_type") == F.col("m_type")))
+    by_path = contents.join(meta, F.col("path") == F.col("m_path"))
     named = by_id.unionByName(by_path).groupBy("path").agg(F.max("m_type").alias("m_type"), F.max("display_title").alias("title"), F.max("cover_url").alias("cover_url"))
     totals = rows.groupBy("path").agg(
         F.max("content_type").alias("own_type"), F.count("*").alias("events"), F.count_distinct("session_id").alias("visitors"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def unique_sessions_exact(enriched: DataFrame, granularities=GRANULARITIES) -> D
 
 def unique_sessions_approx(enriched: DataFrame, rsd: float = 0.02, granularities=GRANULARITIES) -> DataFrame:
     """Approximate sessions per ledger key, from sketches that are merged upward."""
-    precision = max(4, min(21, round(2 * __import__("math").log2(1.04 / rsd))))
+    precision = max(4, min(21, round(2 * math.log2(1.04 / rsd))))
     rows = _attributes(enriched).withColumn("session", C.rollup_session_key(F.col("session_id"), F.col("anon_id"), F.col("ip_hash"), F.col("device_type")))
     deepest = _bucketed(rows, granularities).groupBy("site_id", "bucket_time", "granularity", "event_type", *GEO).agg(F.hll_sketch_agg("session", precision).alias("sketch"))
     return geo_ancestors(deepest).groupBy(*LEDGER).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_sessions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, journeys, maintenance, rollups
+from ..operators import alerts, enrich, journeys, maintenance, rollups
 from ..sources import events
 from . import rules as R
 from . import tables as T
@@ -379,7 +379,7 @@ ADMIN = "page_path <> '/admin' and page_path not like '/admin/%'"
 query(
     "visitor_page",
     lambda s, d: maintenance.visitor_page(
-        __import__("visitlens.operators.enrich", fromlist=["x"]).raw_tier(T.raw(s, d)), T.facts(s, d), T.START, T.END, page=1, size=50, path="work", device="desktop"
+        enrich.raw_tier(T.raw(s, d)), T.facts(s, d), T.START, T.END, page=1, size=50, path="work", device="desktop"
     ).select("event_id", "event_time", "page_url", "device_type"),
     f"""select event_id, event_time, page_url, device_type from (select f.*, e.page_url from facts f join enriched e using (event_id)) where {RANGE} and device_type = 'desktop'
         and contains(lower(page_url || ' ' || coalesce(target_path, '')), 'work') and {ADMIN} order by event_time desc, event_id limit 50 offset 50""",
@@ -388,7 +388,7 @@ query(
 query(
     "visitor_query_summary",
     lambda s, d: maintenance.visitor_query_summary(
-        __import__("visitlens.operators.enrich", fromlist=["x"]).raw_tier(T.raw(s, d)), T.facts(s, d), T.START, T.END, query="firefox"
+        enrich.raw_tier(T.raw(s, d)), T.facts(s, d), T.START, T.END, query="firefox"
     ),
     f"""select count(*)::bigint as total_events, count(distinct coalesce(e.session_id, e.anon_id, e.ip_raw))::bigint as unique_visitors, count(distinct e.country)::bigint as countries,
         count(distinct e.metro)::bigint as cities, ceil(count(*) / 50)::bigint as total_pages from enriched e join facts f using (event_id)

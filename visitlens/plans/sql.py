@@ -45,7 +45,7 @@ part(
     "keyed",
     """
 select e.event_id as n, e.ts, e.user_id as u, e.event_type as kind, regexp_extract(e.props, '[0-9]+')::int as k, c.c_nationkey as nk, c.c_mktsegment as seg, n.n_name as nation
-from events e join customer c on e.user_id = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey""",
+from events e left join customer c on e.user_id = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey""",
 )
 part(
     "raw",

@@ -41,7 +41,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")  # 25 rows
     k = F.regexp_extract("props", r"\d+", 0).cast("int")
-    rows = events.join(customers, F.col("user_id") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = events.join(customers, F.col("user_id") == F.col("c_custkey"), "left").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     rows = rows.withColumn("k", k)
     u, k, text, kind = F.col("user_id"), F.col("k"), F.col("user_id").cast("string"), F.col("event_type")
     day = F.dayofmonth("ts")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import columns as C
@@ -19,17 +21,25 @@ from ..sources import events
 
 @dataclass(frozen=True)
 class Config:
-    """Where the tables are, and the parameters of ingestion."""
+    """Where the tables are, and the parameters of ingestion. ``now`` fixes the clock
+    (None: each batch has its own time). ``intent`` has the policies, signal rules and
+    content metadata that snapshots are scored by (None: no snapshots)."""
 
     root: str
-    now: str
+    now: str | None = None
     salt: str = enrich.SALT
     throttle_seconds: int = 300
     granularities: tuple[str, ...] = rollups.GRANULARITIES
+    ledger_days: int = 7
+    session_days: int = 1
+    intent: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def clock(self) -> str:
+        return self.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
+
 
 def stored(spark, path: str) -> DataFrame | None:
     try:
@@ -45,33 +55,87 @@ def _replace(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _days(rows: DataFrame, around: int = 0) -> list[date]:
+    """The days of the rows' event times, and those up to ``around`` days from them."""
+    days = {r[0] for r in rows.select(F.to_date("event_time")).distinct().collect() if r[0] is not None}
+    return sorted({d + timedelta(k) for d in days for k in range(-around, around + 1)})
+
+
+def _others(spark, cfg: Config, name: str, batch_id: int, days: list[date]) -> DataFrame | None:
+    """What other batches have written for those days; other days are not read."""
+    table = stored(spark, cfg.path(name))
+    return None if table is None else table.where(F.col("day").isin(days) & (F.col("batch_id") != batch_id))
+
+
+def current(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the versions that batches wrote of each key, the last."""
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch_id")))
+    return table.withColumn("_nth", newest).where("_nth = 1").drop("_nth", "batch_id")
+
+
 def ingest_batch(records: DataFrame, cfg: Config, batch_id: int) -> None:
-    """JSON records -> dead letters, tiers, facts, journey steps, funnel steps, and the
-    rollups and sessions that they touch. Everything is keyed by event id or recomputed
-    from the facts, so a batch that runs again changes nothing."""
-    spark = records.sparkSession
+    """JSON records -> dead letters, inbox, enriched events, raw tier, facts, legacy log,
+    operation timeline, journey and funnel steps, and the sessions, intent snapshots and
+    rollups that they touch. An id that any batch of the last ``ledger_days`` around the
+    event's day has claimed is not taken again, whether it was let through or throttled;
+    the throttle goes on from what earlier batches let through. Each table is partitioned
+    by day and batch, and only the days that a batch touches (for sessions also
+    ``session_days`` around them) are read; a batch that runs again changes nothing."""
+    spark, now, batch = records.sparkSession, cfg.clock(), F.lit(batch_id).cast("long")
     valid, rejected = enrich.split_valid_dlq(events.parse_raw_events(records))
     maintenance.write_dlq(rejected, cfg.path("dlq"), batch_id)
-    facts = stored(spark, cfg.path("facts"))
-    ledger = None if facts is None else facts.where(F.col("batch_id") != batch_id).select("event_id")
-    fresh = dedup.dedup_inbox(valid, ledger)
-    enriched = dedup.throttle_visits(enrich.enrich_events(fresh, cfg.now, cfg.salt), cfg.throttle_seconds)
-    batch = F.lit(batch_id).cast("long")
-    kept = fresh.join(enriched.select("event_id"), "event_id", "left_semi")
-    _replace(enrich.raw_tier(kept).withColumn("batch_id", batch), cfg.path("raw"), ["batch_id"])
-    _replace(enriched.withColumn("batch_id", batch), cfg.path("enriched"), ["batch_id"])
-    _replace(enrich.facts(enriched).withColumn("batch_id", batch), cfg.path("facts"), ["batch_id"])
-    _replace(journeys.journey_steps(enriched).withColumn("batch_id", batch), cfg.path("journey_steps"), ["batch_id"])
-    _replace(read_models.funnel_steps(enriched).withColumn("batch_id", batch), cfg.path("funnel_steps"), ["batch_id"])
-    rebuild_days(spark, cfg, batch_id)
-
-
-def rebuild_days(spark, cfg: Config, batch_id: int) -> None:
-    """The rollups of every day which the batch touched, anew from the enriched events."""
-    every = spark.read.parquet(cfg.path("enriched"))
-    day = F.to_date("event_time")
-    touched = every.where(F.col("batch_id") == batch_id).select(day.alias("day")).distinct()
-    rows = every.withColumn("day", day).join(touched, "day", "left_semi").drop("day", "batch_id")
+
+    def write(rows: DataFrame, name: str, *by: str) -> None:
+        _replace(rows.withColumn("batch_id", batch), cfg.path(name), [*by, "batch_id"])
+
+    def dated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("day", F.to_date("event_time"))
+
+    timed = valid.withColumn("event_time", F.coalesce("event_time", F.expr(f"timestamp_ntz '{now}'")))
+    inbox = _others(spark, cfg, "inbox", batch_id, _days(timed, cfg.ledger_days))
+    fresh = dedup.dedup_inbox(timed, None if inbox is None else inbox.select("event_id"))
+    write(dated(fresh).select("event_id", "day"), "inbox", "day")
+
+    days = _days(timed, -(-cfg.throttle_seconds // 86_400))
+    visits = _others(spark, cfg, "visits", batch_id, days)
+    earlier = None if visits is None else visits.groupBy(*dedup.VISIT).agg(F.max("last").alias("last"))
+    write(dated(dedup.throttle_visits(enrich.enrich_events(fresh, now, cfg.salt), cfg.throttle_seconds, earlier)), "enriched", "day")
+    mine = spark.read.parquet(cfg.path("enriched")).where(F.col("day").isin(_days(timed)) & (F.col("batch_id") == batch_id)).drop("batch_id", "day")
+    views = dedup.visit_keys(mine).where("_counts")
+    write(dated(views).groupBy(*dedup.VISIT, "day").agg(F.max(dedup.micros()).alias("last")), "visits", "day")
+
+    kept = fresh.join(mine.select("event_id"), "event_id", "left_semi")
+    write(dated(enrich.raw_tier(kept)), "raw", "day")
+    write(dated(enrich.facts(mine)), "facts", "day")
+    write(enrich.legacy_log(mine), "legacy_log")
+    write(enrich.operation_timeline(mine, now), "timeline")
+    write(dated(journeys.journey_steps(mine)), "journey_steps", "day")
+    write(dated(read_models.funnel_steps(mine)), "funnel_steps", "day")
+    update_sessions(spark, cfg, batch_id, mine)
+    rebuild_days(spark, cfg, _days(mine))
+
+
+SESSION = ["site_id", "session_id"]
+
+
+def update_sessions(spark, cfg: Config, batch_id: int, mine: DataFrame) -> None:
+    """New versions of the sessions, and of the intent snapshots, that a batch touched."""
+    days = _days(mine, cfg.session_days)
+
+    def touched(name: str) -> DataFrame:
+        rows = spark.read.parquet(cfg.path(name)).where(F.col("day").isin(days) & (F.col("batch_id") <= batch_id))
+        return rows.drop("day", "batch_id").join(rows.where(F.col("batch_id") == batch_id).select(*SESSION).distinct(), SESSION, "left_semi")
+
+    _replace(read_models.build_sessions(touched("facts")).withColumn("batch_id", F.lit(batch_id).cast("long")), cfg.path("sessions"), ["batch_id"])
+    if cfg.intent is not None:
+        policies, rules, metadata = cfg.intent
+        found = journeys.score_intent(touched("journey_steps"), journeys.active_policy(policies), rules, metadata)
+        _replace(found.withColumn("batch_id", F.lit(batch_id).cast("long")), cfg.path("snapshots"), ["batch_id"])
+
+
+def rebuild_days(spark, cfg: Config, days: list[date]) -> None:
+    """The rollups of those days anew from the enriched events of these days alone."""
+    rows = spark.read.parquet(cfg.path("enriched")).where(F.col("day").isin(days)).drop("day", "batch_id")
     out = rollups.rollup_events(rows, cfg.granularities).withColumn("day", F.to_date("bucket_time"))
     _replace(out, cfg.path("rollups"), ["day", "granularity"])
 
@@ -85,16 +149,16 @@ stream_rollups = stream_ingest
 
 
 def stream_alerts(records: DataFrame, cfg: Config, rules: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Ingest, and after each batch evaluate the rules on the rollups; new incidents are
-    appended once, by their key."""
+    """Ingest, and after each batch evaluate the rules on the rollups at that time's
+    clock; new incidents are appended once, by their key."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         ingest_batch(df, cfg, batch_id)
-        table = df.sparkSession.read.parquet(cfg.path("rollups"))
+        now, table = cfg.clock(), df.sparkSession.read.parquet(cfg.path("rollups"))
         old = stored(df.sparkSession, cfg.path("incidents"))
-        hits = alerts.evaluate_alerts(table, rules, cfg.now)
-        hits = hits if old is None else alerts.apply_cooldown(hits, old, cfg.now)
-        maintenance.append_absent(alerts.open_incidents(hits, old, cfg.now), cfg.path("incidents"), "dedup_key")
+        hits = alerts.evaluate_alerts(table, rules, now)
+        hits = hits if old is None else alerts.apply_cooldown(hits, old, now)
+        maintenance.append_absent(alerts.open_incidents(hits, old, now), cfg.path("incidents"), "dedup_key")
 
     return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
