@@ -351,10 +351,30 @@ def test_licences(spark, empty):
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     cases = {
         "x.\nReleased under the MIT License.": "MIT", mit + notice: "MIT", notice + "\n\n" + mit: "", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
-        "Licensed under the Apache License, Version 2.0. All rights reserved.": "Apache-2.0,all-rights-reserved", "the MIT licence": "", "": "", None: "",
+        "Licensed under the Apache License, Version 2.0. All rights reserved.": "Apache-2.0,all-rights-reserved", "no MIT licence here": "", "": "", None: "",
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert [r.licences for r in licences.scan_licences(rows).orderBy("doc_id").collect()] == list(cases.values())
+    bsd2 = (
+        "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the"
+        " above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and"
+        " the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    )
+    bsd3 = bsd2 + "3. Neither the name of Example Org. Ltd, nor the names of its contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    bsd3 = bsd3.replace("Org. Ltd,", "Organisation")
+    more = {
+        bsd2: "BSD-2-Clause", bsd3: "BSD-3-Clause", bsd3 + bsd2: "BSD-3-Clause",
+        "This software is released under the MIT License.": "MIT", "Licensed under the MIT License (see LICENSE)": "MIT", "All code here is dual licensed under the terms of the BSD 3-Clause License.": "BSD-3-Clause",
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "// SPDX-License-Identifier MPL-2.0": "MPL-2.0", "This library is distributed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "The person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.": "CC0-1.0",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "Unlicense",
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.': "ISC",
+        "the bus is under the bridge": "", "you are licensed to drive": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")
+    got = {k: r.licences for k, r in zip(more, licences.scan_licences(rows).orderBy("doc_id").collect())}
+    assert got == more
     assert licences.scan_licences(empty).count() == 0
 
 
