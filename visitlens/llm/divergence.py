@@ -4,7 +4,8 @@ One pass counts in every whole text its words, characters by class, common words
 repeated lines and words in repeated three-word windows. The counts of all documents of
 a language, added up, are that language's reference. A document's two histograms are
 compared with each reference by Jensen-Shannon distance, and the nearest language
-decides. A histogram is judged only if its document is long enough for it.
+decides. Documents under ``min_words`` words are not judged by distance, and the limit
+of the word distance falls with the length of the document.
 
 Defined results: a null text has no words; texts of under ``min_words`` words or with
 more than half of their words in repeated windows fail on these grounds; without any
@@ -32,9 +33,10 @@ _STRIP = (r"[a-z]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]+", r"[A-Z]+", r"[0-9]+",
 _SPACE = r"[\x20\x09-\x0D]+"
 
 MIN_WORDS = 50
-MIN_COMMON_WORDS = 200
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.28
+#: the word histogram of n words may be max(least, base + fall / sqrt(n)) away: what sampling
+#: alone moves it falls with the square root of the length
+WORD_LEAST, WORD_BASE, WORD_FALL = 0.20, 0.08, 1.5
 
 
 def _let(value: Column, body) -> Column:
@@ -109,9 +111,8 @@ def _with_rest(common: Column, n_words: Column) -> Column:
 def judge(
     docs: DataFrame,
     min_words: int = MIN_WORDS,
-    min_common_words: int = MIN_COMMON_WORDS,
     max_class_distance: float = MAX_CLASS_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    word_limit: tuple[float, float, float] = (WORD_LEAST, WORD_BASE, WORD_FALL),
 ) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, class_distance and word_distance."""
     each = stored(counts(docs), "text-counts")
@@ -137,9 +138,9 @@ def judge(
     rows = each.withColumn("base_failed", failed)
     near = F.when(n > 0, nearest) if refs else F.lit(None).cast("struct<both double, c double, w double>")
     rows = rows.withColumn("near", near)
-    good = (F.coalesce(F.col("near.c"), F.lit(0.0)) <= max_class_distance) & (
-        (n < min_common_words) | (F.coalesce(F.col("near.w"), F.lit(0.0)) <= max_word_distance)
-    )
+    least, base, fall = word_limit
+    most = F.greatest(F.lit(least), base + fall / F.sqrt(F.greatest(n, F.lit(1))))
+    good = (F.coalesce(F.col("near.c"), F.lit(0.0)) <= max_class_distance) & (F.coalesce(F.col("near.w"), F.lit(0.0)) <= most)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"),
         F.col("near.c").alias("class_distance"), F.col("near.w").alias("word_distance"),
@@ -181,5 +182,5 @@ j as (select doc_id, {js('pc', 'qc', n + 1)} as dc, {js('pw', 'qw', len(COMMON)
 m as (select doc_id, arg_min(dc, dc + dw) as dc, arg_min(dw, dc + dw) as dw from j group by doc_id),
 b as (select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words, dc, dw from c left join r using (doc_id) left join m using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and coalesce(dc, 0) <= {MAX_CLASS_DISTANCE} and (n_words < {MIN_COMMON_WORDS} or coalesce(dw, 0) <= {MAX_WORD_DISTANCE}) as kept
+  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and coalesce(dc, 0) <= {MAX_CLASS_DISTANCE} and coalesce(dw, 0) <= greatest({WORD_LEAST}::double, {WORD_BASE}::double + {WORD_FALL}::double / sqrt(greatest(n_words, 1))) as kept
 from b"""
