@@ -380,7 +380,7 @@ def test_licences(spark, empty):
 
 def test_language_model(docs, empty, spark):
     training = docs.where("doc_id % 4 <> 0")
-    rows = {r.doc_id: r for r in hpylm.score(docs, training, contexts=8, heavy=40).collect()}
+    rows = {r.doc_id: r for r in hpylm.score(docs, training, heavy=40).collect()}
     toks = {r.doc_id: [*WORD.findall(lower(r.text)), None] for r in docs.collect()}
     c = collections.Counter(w for i, t in toks.items() if i % 4 for w in t)
     n, v = sum(c.values()), len(c)
@@ -388,29 +388,40 @@ def test_language_model(docs, empty, spark):
         r = rows[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
-    again = {r.doc_id: r.score for r in hpylm.score(docs.repartition(3), training, contexts=8, heavy=40).collect()}
+    again = {r.doc_id: r.score for r in hpylm.score(docs.repartition(3), training, heavy=40).collect()}
     assert all(rows[i].score == pytest.approx(again[i], rel=1e-6) for i in rows)
-    assert hpylm.score(empty, training, contexts=8, heavy=40).count() == 0
+    assert hpylm.score(empty, training, heavy=40).count() == 0
     unlearnt = hpylm.score(spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string"), empty).collect()
     assert len(unlearnt) == 2 and all(r.score == pytest.approx(0.0, abs=1e-6) for r in unlearnt)
 
 
+def test_language_model_learns_alike_from_a_column_or_another_table(spark):
+    """Which of its rows a table learns from may be said by a column or by a second table;
+    in the second case no pair of the scored texts is taken for the training's own."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 60))), k % 3 != 0) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learns boolean")
+    want = {r.doc_id: r.score for r in hpylm.score(docs, docs.where("learns"), heavy=20).collect()}
+    for options in ({"heavy": 20}, {"heavy": 500, "pairs": 30}):
+        assert {r.doc_id: r.score for r in hpylm.score(docs, "learns", **options).collect()} == pytest.approx(want, rel=1e-6)
+
+
 def test_language_model_sums_to_one(spark):
-    """After the beginning of a text, the probabilities of all words, of the end and of
-    the unknown word add up to 1."""
+    """The probabilities of all words, of the unknown word and of the end add up to 1
+    behind every context. With s(x) = P(x | begin) P(end | x) and s(xw), the ends behind
+    each word are solved for; then what follows the beginning has to add up."""
     rng = random.Random(2)
-    texts = spark.createDataFrame([(k, " ".join(rng.choice("abcdefg") for _ in range(50))) for k in range(20)], "doc_id long, text string")
+    texts = spark.createDataFrame([(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 12)))) for k in range(90)], "doc_id long, text string")
     words = [*"abcdefg", "zz"]
-    # P(w | begin) = P("w" then end) / P(end | w); the heavy table of one word fewer than
-    # there are sends some words the other way
+    asked = ["", *words, *(f"{x} {w}" for x in words for w in words)]
+    # the heavy table of fewer words than there are sends some words the other way
     for heavy in (100, 3):
-        ask = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(50 + k, f"{w} {w}") for k, w in enumerate(words)] + [(99, "")], "doc_id long, text string")
-        got = {r.doc_id: r.score for r in hpylm.score(ask, texts, contexts=2, heavy=heavy).collect()}
-        # with two contexts, what follows any word is of one distribution: "w w" / "w" = P(w | other)
-        total = sum(10 ** (got[50 + k] - got[k]) for k in range(len(words)))
-        end_after_word = 1 - total
-        first = sum(10 ** got[k] / end_after_word for k in range(len(words)))
-        assert 0 < end_after_word < 0.1 and first + 10 ** got[99] == pytest.approx(1, abs=1e-3)
+        got = {r.doc_id: 10**r.score for r in hpylm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), texts, heavy=heavy).collect()}
+        s = {t: got[k] for k, t in enumerate(asked)}
+        end = dict.fromkeys(words, 0.1)
+        for _ in range(2000):
+            end = {x: 1 / (1 + sum(s[f"{x} {w}"] / (s[x] * end[w]) for w in words)) for x in words}
+        assert sum(s[x] / end[x] for x in words) + s[""] == pytest.approx(1, abs=1e-3)
 
 
 def test_language_model_has_a_restaurant_for_every_previous_word(spark):
