@@ -39,8 +39,8 @@ def replay_steps(facts: DataFrame, start: str, end: str, site: str = SITE) -> Da
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str = "event_id") -> DataFrame:
     """Old rows, and the new ones whose key is not there; of new rows with one key the
-    first in time stays."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy("event_time", *[c for c in new.columns if c not in (key, "event_time", "properties")]))
+    first stays, by event_time where it is there, then by the other columns."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*sorted((c for c, kind in new.dtypes if c != key and not kind.startswith("map")), key=lambda c: c != "event_time"), F.lit(0)))
     fresh = new.withColumn("_nth", first).where("_nth = 1").drop("_nth").join(old.select(key), key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
