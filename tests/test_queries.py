@@ -2,7 +2,7 @@
 
 import pytest
 
-from visitlens.plans import journey_queries, registry  # noqa: F401
+from visitlens.plans import column_queries, journey_queries, registry  # noqa: F401
 
 
 def rows(columns, data):
