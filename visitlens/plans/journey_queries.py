@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import alerts, enrich, journeys, maintenance, rollups
 from ..sources import events
 from . import rules as R
@@ -371,7 +372,21 @@ _history(
     """select 'Alert: ' || name as title, comparator || ' ' || name || ' threshold ' || threshold || ' (measured ' || measured || ', bucket ' || strftime(bucket_time, '%Y-%m-%dT%H:%M:%SZ') || ')' as summary,
        rule_id::varchar as source_id, 'incident:' || dedup_key as idempotency_key from i""",
 )
-query("apply_cooldown", lambda s, d: alerts.apply_cooldown(hits(s, d), history(s, d), AT).select("rule_id", "bucket_time", "measured"))
+
+
+def fired_days(s: SparkSession, d: str) -> DataFrame:
+    """Every day on which a rule's condition holds."""
+    rules = R.alert_rules(s).where("granularity = '1d' and enabled")
+    days = rules.select("rule_id", F.explode(F.expr("sequence(timestamp_ntz '2024-01-01', timestamp_ntz '2024-01-30', interval 1 day)")).alias("bucket_time"))
+    rows = alerts.measure_alerts(both_rollups(s, d), rules, days).join(C.small(rules.select(*alerts.RULE)), "rule_id")
+    return rows.where(C.fires(F.col("measured"), F.col("threshold"), F.col("comparator")))
+
+
+_history(
+    "apply_cooldown", lambda s, d: alerts.apply_cooldown(fired_days(s, d), history(s, d), "2024-01-29T00:00:00").select("rule_id", "bucket_time", "measured"),
+    """select rule_id, bucket_time, measured from o where not exists (
+         select 1 from i where i.rule_id = o.rule_id and i.created_at >= timestamp '2024-01-29 00:00:00' - to_seconds(o.cooldown_seconds))""",
+)
 
 # ---------------------------------------------------------------- log, retention, windows, backfill
 

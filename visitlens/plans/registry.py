@@ -139,6 +139,22 @@ query(
     "rollups",
 )
 query("unique_sessions_approx", lambda s, d: rollups.unique_sessions_approx(T.enriched(s, d)))
+
+
+def _approx_bound(s: SparkSession, d: str) -> DataFrame:
+    """For each key the exact sessions, and whether the sketch is within a tenth of them."""
+    near = rollups.unique_sessions_approx(T.enriched(s, d)).withColumnRenamed("unique_sessions", "near")
+    exact = rollups.unique_sessions_exact(T.enriched(s, d)).groupBy(*rollups.LEDGER).agg(F.sum("unique_sessions").alias("unique_sessions"))
+    within = F.abs(F.col("near") - F.col("unique_sessions")) <= F.greatest(F.lit(1.0), F.col("unique_sessions") * 0.1)
+    return near.join(exact, list(rollups.LEDGER), "full").select(*rollups.LEDGER, "unique_sessions", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+query(
+    "unique_sessions_approx_bound",
+    _approx_bound,
+    f"select {', '.join(rollups.LEDGER)}, sum(unique_sessions)::bigint as unique_sessions, true as within from rollups group by all",
+    "rollups",
+)
 query(
     "rollup_1d_from_5m",
     lambda s, d: rollups.rollup_1d_from_5m(rollups.event_rollups(T.enriched(s, d), "5m")),
