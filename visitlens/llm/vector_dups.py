@@ -5,11 +5,11 @@ spreads that over all coordinates; these are cut into blocks, and if the whole d
 is within the budget, at least one block's is within its proportional share. In every
 block, the first coordinates make a grid of cells twice as wide as the block's radius. A
 vector belongs to one cell and visits those smaller cells which its radius reaches, so
-each pair within the radius meets in one cell. There the block distances and then the
-exact cosine in double precision are checked. A pair found in several blocks counts in
-the first only, so link counts add up. Exact copies are one vector with a weight; cells
-with many vectors are cut into tiles. A cell sends each member's link count and its
-root within the cell, never the pairs.
+each pair within the radius meets in one cell. There the pairs within the block's budget
+are candidates, and only these are verified by the exact cosine in double precision. A
+pair found in several blocks counts in the first only, so link counts add up. Exact
+copies are one vector with a weight; cells with many vectors are cut into tiles. A cell
+sends each member's link count and its root within the cell, never the pairs.
 
 Defined results: null, empty or zero vectors, those with null or non-finite components,
 and rows without label link with nothing; vectors of unlike length are not compared;
@@ -32,6 +32,7 @@ COSINE = 0.98
 BLOCKS = 8
 GRID_DIMS = 2
 SLACK = 1e-9  # of distances, for rounding
+PAIRS = 1 << 14  # candidates verified at a time
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -102,26 +103,32 @@ def _compare(cosine: float, blocks: int):
         if not n_home or len(pdf) < 2:
             return none
         raw = np.array(pdf["vector"].tolist(), np.float64)
-        unit = _unit(raw)
-        turned = unit @ rotation(dims)
+        turned = _unit(raw) @ rotation(dims)
         edges = block_edges(dims, blocks)
         budget = (2 - 2 * cosine) * np.diff(edges) / dims + SLACK
         norm = np.sqrt((raw * raw).sum(1))
+        part = turned[:, edges[block] : edges[block + 1]]
+        square = (part * part).sum(1)
         left, right = [], []
         for lo in range(0, n_home, 256):
             hi = min(lo + 256, n_home)
-            a, b = np.nonzero(unit[lo:hi] @ unit.T >= cosine - 1e-6)
+            gap = square[lo:hi, None] + square - 2 * part[lo:hi] @ part.T
+            a, b = np.nonzero(gap <= budget[block] + SLACK)  # candidates of this block alone
             a = a + lo
             ok = b > a  # homes come first: a home pair once, a home and a visitor once
             if split:
                 ok &= salt[a] != salt[b]
             a, b = a[ok], b[ok]
-            exact = (raw[a] * raw[b]).sum(1) / (norm[a] * norm[b]) >= cosine
-            a, b = a[exact], b[exact]
-            gap = np.add.reduceat((turned[a] - turned[b]) ** 2, edges[:-1], axis=1) if len(a) else np.zeros((0, len(budget)))
-            first = (gap <= budget).argmax(1) == block
-            left.append(a[first])
-            right.append(b[first])
+            for at in range(0, len(a), PAIRS):
+                i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+                exact = (raw[i] * raw[j]).sum(1) / (norm[i] * norm[j]) >= cosine
+                i, j = i[exact], j[exact]
+                gaps = np.add.reduceat((turned[i] - turned[j]) ** 2, edges[:-1], axis=1) if len(i) else np.zeros((0, len(budget)))
+                first = (gaps <= budget).argmax(1) == block
+                left.append(i[first])
+                right.append(j[first])
+        if not left:
+            return none
         left, right = np.concatenate(left), np.concatenate(right)
         if not len(left):
             return none
