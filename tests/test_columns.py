@@ -139,3 +139,9 @@ def test_rollup_of_an_event_without_geo_is_global_only(spark):
     ).withColumns({"event_time": F.expr("timestamp_ntz '2024-01-01 12:03:00'"), "server_time": F.expr("timestamp_ntz '2024-01-01 12:03:00'")})
     got = rollups.rollup_events(row).collect()
     assert {(r.granularity, r.geo_level, r.device_type, r.event_count, r.unique_sessions) for r in got} == {("5m", "GLOBAL", "unknown", 1, 1), ("1d", "GLOBAL", "unknown", 1, 1)}
+
+
+def test_white_space_alone_is_blank(spark):
+    values = [None, "", " ", "\t", "\n \r", "\u000b", "a", " a\t"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(C.blank(F.col("v")).alias("b"), C.filled(F.col("v")).alias("f")).collect()
+    assert [r.b for r in got] == [True] * 6 + [False] * 2 and [r.f for r in got][6:] == ["a", " a\t"]

@@ -33,7 +33,7 @@ LOOPBACK_IP = r"(?i)^(127(\.[0-9]{1,3}){3}|::1|0:0:0:0:0:0:0:1)$"
 
 def blank(c: Column) -> Column:
     """Null, empty or only white space."""
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | ~c.rlike(r"\S")
 
 
 def filled(c: Column) -> Column:

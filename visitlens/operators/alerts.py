@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..scratch import Scratch
+from . import greedy
 
 RULE = ("rule_id", "site_id", "name", "event_type", "geo_level", "geo_area_id", "granularity", "threshold", "comparator", "cooldown_seconds", "enabled", "version")
 
@@ -69,23 +71,16 @@ def open_incidents(hits: DataFrame, incidents: DataFrame | None, now: str) -> Da
 
 
 def backtest_alerts(rollups: DataFrame, rules: DataFrame, start: str, end: str) -> DataFrame:
-    """Every rule over every bucket of [start, end): buckets that fire and are not within
-    the cooldown of the last one that did. A rule's firing buckets are folded as one
-    small array."""
+    """Every rule over every bucket of [start, end): buckets that fire and come more than
+    the cooldown after the last one that did."""
     rules = valid_rules(rules)
     first, last = F.expr(f"timestamp_ntz '{start}'"), F.expr(f"timestamp_ntz '{end}'")
     buckets = rules.select("rule_id", F.explode(F.sequence(first, last, _step(F.col("granularity")))).alias("bucket_time")).where(F.col("bucket_time") < last)
     hits = measure_alerts(rollups, rules, buckets).join(C.small(rules.select(*RULE)), "rule_id").where(C.fires(F.col("measured"), F.col("threshold"), F.col("comparator")))
     epoch = F.unix_seconds(F.col("bucket_time").cast("timestamp"))
-    per = hits.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct(epoch.alias("t"), "measured"))).alias("seen"), F.first("cooldown_seconds").alias("cool"))
-    start_state = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,measured:bigint>>").alias("kept"))
-
-    def fold(acc, x):
-        take = acc["last"].isNull() | (x["t"] > acc["last"] + F.col("cool"))
-        return F.struct(F.when(take, x["t"]).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = per.select("rule_id", F.explode(F.aggregate("seen", start_state, fold)["kept"]).alias("k"))
-    return kept.select("rule_id", F.timestamp_seconds("k.t").cast("timestamp_ntz").alias("bucket_time"), F.col("k.measured").alias("measured"))
+    seen = Scratch(hits.sparkSession).store(hits.select(F.struct("rule_id").alias("_k"), "rule_id", epoch.alias("_t"), "bucket_time", "measured", "cooldown_seconds"), "alert-hits")
+    kept = greedy.select(seen, ["rule_id"], F.col("_t"), F.greatest(F.col("cooldown_seconds"), F.lit(0)) + 1)
+    return seen.join(kept, ["_k", "_t"], "left_semi").select("rule_id", "bucket_time", "measured")
 
 
 def notification_status(incidents: DataFrame, attempts: DataFrame, most: int = 8, retry: str = "60 seconds") -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from operator import and_
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..scratch import Scratch
+from . import greedy
 
 ARRIVAL = ("server_time", "event_id")
 
@@ -31,7 +28,7 @@ def dedup_inbox(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame
 
 def dedup_ttl(events: DataFrame, seconds: int = 86_400) -> DataFrame:
     """An event id goes if it was let through within the last ``seconds``; of records
-    that are alike in id and time, one stays."""
+    that are alike in id and time, one stays, also of those without a time."""
     return _accepted(events, ["event_id"], seconds, F.lit(True))
 
 
@@ -62,45 +59,20 @@ def micros(column: str = "event_time"):
 
 def _accepted(rows: DataFrame, keys: list[str], seconds: int, counts, earlier: DataFrame | None = None) -> DataFrame:
     """A fold over each key's arrivals in time: a row is let through if the expiry of the
-    last one let through is not after it. Null keys are keys like others.
-
-    An arrival at least ``seconds`` after the one before it is always let through, so a
-    key falls into islands that do not depend on each other. They are found from the
-    first and last arrivals of periods of that length, which are combined before the
-    shuffle; then each island is a stream in time order with one number carried on, and
-    the islands of a hot key are spread over the tasks."""
-    limit, columns = seconds * 1_000_000, rows.columns
-    rows = rows.withColumns({"_counts": F.coalesce(counts, F.lit(False)), "_t": micros()}).withColumn("_period", F.floor(F.col("_t") / limit))
-    counted = rows.where("_counts")
-    by_key = Window.partitionBy(*keys).orderBy("_period")
-    periods = counted.groupBy(*keys, "_period").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    begins = F.coalesce(F.col("_lo") - F.lag("_hi").over(by_key) >= limit, F.lit(True))
-    periods = periods.withColumn("_begin", F.when(begins, F.col("_lo")))
-    periods = periods.withColumn("_island", F.last("_begin", ignorenulls=True).over(by_key)).drop("_lo", "_hi", "_begin")
+    last one let through is not after it. Null keys are keys like others; of rows of a key
+    without a time, one is let through, and it starts no wait. Of rows alike in key and
+    time the first arrival stands for all. What came before ``earlier``'s expiry is out
+    at once, and what is left is selected along links from arrival to arrival, so that
+    the arrivals of a hot key are spread over the tasks whether they have gaps or not."""
+    columns = rows.columns
+    rows = rows.withColumns({"_counts": F.coalesce(counts, F.lit(False)), "_t": micros()})
+    counted = rows.where("_counts").withColumn("_k", F.struct(*keys))
     if earlier is not None:
-        periods = _join_null_safe(periods, earlier.withColumnRenamed("last", "_last"), keys, "left")
-    else:
-        periods = periods.withColumn("_last", F.lit(None).cast("long"))
-    dealt = _join_null_safe(counted, periods, [*keys, "_period"], "inner")
-    group = F.to_json(F.struct(*keys, "_island"), {"ignoreNullFields": "false"})
-    dealt = dealt.select(*columns, "_t", "_last", group.alias("_group"))
-
-    def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, until = None, None
-        for batch in batches:
-            keep = []
-            for t, last, g in zip(*(batch.column(c).to_pylist() for c in ("_t", "_last", "_group"))):
-                if g != group:
-                    group, until = g, None if last is None else last + limit
-                keep.append(until is None or t >= until)
-                until = t + limit if keep[-1] else until
-            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
-
-    dealt = dealt.repartition("_group").sortWithinPartitions("_group", "_t", *ARRIVAL)
-    return dealt.mapInArrow(let_through, rows.select(*columns).schema).unionByName(rows.where("not _counts").select(*columns))
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)))
-    return left.join(right, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+        last = earlier.select(F.struct(*keys).alias("_k"), (F.col("last") + seconds * 1_000_000).alias("_until"))
+        counted = counted.join(last, "_k", "left").where("_until is null or _t is null or _t >= _until").drop("_until")
+    first = counted.groupBy("_k", "_t").agg(F.min_by(F.struct(*columns), F.struct(*ARRIVAL)).alias("_row"))
+    first = Scratch(rows.sparkSession).store(first, "first-arrivals")
+    taken = greedy.select(first.select("_k.*", "_t"), keys, F.col("_t"), F.lit(seconds * 1_000_000))
+    timed = first.where("_t is not null").join(taken, ["_k", "_t"], "left_semi")
+    kept = timed.unionByName(first.where("_t is null")).select("_row.*")
+    return kept.unionByName(rows.where("not _counts").select(*columns))
