@@ -103,30 +103,52 @@ def content_of_steps(steps: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.coalesce("direct", "_page", "_target")).select(*steps.columns, "content")
 
 
+def intent_parts(steps: DataFrame, rules: DataFrame, metadata: DataFrame) -> DataFrame:
+    """What steps count for, per site and session: a row for each rule that matched and for
+    each content item with a weight, with n matches, of which ``most`` count ``w`` each.
+    Parts of several sets of steps are merged by adding up n."""
+    keys = ["site_id", "session_id"]
+    hits = _match(rules.drop("policy_id"), steps, SIGNAL_RULE)
+    found = hits.groupBy(*keys, F.col("r_rule_key").alias("signal_key")).agg(
+        F.first("r_description").alias("description"), F.first("r_intent_dimension").alias("dimension"), F.count("*").alias("n"), F.first("r_max_occurrences").cast("long").alias("most"),
+        F.first("r_base_weight").cast("long").alias("w"),
+    )
+    identity = F.concat(F.lit("content:"), "content.content_type", F.lit(":"), "content.content_id")
+    title = F.coalesce("content.display_title", F.lit("Matched stored content intent metadata"))
+    content = content_of_steps(steps, metadata).where("content.intent_weight > 0").groupBy(*keys, identity.alias("signal_key"), title.alias("description"), F.col("content.primary_intent").alias("dimension"), F.col("content.intent_weight").cast("long").alias("w")).agg(F.count("*").alias("n"))
+    return found.unionByName(content.withColumn("most", F.lit(1).cast("long")))
+
+
+def merge_intent_parts(parts: DataFrame) -> DataFrame:
+    """Parts of all batches, what is said of a signal being what the last batch said."""
+    said = F.struct("as_of", "description", "dimension", "most", "w")
+    rows = parts.groupBy("site_id", "session_id", "signal_key").agg(F.sum("n").alias("n"), F.max(said).alias("said"))
+    return rows.select("site_id", "session_id", "signal_key", "said.description", "said.dimension", "n", "said.most", "said.w", "said.as_of")
+
+
+def intent_spans(steps: DataFrame) -> DataFrame:
+    """First and last event of each session; also what merges such rows."""
+    first, last = ("first_event", "last_event") if "first_event" in steps.columns else ("event_time", "event_time")
+    return steps.groupBy("site_id", "session_id").agg(F.min(first).alias("first_event"), F.max(last).alias("last_event"))
+
+
 def score_intent(steps: DataFrame, policy: DataFrame, rules: DataFrame, metadata: DataFrame) -> DataFrame:
     """A snapshot per site and session: score, level, dominant dimension, scores by
     dimension and the signals behind them. Matches are counted before rules are joined
     to their weights, so a long session shrinks to a few rows at once."""
+    return score_parts(intent_parts(steps, rules, metadata), intent_spans(steps), policy)
+
+
+def score_parts(parts: DataFrame, spans: DataFrame, policy: DataFrame) -> DataFrame:
     keys = ["site_id", "session_id"]
-    hits = _match(rules.drop("policy_id"), steps, SIGNAL_RULE)
-    found = hits.groupBy(*keys, "r_rule_key").agg(
-        F.count("*").alias("n"), F.first("r_description").alias("description"), F.first("r_intent_dimension").alias("dimension"), F.first("r_base_weight").alias("w"),
-        F.first("r_max_occurrences").alias("most"),
-    )
     n = F.least("n", "most")
-    signals = found.select(*keys, F.struct(F.col("r_rule_key").alias("signal_key"), "description", "dimension", n.cast("int").alias("occurrences"), (n * F.col("w")).cast("int").alias("score")).alias("signal"))
-    content = content_of_steps(steps, metadata).where("content.intent_weight > 0").select(*keys, "content.*").distinct()
-    identity = F.concat(F.lit("content:"), "content_type", F.lit(":"), "content_id")
-    title = F.coalesce("display_title", F.lit("Matched stored content intent metadata"))
-    content = content.select(*keys, F.struct(identity.alias("signal_key"), title.alias("description"), F.col("primary_intent").alias("dimension"), F.lit(1).alias("occurrences"), F.col("intent_weight").cast("int").alias("score")).alias("signal"))
-    both = signals.unionByName(content)
+    both = parts.select(*keys, F.struct("signal_key", "description", "dimension", n.cast("int").alias("occurrences"), (n * F.col("w")).cast("int").alias("score")).alias("signal"))
     by_dimension = both.groupBy(*keys, F.col("signal.dimension").alias("dimension")).agg(F.sum("signal.score").alias("score"))
     dims = by_dimension.groupBy(*keys).agg(
         F.sum("score").alias("raw"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "score")))).alias("dimension_scores"),
         F.min(F.struct((-F.col("score")).alias("s"), "dimension"))["dimension"].alias("dominant_intent"),
     )
     listed = both.groupBy(*keys).agg(F.array_sort(F.collect_list("signal")).alias("contributing_signals"))
-    spans = steps.groupBy(*keys).agg(F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"))
     p = policy.select("policy_id", F.col("version").alias("policy_version"), "medium_threshold", "high_threshold", "max_score", F.col("site_id").alias("p_site"))
     rows = spans.join(F.broadcast(p), F.col("site_id") == F.col("p_site")).join(dims, keys, "left").join(listed, keys, "left")
     score = F.least("max_score", F.coalesce("raw", F.lit(0))).cast("int")

@@ -126,21 +126,39 @@ def top_entry_pages(sessions: DataFrame, now: str, site: str = SITE, window: str
 # ---------------------------------------------------------------- sessions and funnels
 
 
-def build_sessions(facts: DataFrame) -> DataFrame:
-    """A row per site and session; ties in time go by event id."""
-    order = F.struct("event_time", "event_id")
-    last = F.struct("event_time", "event_id")
-    rows = facts.where("session_id is not null").withColumn("_page", F.when(F.col("page_path").isNotNull(), order))
+SESSION = ["site_id", "session_id"]
+
+
+def session_parts(facts: DataFrame) -> DataFrame:
+    """What a set of facts says about its sessions, in a form that can be merged."""
+    page = F.when(F.col("page_path").isNotNull(), F.struct("event_time", "event_id", "page_path"))
     event = F.col("event_name")
-    out = rows.withColumn("_last", last).groupBy("site_id", "session_id").agg(
+    rows = facts.where("session_id is not null").withColumn("_page", page)
+    return rows.groupBy(*SESSION).agg(
         F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"), F.count_if(event == "page_view").alias("page_views"),
         F.count_if(event.isin("outbound_link_clicked", "search_result_clicked", "recommendation_click")).alias("clicks"),
-        F.min_by("page_path", "_page").alias("entry_page"), F.max_by("page_path", "_page").alias("exit_page"), F.max("anon_id_hash").alias("anon_id"),
+        F.min("_page").alias("entry"), F.max("_page").alias("exit"), F.max("anon_id_hash").alias("anon_id"),
         F.max("device_type").alias("device_type"), F.max("browser").alias("browser"), F.max("os").alias("os"), F.max("country").alias("country"),
         F.max("geo_area_id").alias("geo_area_id"),
     )
+
+
+def merge_session_parts(parts: DataFrame) -> DataFrame:
+    least, sums = ("first_event", "entry"), ("page_views", "clicks")
+    return parts.groupBy(*SESSION).agg(*[(F.min if c in least else F.sum if c in sums else F.max)(c).alias(c) for c in parts.columns if c not in SESSION])
+
+
+def sessions_of(parts: DataFrame) -> DataFrame:
     ms = F.floor(F.unix_micros(F.col("last_event").cast("timestamp")) / 1000) - F.floor(F.unix_micros(F.col("first_event").cast("timestamp")) / 1000)
-    return out.withColumn("duration_ms", F.greatest(F.lit(0), ms).cast("long"))
+    return parts.select(
+        *SESSION, "first_event", "last_event", "page_views", "clicks", F.col("entry.page_path").alias("entry_page"), F.col("exit.page_path").alias("exit_page"), "anon_id", "device_type", "browser",
+        "os", "country", "geo_area_id", F.greatest(F.lit(0), ms).cast("long").alias("duration_ms"),
+    )
+
+
+def build_sessions(facts: DataFrame) -> DataFrame:
+    """A row per site and session; ties in time go by event id."""
+    return sessions_of(session_parts(facts))
 
 
 def funnel_steps(enriched: DataFrame, steps: tuple[str, ...] = FUNNEL) -> DataFrame:

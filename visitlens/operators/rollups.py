@@ -34,17 +34,28 @@ def _for_key(rows: DataFrame) -> DataFrame:
     return geo_ancestors(rows).withColumn("country", F.coalesce("country", F.lit("")))
 
 
-def unique_sessions_exact(enriched: DataFrame, granularities=GRANULARITIES) -> DataFrame:
-    """Per rollup key, the sessions whose first arrival for (site, bucket, level, area,
-    event type) has that key. First arrivals are found per session at the deepest area
+def session_hashes(enriched: DataFrame, granularities=GRANULARITIES) -> DataFrame:
+    """Events with the hash of their session, once for each of their buckets."""
+    key = C.rollup_session_key(F.col("session_id"), F.col("anon_id"), F.col("ip_hash"), F.col("device_type"))
+    return _bucketed(_attributes(enriched).withColumn("session_hash", F.sha2(key, 256)), granularities)
+
+
+def session_claims(enriched: DataFrame, granularities=GRANULARITIES) -> DataFrame:
+    """Per (site, bucket, level, area, event type) and session_hash, the attributes of the
+    session's first arrival. First arrivals are found per session at the deepest area
     first, so rows shrink before areas multiply them, and no area is a hot key."""
-    rows = _attributes(enriched).withColumn("session_hash", F.sha2(C.rollup_session_key(F.col("session_id"), F.col("anon_id"), F.col("ip_hash"), F.col("device_type")), 256))
-    rows = _bucketed(rows, granularities)
+    rows = session_hashes(enriched, granularities)
     order = F.struct("server_time", "event_id")
     what = F.struct("device_type", "browser", "os", "is_bot", F.coalesce("country", F.lit("")).alias("country"))
     deepest = rows.groupBy("site_id", "bucket_time", "granularity", "event_type", "session_hash", *GEO).agg(F.min(F.struct(order.alias("o"), what.alias("w"))).alias("first"))
     firsts = geo_ancestors(deepest).groupBy(*LEDGER, "session_hash").agg(F.min("first").alias("first"))
-    return firsts.select(*LEDGER, "first.w.*").groupBy(*KEY).agg(F.count("*").alias("unique_sessions"))
+    return firsts.select(*LEDGER, "session_hash", "first.w.*")
+
+
+def unique_sessions_exact(enriched: DataFrame, granularities=GRANULARITIES) -> DataFrame:
+    """Per rollup key, the sessions whose first arrival for (site, bucket, level, area,
+    event type) has that key."""
+    return session_claims(enriched, granularities).groupBy(*KEY).agg(F.count("*").alias("unique_sessions"))
 
 
 def unique_sessions_approx(enriched: DataFrame, rsd: float = 0.02, granularities=GRANULARITIES) -> DataFrame:
@@ -55,13 +66,24 @@ def unique_sessions_approx(enriched: DataFrame, rsd: float = 0.02, granularities
     return geo_ancestors(deepest).groupBy(*LEDGER).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_sessions"))
 
 
+def event_counts(enriched: DataFrame, granularities=GRANULARITIES) -> DataFrame:
+    """Events added up at their deepest area, laid out along its ancestors: rows with the
+    rollup key and event_count, not yet added up."""
+    deepest = _bucketed(_attributes(enriched), granularities)
+    deepest = deepest.groupBy("site_id", "bucket_time", "granularity", "event_type", "device_type", "browser", "os", "is_bot", *GEO).agg(F.count("*").alias("n"))
+    return _for_key(deepest).select(*KEY, F.col("n").alias("event_count"))
+
+
+def rollup_rows(counts: DataFrame, claims: DataFrame) -> DataFrame:
+    """Counts and claims added up by rollup key."""
+    both = counts.withColumn("unique_sessions", F.lit(0).cast("long")).unionByName(claims.select(*KEY, F.lit(0).cast("long").alias("event_count"), F.lit(1).cast("long").alias("unique_sessions")))
+    return both.groupBy(*KEY).agg(F.sum("event_count").alias("event_count"), F.sum("unique_sessions").alias("unique_sessions"))
+
+
 def rollup_events(enriched: DataFrame, granularities=GRANULARITIES, levels=None) -> DataFrame:
     """Event counts and sessions per rollup key. Events are added up at their deepest
     area before each area's ancestors are laid out."""
-    deepest = _bucketed(_attributes(enriched), granularities)
-    deepest = deepest.groupBy("site_id", "bucket_time", "granularity", "event_type", "device_type", "browser", "os", "is_bot", *GEO).agg(F.count("*").alias("n"))
-    counts = _for_key(deepest).groupBy(*KEY).agg(F.sum("n").alias("event_count"))
-    out = counts.join(unique_sessions_exact(enriched, granularities), KEY, "left").withColumn("unique_sessions", F.coalesce("unique_sessions", F.lit(0)))
+    out = rollup_rows(event_counts(enriched, granularities), session_claims(enriched, granularities))
     return out if levels is None else out.where(F.col("geo_level").isin(*levels))
 
 
