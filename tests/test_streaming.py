@@ -204,6 +204,7 @@ def test_rollups_as_state_equal_the_batch(spark, sf, tmp_path):
     late = F.expr("server_time + interval 60 days")
     parts[2] = parts[2].withColumn("server_time", late)
     root, sizes, seen = str(tmp_path / "out"), [], []
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for part in [*parts, parts[1]]:
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -237,16 +238,21 @@ def test_alerts_go_by_the_clock(spark, tmp_path):
     (tmp_path / "deltas").mkdir()
     deltas = spark.readStream.schema(kinds).parquet(str(tmp_path / "deltas"))
 
+    def incidents():
+        out = tmp_path / "out"
+        rows = spark.read.schema("rule_id long, measured_value long, comparator string").parquet(str(out)).collect() if out.exists() else []
+        return sorted((r.rule_id, r.measured_value, r.comparator) for r in rows)
+
     def run(enough):
         query = jobs.stream_alerts(deltas, rules, str(tmp_path / "out"), str(tmp_path / "ck"), tick_seconds=1, processingTime="500 milliseconds")
         try:
             until = time.time() + 90
             while time.time() < until:
                 assert query.exception() is None
-                got = [(r.rule_id, r.measured_value, r.comparator) for r in jobs.stored(spark, str(tmp_path / "out")).collect()] if (tmp_path / "out" / "_spark_metadata").exists() and any((tmp_path / "out").glob("*.parquet")) else []
+                got = incidents()
                 if enough(got):
                     time.sleep(3)
-                    return sorted((r.rule_id, r.measured_value, r.comparator) for r in jobs.stored(spark, str(tmp_path / "out")).collect())
+                    return incidents()
                 time.sleep(0.5)
             return got
         finally:

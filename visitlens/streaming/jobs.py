@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions import columns as C
 from ..operators import alerts, dedup, enrich, journeys, maintenance, read_models, rollups
@@ -154,6 +154,21 @@ def _timed(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", delay)
 
 
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _start(writer: DataStreamWriter, spark, **trigger) -> StreamingQuery:
+    """Start with a trigger. State that expires by the clock asks for one more batch after
+    each; a stream that ends with what is there now must not wait for that to stop."""
+    before = spark.conf.get(NO_DATA)
+    if "availableNow" in trigger:
+        spark.conf.set(NO_DATA, "false")
+    try:
+        return writer.trigger(**trigger).start()
+    finally:
+        spark.conf.set(NO_DATA, before)
+
+
 def _seconds(interval: str) -> float:
     return pd.Timedelta(interval).total_seconds()
 
@@ -169,7 +184,7 @@ def stream_rollups(enriched: DataFrame, root: str, checkpoint: str, granularitie
     areas = C.geo_ancestors(*[F.col(c) for c in rollups.GEO])
     rows = rollups.session_hashes(enriched, granularities).withColumn("_areas", areas)
     rows = rows.select(
-        "site_id", F.unix_micros(F.col("bucket_time").cast("timestamp")).alias("bucket"), "granularity", "event_type", "session_hash", F.struct(F.unix_micros(F.col("server_time").cast("timestamp")).alias("at"), "event_id").alias("arrival"),
+        "site_id", F.unix_micros(F.col("bucket_time").cast("timestamp")).alias("bucket"), "granularity", "event_type", "session_hash", F.unix_micros(F.col("server_time").cast("timestamp")).alias("at"), F.coalesce("event_id", F.lit("")).alias("event_id"),
         "device_type", "browser", "os", "is_bot", F.coalesce("country", F.lit("")).alias("country"), F.transform("_areas", lambda a: a["geo_level"]).alias("levels"), F.transform("_areas", lambda a: a["geo_area_id"]).alias("ids"),
     )
     added = rows.groupBy("site_id", "bucket", "granularity", "event_type", "session_hash").transformWithState(state.SessionLedger(granularities), state.SessionLedger.SCHEMA, "Append", "ProcessingTime")
@@ -184,7 +199,8 @@ def stream_rollups(enriched: DataFrame, root: str, checkpoint: str, granularitie
             log.commit(checkpoint, batch_id, begun[0])
             log.compact("rollups", keys, merge, open_deltas)
 
-    return added.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    writer = added.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    return _start(writer, enriched.sparkSession, **(trigger or {"availableNow": True}))
 
 
 def rollups_of(spark, root: str) -> DataFrame:
@@ -204,20 +220,19 @@ def stream_alerts(deltas: DataFrame, rules: DataFrame, path: str, checkpoint: st
     newest ``lookback`` buckets the newest that fires opens an incident, unless the rule
     has opened one within its cooldown or for that bucket. State is kept by site, event
     type, level and granularity; a new version of a rule replaces the one before."""
-    names = [f.name for f in state.AlertClock.FIELDS]
     where = ["site_id", "event_type", "geo_level", "granularity"]
     epoch = F.unix_seconds(F.col("bucket_time").cast("timestamp"))
     given = {"rule_id": "long", "name": "string", "threshold": "long", "comparator": "string", "cooldown_seconds": "long", "enabled": "boolean", "version": "long"}
     said = rules.select(*where, F.coalesce("geo_area_id", F.lit("")).alias("area"), *[F.col(c).cast(t).alias(c) for c, t in given.items()], F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("n"))
     counted = deltas.select(*where, F.col("geo_area_id").alias("area"), *[F.lit(None).cast(t).alias(c) for c, t in given.items()], epoch.alias("bucket"), F.col("event_count").cast("long").alias("n"))
     both = said.unionByName(counted).groupBy(*where).transformWithState(state.AlertClock(tick_seconds, lookback), state.AlertClock.SCHEMA, "Append", "ProcessingTime")
-    assert set(names) == set(both.columns)
     key = F.concat_ws("|", F.col("rule_id").cast("string"), "geo_area_id", "granularity", F.col("bucket").cast("string"))
     out = both.select(
         key.alias("dedup_key"), "rule_id", "site_id", "rule_name", "geo_area_id", "granularity", F.timestamp_seconds("bucket").cast("timestamp_ntz").alias("bucket_time"), "measured_value", "threshold", "comparator",
         "rule_version", F.timestamp_millis("created").cast("timestamp_ntz").alias("created_at"),
     )
-    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    writer = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return _start(writer, rules.sparkSession, **(trigger or {"processingTime": "10 seconds"}))
 
 
 def stream_dedup(stream: DataFrame, path: str, checkpoint: str, seconds: int = 86_400, inbox: DataFrame | None = None, keep: str = "7 days") -> StreamingQuery:
@@ -232,7 +247,8 @@ def stream_dedup(stream: DataFrame, path: str, checkpoint: str, seconds: int = 8
     if inbox is not None:
         start = inbox.select(F.coalesce("event_id", F.lit("")).alias("_id"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("_at")).groupBy("_id")
     out = rows.groupBy("_id").transformWithState(state.FirstSeen(seconds, ms), rows.select("_row").schema, "Append", "ProcessingTime", start)
-    return out.select("_row.*").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    writer = out.select("_row.*").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return _start(writer, stream.sparkSession, availableNow=True)
 
 
 def stream_rate_limit(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60, limit: int = 120, delay: str = "10 minutes") -> StreamingQuery:
@@ -251,4 +267,5 @@ def stream_throttle(stream: DataFrame, path: str, checkpoint: str, seconds: int
     rows = views.select("site_id", key.alias("visitor"), "page_url", "event_id", F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"))
     ms = int(max(_seconds(keep), seconds) * 1000)
     out = rows.groupBy("site_id", "visitor", "page_url").transformWithState(state.Throttle(seconds, ms), "event_id string, t long", "Append", "ProcessingTime")
-    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    writer = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return _start(writer, stream.sparkSession, availableNow=True)

@@ -39,7 +39,7 @@ class SessionLedger(StatefulProcessor):
         site, bucket, granularity, event_type, _ = key
         counts, first = Counter(), {}
         for r in rows:
-            what, arrival = (r.device_type, r.browser, r.os, r.is_bot, r.country), (r.arrival.at, r.arrival.event_id)
+            what, arrival = (r.device_type, r.browser, r.os, r.is_bot, r.country), (r.at, r.event_id)
             for area in zip(r.levels, r.ids):
                 counts[area, what] += 1
                 if area not in first or arrival < first[area][0]:
@@ -116,7 +116,6 @@ class AlertClock(StatefulProcessor):
         rule_id=LongType(), site_id=StringType(), rule_name=StringType(), geo_area_id=StringType(), granularity=StringType(), bucket=LongType(), measured_value=LongType(), threshold=LongType(),
         comparator=StringType(), rule_version=LongType(), created=LongType(),
     )
-    FIELDS = SCHEMA.fields
 
     def __init__(self, tick_seconds: int, lookback: int):
         self.tick_ms, self.lookback = tick_seconds * 1000, max(1, lookback)
