@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,8 @@ from ..sources.events import SITE
 
 STEP = ("event_id", "site_id", "session_id", "event_name", "event_time", "page_path", "target_path", "referrer_domain", "content_id", "content_type", "engaged_seconds", "progress_percent")
 SIGNAL_RULE = ("event_name", "path_source", "path_match_type", "path_pattern", "content_type", "min_engaged_seconds", "min_progress_percent")
+MOST_DOMAIN = 255  # and domains to so many
+MOST_PATH = 512  # paths are cut to so many characters
 FUNNEL_RULE = ("event_name", "path_source", "path_match_type", "path_pattern")
 
 
@@ -78,9 +80,35 @@ def journey_summary(steps: DataFrame, start: str, end: str, site: str = SITE, ad
 
 
 def _match(rules: DataFrame, steps: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Rule table x steps where the rule holds. Rules are a small configuration table."""
-    rules = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    return steps.join(C.small(rules), C.rule_match({c: F.col(f"r_{c}") for c in fields}, {c: F.col(c) for c in STEP}))
+    """Rule table x steps where the rule holds, each pair once. Rules are a small
+    configuration table. A rule is looked up by what it asks of paths, or by its event name
+    if it takes any; a step by its paths, by their beginnings of the lengths that rules
+    have, and by its event name, so that both meet in a hash join."""
+    rules = C.small(rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns]))
+    kind, pattern, source = F.col("r_path_match_type"), F.col("r_path_pattern"), F.col("r_path_source")
+    lengths = sorted(r[0] for r in rules.where(kind == "PREFIX").select(F.char_length(pattern)).distinct().collect() if r[0] is not None and r[0] <= MOST_PATH)
+
+    def key(how: Column | str, text: Column) -> Column:
+        return F.struct((F.lit(how) if isinstance(how, str) else how).alias("how"), text.alias("text"))
+
+    def asks(where: str) -> Column:
+        how = F.when(kind == "EXACT", f"{where} is").when(kind == "PREFIX", f"{where} begins")
+        return F.when(source.isin("ANY", where) & how.isNotNull(), key(how, pattern))
+
+    any_path = F.when(kind == "ANY", key("any path", F.coalesce(C.filled(F.col("r_event_name")), F.lit(""))))
+    rules = rules.withColumn("_r", F.explode(F.array_compact(F.array(any_path, asks("PAGE"), asks("TARGET"))))).select("*", F.col("_r.how").alias("_r_how"), F.col("_r.text").alias("_r_text")).drop("_r")
+
+    def offers(where: str, path: str) -> list[Column]:
+        begins = [F.when(F.char_length(path) >= n, key(f"{where} begins", F.substring(path, 1, n))) for n in lengths]
+        return [F.when(F.col(path).isNotNull(), key(f"{where} is", F.col(path))), *begins]
+
+    offered = F.array(key("any path", F.lit("")), F.when(~C.blank(F.col("event_name")), key("any path", F.col("event_name"))), *offers("PAGE", "page_path"), *offers("TARGET", "target_path"))
+    rows = steps.withColumn("_s", F.explode(F.array_compact(offered))).select(*steps.columns, F.col("_s.how").alias("_s_how"), F.col("_s.text").alias("_s_text"))
+    by_page = F.coalesce(F.when(kind == "EXACT", F.col("page_path") == pattern).when(kind == "PREFIX", F.col("page_path").startswith(pattern)), F.lit(False))
+    once = ~(F.col("_s_how").startswith("TARGET") & (source == "ANY") & by_page)
+    holds = C.rule_match({c: F.col(f"r_{c}") for c in fields}, {c: F.col(c) for c in STEP})
+    found = rows.join(F.broadcast(rules), (F.col("_s_how") == F.col("_r_how")) & (F.col("_s_text") == F.col("_r_text")) & once & holds)
+    return found.drop("_s_how", "_s_text", "_r_how", "_r_text")
 
 
 def content_of_steps(steps: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -195,8 +223,14 @@ def attribution(steps: DataFrame, snapshots: DataFrame, rules: DataFrame, start:
     scores = snapshots.where(F.col("site_id") == site).groupBy("session_id").agg(F.max("score").alias("score"))
     per = per.join(scores, "session_id", "left")
     small = rules.where((F.col("site_id") == site) & F.col("active")).select(F.lower("host_pattern").alias("host"), "source_label", "source_type", "priority", "rule_id")
-    domains = per.select("referrer_domain").distinct().where("referrer_domain is not null")
-    named = domains.join(C.small(small), F.lower("referrer_domain").contains(F.col("host")))
+    # a domain is looked up by all of its pieces as long as patterns are
+    small = C.small(small)
+    lengths = sorted(r[0] for r in small.select(F.char_length("host")).distinct().collect() if r[0] is not None and r[0] <= MOST_DOMAIN)
+    low = F.lower("referrer_domain")
+    pieces = [F.when(F.char_length(low) >= n, F.transform(F.sequence(F.lit(1), F.char_length(low) - n + 1), lambda k, n=n: F.substr(low, k, F.lit(n)))) for n in lengths]
+    pieces = F.array_distinct(F.flatten(F.array_compact(F.array(F.array(F.lit(None).cast("string")), *pieces))))
+    domains = per.select("referrer_domain").distinct().where("referrer_domain is not null").withColumn("piece", F.explode(pieces))
+    named = domains.join(F.broadcast(small), F.col("piece") == F.col("host"))
     named = named.groupBy("referrer_domain").agg(F.min(F.struct("priority", "rule_id", "source_label", "source_type")).alias("rule"))
     rows = per.join(named, "referrer_domain", "left")
     none = F.col("referrer_domain").isNull()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date, datetime, time, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..scratch import Folders, delete
 from ..sources import events
 from . import enrich, rollups
 
@@ -36,6 +39,29 @@ def apply_retention(rows: DataFrame, table: str, now: str) -> tuple[DataFrame, D
     return rows.where(~old), rows.where(old)
 
 
+def purge_folders(spark: SparkSession, path: str, table: str, now: str) -> tuple[list[str], list[str]]:
+    """Retention of a stored table with day= folders, at any depth, whose time column
+    gives the day: folders of days that are wholly past their time are deleted and not
+    read; of the day in which the time ends, the rows that are left are written anew. The
+    folders (deleted, rewritten)."""
+    column, days = RETENTION[table]
+    end = datetime.fromisoformat(now) - timedelta(days=days)
+    deleted, rewritten = [], []
+    for folder in Folders(spark).of_days(path):
+        day = date.fromisoformat(folder.rsplit("day=", 1)[1])
+        if datetime.combine(day, time()) + timedelta(days=1) <= end:
+            delete(spark, folder)
+            deleted.append(folder)
+        elif datetime.combine(day, time()) < end:
+            rows = spark.read.parquet(folder)
+            draft = f"{folder.rsplit('day=', 1)[0]}_rest={day}"
+            rows.where(F.col(column).isNull() | (F.col(column) >= F.expr(f"timestamp_ntz '{end.isoformat()}'"))).write.mode("overwrite").parquet(draft)
+            delete(spark, folder)
+            Folders(spark).rename(draft, folder)
+            rewritten.append(folder)
+    return deleted, rewritten
+
+
 def rate_limit_windows(requests: DataFrame, seconds: int = 60, limit: int = 120) -> DataFrame:
     """Requests per address and fixed window, and how many were over the limit."""
     start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds) * seconds).cast("timestamp_ntz")

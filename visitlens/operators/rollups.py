@@ -58,12 +58,33 @@ def unique_sessions_exact(enriched: DataFrame, granularities=GRANULARITIES) -> D
     return session_claims(enriched, granularities).groupBy(*KEY).agg(F.count("*").alias("unique_sessions"))
 
 
-def unique_sessions_approx(enriched: DataFrame, rsd: float = 0.02, granularities=GRANULARITIES) -> DataFrame:
-    """Approximate sessions per ledger key, from sketches that are merged upward."""
+def session_sketches(enriched: DataFrame, rsd: float = 0.02, granularities=("5m",)) -> DataFrame:
+    """A sketch of the sessions of each ledger key, to be stored: such rows of several
+    batches are merged, and those of 5 minutes make up days, without the events."""
     precision = max(4, min(21, round(2 * math.log2(1.04 / rsd))))
     rows = _attributes(enriched).withColumn("session", C.rollup_session_key(F.col("session_id"), F.col("anon_id"), F.col("ip_hash"), F.col("device_type")))
     deepest = _bucketed(rows, granularities).groupBy("site_id", "bucket_time", "granularity", "event_type", *GEO).agg(F.hll_sketch_agg("session", precision).alias("sketch"))
-    return geo_ancestors(deepest).groupBy(*LEDGER).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_sessions"))
+    return merge_sketches(geo_ancestors(deepest))
+
+
+def merge_sketches(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*LEDGER).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketches_by_day(sketches: DataFrame) -> DataFrame:
+    """Sketches of days from those of 5 minutes. Areas are merged each by itself, as a
+    session may be in several."""
+    rows = sketches.where("granularity = '5m'").withColumns({"bucket_time": C.bucket_floor(F.col("bucket_time"), "1d"), "granularity": F.lit("1d")})
+    return merge_sketches(rows)
+
+
+def estimated_sessions(sketches: DataFrame) -> DataFrame:
+    return sketches.select(*LEDGER, F.hll_sketch_estimate("sketch").alias("unique_sessions"))
+
+
+def unique_sessions_approx(enriched: DataFrame, rsd: float = 0.02, granularities=GRANULARITIES) -> DataFrame:
+    """Approximate sessions per ledger key, from sketches that are merged upward."""
+    return estimated_sessions(session_sketches(enriched, rsd, granularities))
 
 
 def event_counts(enriched: DataFrame, granularities=GRANULARITIES) -> DataFrame:

@@ -155,6 +155,20 @@ query(
     f"select {', '.join(rollups.LEDGER)}, sum(unique_sessions)::bigint as unique_sessions, true as within from rollups group by all",
     "rollups",
 )
+def _days_from_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Days from stored sketches of 5 minutes, against the exact sessions of the days."""
+    near = rollups.estimated_sessions(rollups.sketches_by_day(rollups.session_sketches(T.enriched(s, d)))).withColumnRenamed("unique_sessions", "near")
+    exact = rollups.session_claims(T.enriched(s, d), ("1d",)).groupBy(*rollups.LEDGER).agg(F.count("*").alias("unique_sessions"))
+    within = F.abs(F.col("near") - F.col("unique_sessions")) <= F.greatest(F.lit(1.0), F.col("unique_sessions") * 0.1)
+    return near.join(exact, list(rollups.LEDGER), "full").select(*rollups.LEDGER, "unique_sessions", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+query(
+    "unique_sessions_days_from_sketches",
+    _days_from_sketches,
+    f"select {', '.join(rollups.LEDGER)}, sum(unique_sessions)::bigint as unique_sessions, true as within from rollups where granularity = '1d' group by all",
+    "rollups",
+)
 query(
     "rollup_1d_from_5m",
     lambda s, d: rollups.rollup_1d_from_5m(rollups.event_rollups(T.enriched(s, d), "5m")),

@@ -29,6 +29,33 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+class Folders:
+    """Names in a file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession):
+        self._path, self._conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def at(self, path: str):
+        where = self._path(path)
+        return where.getFileSystem(self._conf), where
+
+    def of_days(self, path: str) -> list[str]:
+        """All folders day=..., from names alone."""
+        fs, where = self.at(path)
+        out = []
+        for s in fs.listStatus(where) if fs.exists(where) else []:
+            name = s.getPath().getName()
+            if s.isDirectory() and not name.startswith(("_", ".")):
+                out += [s.getPath().toString()] if name.startswith("day=") and name[4] != "_" else self.of_days(s.getPath().toString())
+        return sorted(out)
+
+    def rename(self, old: str, new: str) -> None:
+        fs, where = self.at(new)
+        fs.mkdirs(where.getParent())
+        if not fs.rename(self._path(old), where):
+            raise OSError(f"{old} cannot become {new}")
+
+
 class Scratch:
     """Stored tables of one operator, which it deletes once nothing reads them any more."""
 

@@ -22,33 +22,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..scratch import delete
+from ..scratch import Folders, delete
 
 KEPT_MANIFESTS = 8
 BUCKETS = 64
 
 
-class Files:
+class Files(Folders):
     """Small files of the root's file system."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._path = spark, spark._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
-
-    def _at(self, path: str):
-        where = self._path(path)
-        return where.getFileSystem(self._conf), where
+        super().__init__(spark)
+        self.spark = spark
 
     def names(self, path: str) -> list[str]:
-        fs, where = self._at(path)
+        fs, where = self.at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
     def exists(self, path: str) -> bool:
-        fs, where = self._at(path)
+        fs, where = self.at(path)
         return fs.exists(where)
 
     def read(self, path: str) -> str:
-        fs, where = self._at(path)
+        fs, where = self.at(path)
         stream = fs.open(where)
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -57,8 +53,8 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         """Whole or not at all: under another name first."""
-        fs, where = self._at(path)
-        _, draft = self._at(f"{path}.draft")
+        fs, where = self.at(path)
+        _, draft = self.at(f"{path}.draft")
         stream = fs.create(draft, True)
         try:
             stream.write(bytearray(text.encode()))
@@ -67,12 +63,6 @@ class Files:
         if not fs.rename(draft, where):
             raise OSError(f"{path} is there already")
 
-    def rename(self, old: str, new: str) -> None:
-        fs, where = self._at(new)
-        fs.mkdirs(where.getParent())
-        if not fs.rename(self._path(old), where):
-            raise OSError(f"{old} cannot become {new}")
-
 
 @dataclass
 class Manifest:

@@ -23,7 +23,8 @@ class Config:
     """Where the tables are, and the parameters of ingestion. ``now`` fixes the clock
     (None: each batch has the time of its first try). ``intent`` has the policies, signal
     rules and content metadata that snapshots are scored by (None: no snapshots). Tables
-    by key are compacted once they have more than ``open_deltas`` deltas."""
+    by key are compacted once they have more than ``open_deltas`` deltas; with
+    ``retention``, what is past its time is left out then."""
 
     root: str
     now: str | None = None
@@ -31,6 +32,7 @@ class Config:
     throttle_seconds: int = 300
     granularities: tuple[str, ...] = rollups.GRANULARITIES
     open_deltas: int = 16
+    retention: bool = False
     intent: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def path(self, table: str) -> str:
@@ -47,6 +49,7 @@ KEYED = {
     "visits": (dedup.VISIT, lambda parts: parts.groupBy(*dedup.VISIT).agg(F.max("last").alias("last"))),
     "ledger": ([*rollups.LEDGER, "session_hash"], lambda parts: parts.distinct()),
     "rollups": (rollups.KEY, lambda parts: parts.groupBy(*rollups.KEY).agg(*[F.sum(c).alias(c) for c in ("event_count", "unique_sessions")])),
+    "sketches": (rollups.LEDGER, rollups.merge_sketches),
     "session_parts": (SESSION, read_models.merge_session_parts),
     "intent_parts": (SESSION, journeys.merge_intent_parts),
     "intent_spans": (SESSION, journeys.intent_spans),
@@ -105,12 +108,23 @@ def ingest_batch(records: DataFrame, cfg: Config, batch_id: int, stream: str = "
     log.write(claims.select(*keys), "ledger", number)
     log.write(rollups.rollup_rows(rollups.event_counts(mine, cfg.granularities), claims), "rollups", number)
 
+    log.write(rollups.session_sketches(mine), "sketches", number)
+
     log.commit(stream, batch_id, number)
     for name in ("claimed", "claims"):
         delete(spark, f"{cfg.root}/{name}/batch_id={number}")
     for name, (keys, merge) in KEYED.items():
         if cfg.intent is not None or not name.startswith("intent"):
-            log.compact(name, keys, merge, cfg.open_deltas)
+            log.compact(name, keys, merge if not cfg.retention else _kept(name, merge, now), cfg.open_deltas)
+
+
+#: tables by key that retention looks at, by the name that it has for them
+RETAINED = {"inbox": "inbox", "ledger": "rollup_sessions", "rollups": "rollups", "sketches": "rollups", "session_parts": "sessions", "intent_spans": "snapshots"}
+
+
+def _kept(name: str, merge, now: str):
+    """Merge, and leave out what is past its time."""
+    return lambda parts: maintenance.apply_retention(merge(parts), RETAINED[name], now)[0] if name in RETAINED else merge(parts)
 
 
 def table(spark, cfg: Config, name: str) -> DataFrame:
@@ -122,6 +136,12 @@ def table(spark, cfg: Config, name: str) -> DataFrame:
     return log.table(name)
 
 
+def approximate_sessions(spark, cfg: Config, by_day: bool = True) -> DataFrame:
+    """From the stored sketches alone."""
+    stored_ones = table(spark, cfg, "sketches")
+    return rollups.estimated_sessions(rollups.sketches_by_day(stored_ones) if by_day else stored_ones)
+
+
 def sessions(spark, cfg: Config) -> DataFrame:
     return read_models.sessions_of(table(spark, cfg, "session_parts"))
 
