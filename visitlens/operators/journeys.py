@@ -227,7 +227,11 @@ def attribution(steps: DataFrame, snapshots: DataFrame, rules: DataFrame, start:
     small = C.small(small)
     lengths = sorted(r[0] for r in small.select(F.char_length("host")).distinct().collect() if r[0] is not None and r[0] <= MOST_DOMAIN)
     low = F.lower("referrer_domain")
-    pieces = [F.when(F.char_length(low) >= n, F.transform(F.sequence(F.lit(1), F.char_length(low) - n + 1), lambda k, n=n: F.substr(low, k, F.lit(n)))) for n in lengths]
+
+    def pieces_of(n: int) -> Column:
+        return F.when(F.char_length(low) >= n, F.transform(F.sequence(F.lit(1), F.char_length(low) - n + 1), lambda k: F.substr(low, k, F.lit(n))))
+
+    pieces = [pieces_of(n) for n in lengths]
     pieces = F.array_distinct(F.flatten(F.array_compact(F.array(F.array(F.lit(None).cast("string")), *pieces))))
     domains = per.select("referrer_domain").distinct().where("referrer_domain is not null").withColumn("piece", F.explode(pieces))
     named = domains.join(F.broadcast(small), F.col("piece") == F.col("host"))
