@@ -346,6 +346,33 @@ def test_substrings(docs, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_licences_by_common_sentences(spark):
+    cases = {
+        "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT", "This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.": "MIT",
+        "Licensed under the GPLv3.": "GPL-3.0", "Licensed under GPL-3.0-or-later.": "GPL-3.0", "Released under the Apache 2.0 license.": "Apache-2.0", "Distributed under MIT.": "MIT",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT", "// SPDX-License-Identifier: MIT OR Apache-2.0\n": "Apache-2.0,MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\n": "GPL-2.0", "you are licensed to drive or to fly": "", "mit": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {k: r.licences for k, r in zip(cases, licences.scan_licences(rows).orderBy("doc_id").collect())}
+    assert got == cases
+
+
+def test_licences_of_a_long_text_in_linear_time(spark):
+    """A megabyte of two sentences of the BSD licence in turn: rules are walked, not searched back."""
+    import time
+
+    two = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nAll rights reserved.\n\n"
+    took = []
+    for n in (500, 6000):
+        rows = spark.createDataFrame([(1, two * n)], "doc_id long, text string")
+        began = time.time()
+        (row,) = licences.scan_licences(rows).collect()
+        took.append(time.time() - began)
+        assert row.n_known == 2 * n and row.licences == "all-rights-reserved"
+    assert took[1] < 30
+
+
 def test_licences(spark, empty):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."

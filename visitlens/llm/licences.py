@@ -3,9 +3,10 @@
 A text is cut into sentences (at end marks before white space and at blank lines; the
 lines of a wrapped sentence are looked at too), each is normalised to lower-case words,
 stock lead-ins and references ("this software is released under", "see LICENSE") and the
-holder's name in the third BSD clause are taken away, and those which are known licence
-sentences become identifiers. A licence is recognised if a rule's identifiers occur in
-the rule's order; of two rules of which one begins with the other, the longer one wins.
+holder's name in the third BSD clause are taken away, a sentence or an SPDX tag that joins
+several licences is taken apart, and those which are known licence sentences become
+identifiers. A licence is recognised if a rule's identifiers occur in
+the rule's order (one walk along them, however long the text); of two rules of which one begins with the other, the longer one wins.
 
 Defined results: a null or empty text has no sentences, no identifiers and no licence;
 repeated rows are judged alike; an empty table gives an empty table; extra columns are
@@ -97,10 +98,23 @@ TEXT_RULES = (
 
 #: stock words before and after a licence's name, and a holder's name in the third BSD clause
 LEAD = r"^((this|the|these|our|all) ([a-z0-9]+ ){1,4}(is|are) |(is|are) )?(dual |also |hereby )?(licensed|released|distributed|published|made available|available|provided) under (the terms of |the terms and conditions of )?"
-TAIL = r" (see|refer to) (the )?(license|licence|copying)( file| md| txt)?( for (more )?(details|information))?$"
+TAIL = r" (see|refer to) (the )?(accompanying |included )?(license|licence|copying|notice)( (license|licence|copying|notice))?( (md|txt|rst))?( files?)?( for (more |full |further )?(details|information))?$"
+#: several licences in one sentence: how they are joined, and words that belong to none
+JOINED = " (or|and) "
+AROUND = "^either (of )?| at your option$| with [a-z0-9 ]*exception.*$"
+LISTS = ("licensed under ", "spdx license identifier ")
 HOLDER = r"^neither the names? of .* nor the names of"
 
-SENTENCES = {f"licensed under {n}": f"{name}-name" for name, names in NAMES.items() for n in names if not n.startswith("spdx")}
+#: names that stand only behind "licensed under" or alone in an SPDX tag (fixed values)
+SHORT_NAMES = {
+    "MIT": ("mit", "the mit", "the expat license"), "Apache-2.0": ("apache 2 0", "the apache 2 0 license", "apache 2 0 license", "the apache 2 license", "apache v2", "the apache license v2 0"),
+    "GPL-2.0": ("the gplv2", "gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later", "the gpl 2 0"), "GPL-3.0": ("the gplv3", "gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later", "the gpl 3 0", "the gnu gplv3"),
+    "LGPL-2.1": ("lgpl 2 1", "lgpl 2 1 or later", "the lgplv2 1"), "LGPL-3.0": ("lgpl 3 0", "lgpl 3 0 or later", "the lgplv3"), "AGPL-3.0": ("agpl 3 0", "agpl 3 0 or later", "the agplv3", "agplv3"),
+    "MPL-2.0": ("mpl 2 0",), "BSD-2-Clause": ("bsd 2 clause",), "BSD-3-Clause": ("bsd 3 clause",), "ISC": ("isc", "the isc"),
+}
+
+SENTENCES = {f"licensed under {n}": f"{name}-name" for name, names in SHORT_NAMES.items() for n in names}
+SENTENCES |= {f"licensed under {n}": f"{name}-name" for name, names in NAMES.items() for n in names if not n.startswith("spdx")}
 SENTENCES |= {n: f"{name}-name" for name, names in NAMES.items() for n in names if len(n.split()) > 2 or n.startswith("spdx")}
 SENTENCES |= TEXTS
 RULES = tuple((name, (f"{name}-name",)) for name in NAMES) + TEXT_RULES
@@ -136,8 +150,15 @@ def sentences(text: Column) -> Column:
         led = F.regexp_replace(F.regexp_replace(s, TAIL, ""), LEAD, "licensed under ")
         return F.when(s.contains("licen") | s.contains("under "), led).when(s.startswith("neither"), F.regexp_replace(s, HOLDER, "neither the name of nor the names of")).otherwise(s)
 
+    def several(s: Column) -> Column:
+        """The sentence, or one of each licence that it joins."""
+        lead = F.when(s.startswith(LISTS[0]), LISTS[0]).when(s.startswith(LISTS[1]), LISTS[1])
+        rest = F.replace(F.regexp_replace(F.substr(s, F.char_length(lead) + 1), AROUND, ""), F.lit(" or later"), F.lit(" orlater"))
+        pieces = F.transform(F.split(rest, JOINED), lambda p: F.concat(lead, F.replace(p, F.lit(" orlater"), F.lit(" or later"))))
+        return F.when(lead.isNotNull() & s.rlike(JOINED), pieces).otherwise(F.array(s))
+
     parts = F.filter(F.flatten(F.transform(F.split(plain, "\x01"), with_lines)), lambda s: s != "")
-    return F.transform(parts, bare)
+    return F.flatten(F.transform(F.transform(parts, bare), several))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -146,14 +167,20 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     known = F.filter(sentences(F.coalesce("text", F.lit(""))), lambda s: s.isin(*SENTENCES))
     names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     rows = docs.select("doc_id", F.transform(known, lambda s: names[s]).alias("ids"))
-    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"))
+    rows = rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"))
+
+    def met(rule: tuple[str, ...]) -> Column:
+        """Whether the identifiers occur in this order: one walk along the sequence."""
+        wanted = F.array(*[F.lit(x) for x in rule])
+        at = F.aggregate("ids", F.lit(0), lambda k, x: k + F.coalesce(F.get(wanted, k) == x, F.lit(False)).cast("int"))
+        return F.array_contains("ids", rule[0]) if len(rule) == 1 else F.array_contains("ids", rule[-1]) & (at == len(rule))
 
     def hit(ids: tuple[str, ...]) -> Column:
-        return reduce(and_, [~F.col("sentence_ids").rlike(_pattern(x)) for x in _longer(ids)], F.col("sentence_ids").rlike(_pattern(ids)))
+        return reduce(and_, [~met(x) for x in _longer(ids)], met(ids))
 
     hits = [F.when(hit(ids), F.lit(name)) for name, ids in RULES]
     found = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), ",")
-    return rows.withColumn("licences", F.when(F.col("n_known") > 0, found).otherwise(F.lit("")))
+    return rows.withColumn("licences", F.when(F.col("n_known") > 0, found).otherwise(F.lit(""))).drop("ids")
 
 
 def oracle_sql() -> str:
@@ -169,9 +196,13 @@ p as (select doc_id, generate_subscripts(parts, 1) as i, unnest(parts) as part f
 l as (select doc_id, i, part, list_filter(string_split(part, chr(10)), lambda x: trim(x) <> '') as lines from p),
 s as (select doc_id, i, 0 as j, trim(regexp_replace(part, '[ \\n]+', ' ', 'g')) as s from l
       union all select doc_id, i, generate_subscripts(lines, 1) as j, trim(unnest(lines)) as s from l where len(lines) > 1),
-b as (select doc_id, i, j, case when contains(s, 'licen') or contains(s, 'under ') then regexp_replace(regexp_replace(s, '{TAIL}', ''), '{LEAD}', 'licensed under ')
+b0 as (select doc_id, i, j, case when contains(s, 'licen') or contains(s, 'under ') then regexp_replace(regexp_replace(s, '{TAIL}', ''), '{LEAD}', 'licensed under ')
         when starts_with(s, 'neither') then regexp_replace(s, '{HOLDER}', 'neither the name of nor the names of') else s end as s from s where s <> ''),
-h as (select s.doc_id, count(*)::bigint as n_known, string_agg(known.id, ',' order by i, j) as sentence_ids from b as s join known on s.s = known.s group by s.doc_id),
+b1 as (select *, case when starts_with(s, '{LISTS[0]}') then '{LISTS[0]}' when starts_with(s, '{LISTS[1]}') then '{LISTS[1]}' end as lead from b0),
+b2 as (select doc_id, i, j, case when lead is not null and regexp_matches(s, '{JOINED}') then list_transform(regexp_split_to_array(replace(regexp_replace(s[length(lead) + 1:], '{AROUND}', '', 'g'), ' or later', ' orlater'), '{JOINED}'),
+        lambda p: lead || replace(p, ' orlater', ' or later')) else [s] end as ss from b1),
+b as (select doc_id, i, j, generate_subscripts(ss, 1) as k, unnest(ss) as s from b2),
+h as (select s.doc_id, count(*)::bigint as n_known, string_agg(known.id, ',' order by i, j, k) as sentence_ids from b as s join known on s.s = known.s group by s.doc_id),
 f as (select doc_id, string_agg(distinct licence, ',' order by licence) as licences from h join rules on regexp_matches(h.sentence_ids, rules.pattern) and not regexp_matches(h.sentence_ids, rules.longer) group by doc_id)
 select d.doc_id, coalesce(h.n_known, 0)::bigint as n_known, coalesce(h.sentence_ids, '') as sentence_ids, coalesce(f.licences, '') as licences
 from documents d left join h using (doc_id) left join f using (doc_id)"""
