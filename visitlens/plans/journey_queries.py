@@ -10,7 +10,7 @@ from ..operators import alerts, enrich, journeys, maintenance, rollups
 from ..sources import events
 from . import rules as R
 from . import tables as T
-from .registry import query
+from .registry import ORACLES, in_batches, query
 from .sql import END, NOW, START, part
 
 RANGE = f"event_time >= {START} and event_time < {END}"
@@ -183,6 +183,47 @@ for _name, _order, _where in (("high_intent_journeys", "score desc, last_event d
         "sessions", "snapshots",
     )
 
+
+
+def _merged_snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Snapshots from what three batches left of their steps."""
+    every = steps(s, d)
+    parts = in_batches(every, lambda rows: journeys.intent_parts(rows, R.signal_rules(s), R.metadata(s)))
+    spans = journeys.intent_spans(in_batches(every, journeys.intent_spans))
+    return journeys.score_parts(journeys.merge_intent_parts(parts), spans, journeys.active_policy(R.policies(s)))
+
+
+query(
+    "merge_intent_parts",
+    lambda s, d: _merged_snapshots(s, d).select("session_id", "score", "intent_level", "dominant_intent", F.greatest(F.lit(0), F.size("contributing_signals")).alias("n_signals"), "first_event", "last_event"),
+    "select session_id, score, intent_level, dominant_intent, coalesce(n_signals, 0)::int as n_signals, first_event, last_event from snapshots",
+    "snapshots",
+)
+
+#: read models of the overview and the queries whose SQL has their rows
+OVERVIEW = {
+    "summary": "journey_summary", "funnel": "rule_funnel", "attribution": "attribution", "top_content": "top_content", "cohort": "cohort_summary", "high_intent": "high_intent_journeys", "recent": "recent_journeys",
+}
+
+
+def _overview(s: SparkSession, d: str) -> DataFrame:
+    """How many rows each read model of the overview has."""
+    tables = {
+        "steps": steps(s, d), "snapshots": snapshots(s, d), "sessions": T.sessions(s, d), "metadata": R.metadata(s), "policies": R.policies(s), "funnel_rules": R.funnel_rules(s),
+        "attribution_rules": R.attribution_rules(s),
+    }
+    out = None
+    for name, model in journeys.visitor_overview(tables, T.START, T.END).items():
+        counted = model.agg(F.count("*").alias("rows")).select(F.lit(name).alias("model"), "rows")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+query("visitor_overview", _overview)
+ORACLES["visitor_overview"] = " union all ".join(
+    ["select 'policy' as model, 1::bigint as rows", *(f"select '{name}' as model, count(*)::bigint as rows from ({ORACLES[of]})" for name, of in OVERVIEW.items())]
+)
+
 # ---------------------------------------------------------------- content metadata
 
 

@@ -278,6 +278,24 @@ query(
     "facts",
 )
 query("build_sessions", lambda s, d: T.sessions(s, d), "select * from sessions", "sessions")
+
+
+def in_batches(rows: DataFrame, parts: Callable[[DataFrame], DataFrame], n: int = 3) -> DataFrame:
+    """Parts of ``n`` batches of the events, as ingestion leaves them."""
+    number = F.regexp_extract("event_id", r"\d+", 0).cast("long") % n
+    out = None
+    for k in range(n):
+        some = parts(rows.where(number == k)).withColumn("as_of", F.lit(k).cast("long"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+query(
+    "merge_session_parts",
+    lambda s, d: read_models.sessions_of(read_models.merge_session_parts(in_batches(T.facts(s, d), read_models.session_parts))),
+    "select * from sessions",
+    "sessions",
+)
 query(
     "session_stats",
     lambda s, d: read_models.session_stats(T.sessions(s, d), T.NOW),
