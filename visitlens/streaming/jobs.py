@@ -83,7 +83,7 @@ def ingest_batch(records: DataFrame, cfg: Config, batch_id: int, stream: str = "
     fresh = log.write(fresh.withColumn("event_time", F.coalesce("event_time", F.expr(f"timestamp_ntz '{now}'"))), "claimed", number)
     log.write(fresh.select("event_id", F.expr(f"timestamp_ntz '{now}'").alias("received_at")), "inbox", number)
 
-    enriched = enrich.enrich_events(fresh, now, cfg.salt)
+    enriched = log.write(enrich.enrich_events(fresh, now, cfg.salt), "arrived", number)
     marks = known("visits", dedup.visit_keys(enriched).where("_counts"))
     marks = None if marks is None else KEYED["visits"][1](marks)
     mine = log.write(dated(dedup.throttle_visits(enriched, cfg.throttle_seconds, marks)), "enriched", number, "day").drop("day")
@@ -111,7 +111,7 @@ def ingest_batch(records: DataFrame, cfg: Config, batch_id: int, stream: str = "
     log.write(rollups.session_sketches(mine), "sketches", number)
 
     log.commit(stream, batch_id, number)
-    for name in ("claimed", "claims"):
+    for name in ("claimed", "arrived", "claims"):
         delete(spark, f"{cfg.root}/{name}/batch_id={number}")
     for name, (keys, merge) in KEYED.items():
         if cfg.intent is not None or not name.startswith("intent"):
