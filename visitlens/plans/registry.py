@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import dedup, enrich, read_models, rollups
 from ..sources import events
 from . import tables as T
