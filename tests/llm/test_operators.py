@@ -477,6 +477,117 @@ def test_seating_has_as_many_tables_as_the_restaurant_expects():
     assert t.mean() == pytest.approx(sum(k * v for k, v in p.items()), rel=0.01)
 
 
+@pytest.mark.parametrize("c,moves,sweeps,n", [(2, 32, 12, 20_000), (6, 32, 12, 20_000), (20, 5, 120, 4_000), (60, 32, 160, 1_500)])
+def test_gibbs_sweeps_keep_to_the_exact_distribution_of_tables(c, moves, sweeps, n):
+    """P(t) is proportional to S(c, t) times the masses of the tables opened, S being the
+    generalised Stirling numbers; also where a sweep moves some of the customers only."""
+    d, strength, base, others = 0.4, 2.0, 0.15, 9.0
+    stirling = {1: 1.0}
+    for m in range(1, c):
+        stirling = {t: stirling.get(t - 1, 0.0) + (m - d * t) * stirling.get(t, 0.0) for t in range(1, m + 2)}
+        most = max(stirling.values())
+        stirling = {t: x / most for t, x in stirling.items()}
+    p, mass = {}, 1.0
+    for t in range(1, c + 1):
+        mass *= (strength + d * (others + t - 1)) * base
+        p[t] = stirling[t] * mass
+    want = sum(t * x for t, x in p.items()) / sum(p.values())
+    one = lambda x: np.full(n, float(x))
+    size, off = hpylm.first_sizes(np.full(n, c), np.full(n, min(c, 3)), d)
+    for k in range(sweeps):
+        key = common.mix(np.arange(n).astype(np.uint64) + np.uint64(k * n + 77))
+        size, off = hpylm.gibbs(size, off, np.full(n, c), moves, one(base), one(others), d, strength, key)
+        assert size.min() >= 1 and (np.add.reduceat(size, off[:-1]) == c).all()
+    assert np.diff(off).mean() == pytest.approx(want, rel=0.03)
+
+
+def test_gibbs_follows_changed_counts():
+    """Customers come and go one by one; a dish without customers has no table."""
+    c = np.array([0, 1, 3, 900, 40, 0])
+    size, off = hpylm.first_sizes(np.array([5, 1, 0, 700, 2000, 0]), np.array([2, 1, 0, 9, 50, 0]), 0.5)
+    size, off = hpylm.gibbs(size, off, c, 32, np.full(6, 0.1), np.full(6, 30.0), 0.5, 1.0, common.mix(np.arange(6).astype(np.uint64)))
+    assert [int(size[i:j].sum()) for i, j in zip(off, off[1:])] == c.tolist() and size.min() >= 1
+
+
+def test_levels_are_drawn_near_those_that_made_the_seating():
+    rng, d, strength, tables = random.Random(4), 0.6, 10.0, []
+    for n in range(20_000):
+        if rng.random() < (strength + d * len(tables)) / (strength + n):
+            tables.append(1)
+        else:
+            x, k = rng.random() * (n - d * len(tables)), 0
+            while k < len(tables) - 1 and x >= tables[k] - d:
+                x -= tables[k] - d
+                k += 1
+            tables[k] += 1
+    one, seen = np.ones(1), collections.Counter(tables)
+    sizes = (np.array(list(seen), float), np.array(list(seen.values()), float))
+    draws = [hpylm.draw_level(sizes, (one * len(tables), one), (one * 20_000, one), 0.5, 1.0, k) for k in range(40)]
+    assert np.mean([x[0] for x in draws]) == pytest.approx(d, abs=0.06)
+    assert np.array_equal(np.round(hpylm._lgamma(np.array([0.3, 1.0, 7.5, 1e6])), 6), np.round([math.lgamma(x) for x in (0.3, 1.0, 7.5, 1e6)], 6))
+
+
+def plain_pitman_yor(texts, asked, d, strength, sweeps, burn, seed=1):
+    """Log10 probabilities by a sampler that moves customer by customer, all totals up to
+    date, and tells the root of each table at once."""
+    rng = random.Random(seed)
+    tokens = [(u, w) for t in texts for u, w in zip([None, *t.split()], [*t.split(), None])]
+    v = len({w for _, w in tokens})
+    rooms = collections.defaultdict(lambda: collections.defaultdict(list))
+
+    def prob(room, w, parent):
+        n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        return (sum(room[w]) - d * len(room[w]) + (strength + d * t) * parent) / (strength + n) if n else parent
+
+    def root(w):
+        return prob(rooms["root"], w, 1 / (v + 1))
+
+    def enter(name, w):
+        room, parent = rooms[name], 1 / (v + 1) if name == "root" else root(w)
+        new = (strength + d * sum(map(len, room.values()))) * parent
+        k = rng.choices(range(len(room[w]) + 1), [*(s - d for s in room[w]), new])[0]
+        if k < len(room[w]):
+            room[w][k] += 1
+        else:
+            room[w].append(1)
+            if name != "root":
+                enter("root", w)
+
+    def leave(name, w):
+        tables = rooms[name][w]
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            if name != "root":
+                leave("root", w)
+
+    for u, w in tokens:
+        enter(("of", u), w)
+    p = collections.defaultdict(float)
+    for k in range(sweeps):
+        for u, w in tokens:
+            leave(("of", u), w)
+            enter(("of", u), w)
+        if k >= burn:
+            for u, w in {x for t in asked for x in zip([None, *t.split()], [*t.split(), None])}:
+                p[u, w] += prob(rooms["of", u], w, root(w)) / (sweeps - burn)
+    return [sum(math.log10(p[x]) for x in zip([None, *t.split()], [*t.split(), None])) for t in asked]
+
+
+def test_language_model_agrees_with_a_plain_sampler(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.8)) % 40}" for _ in range(rng.randint(0, 9)))
+    texts, asked = [text() for _ in range(60)], [text() for _ in range(30)] + ["", "new", "w1 new w1"]
+    want = plain_pitman_yor(texts, asked, 0.5, 1.0, 300, 50)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ask = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hpylm.score(ask, rows, sweeps=10, burn=3, discounts=(0.5,), strengths=(1.0,), heavy=12).collect()}
+    for k, t in enumerate(asked):
+        assert got[k] == pytest.approx(want[k], abs=0.06 * (len(t.split()) + 1))
+    assert sum(got.values()) == pytest.approx(sum(want), rel=0.01)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     sizes, taken = collections.Counter(), collections.Counter()
