@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,26 +138,31 @@ def test_plan_uses_each_piece_once_and_pads_little():
     assert (used == hist).all() and 1 - (hist @ np.arange(2049)) / (2048 * sum(n for _, n in packs)) < 0.01
 
 
-def test_encoder_on_texts_without_blanks():
-    """Chinese, Thai and encoded bytes, longer than what the caches keep."""
+def _ids(texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in packing.encoder().texts(pa.array(texts, pa.string()))]
+
+
+def _fresh_ids(texts):
     from tokenizers import Tokenizer
 
-    e, fresh, rng = packing.encoder(), Tokenizer.from_file(packing.tokenizer_file()), random.Random(5)
-    for letters, n in (("中文字符没有空格。", 20_000), ("ภาษาไทย", 20_000), ("abcXYZ0189+/", 1_000_000), ("éàü", 5_000)):
-        t = "".join(rng.choice(letters) for _ in range(n))
-        assert np.frombuffer(e(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
-    assert max(len(k) for k in e.piece.__self__) <= packing.LONGEST and max(map(len, e.part.__self__), default=0) <= packing.LONGEST
+    fresh = Tokenizer.from_file(packing.tokenizer_file())
+    return [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
-def test_encoder_takes_added_tokens_as_a_fresh_tokenizer():
-    from tokenizers import Tokenizer
+def test_encoder_on_texts_without_blanks():
+    """Chinese, Thai, encoded bytes, and runs about the length from which the tokenizer takes over."""
+    rng = random.Random(5)
+    kinds = (("中文字符没有空格。", 20_000), ("ภาษาไทย", 20_000), ("abcXYZ0189+/", 1_000_000), ("éàü", 5_000), ("ab", 999), ("ab", 1001), (" ", 3_000), ("\n ", 999))
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in kinds] + [None, "", "x" + " " * 1200 + "y"]
+    assert _ids(texts) == _fresh_ids(texts)
+
 
-    e, fresh, rng = packing.encoder(), Tokenizer.from_file(packing.tokenizer_file()), random.Random(3)
-    assert np.frombuffer(e("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
-    parts = ["a", " ", "  ", "\n", "é", " x", "中", "<|endoftext|>", "<|endof", "text|>", "don't"]
-    for _ in range(2000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(e(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+def test_encoder_is_the_tokenizer():
+    assert _ids(["x <|endoftext|> y"]) == [[87, 220, 50256, 331]]
+    rng = random.Random(3)
+    parts = ["a", " ", "  ", "\n", "é", " x", "中", "<|endoftext|>", "<|endof", "text|>", "don't", "0.5", "\xad", "ɏ", "ɐ", "ª", "\x1c", "²"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    assert packing.encoder().fast and _ids(texts) == _fresh_ids(texts)
 
 
 def test_language_id_on_held_out_documents(spark, sf, empty):
