@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from visitlens.llm import common, divergence, hpylm, langid, licences, mixing, ngram_join, packing, quality, substring, vector_dups
+from visitlens.llm import common, divergence, hpylm, langid, licences, mixing, ngram_join, packing, quality, substring, tiles, vector_dups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string, sid long"  # the last two clash with inner names
@@ -306,6 +306,43 @@ def test_vectors(spark, empty):
     assert vector_dups.link_vectors(df.limit(0)).count() == 0
 
 
+def _vector_links(rows):
+    """By brute force: (vec_id, n_links, component) of rows with unlike ids."""
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v, _ in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    links = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and unit[a[0]] @ unit[b[0]] >= 0.98]
+    count, component = collections.Counter(i for p in links for i in p), groups([r[0] for r in rows], links)
+    return sorted((i, count[i], component[i]) for i, _, _ in rows)
+
+
+@pytest.mark.parametrize("grid", [1, 2, 3, 6])
+def test_vectors_of_one_label_in_small_tiles(spark, monkeypatch, grid):
+    """Lengths from 1e-200 to 1e200, one large group of near copies, cells cut into tiles."""
+    monkeypatch.setattr(vector_dups, "tiled", lambda rows, keys, member, name: tiles.tiled(rows, keys, member, name, tile_rows=20))
+    rng, rows = np.random.default_rng(8), []
+    centre = rng.normal(size=24)
+    for i in range(260):
+        v = centre + 0.1 * rng.normal(size=24) if i % 2 else rng.normal(size=24)
+        rows.append((i, (v * 10.0 ** rng.choice([-200, 0, 200])).tolist(), 7))
+    rows += [(300, [3 * x for x in rows[1][1]], 7), (301, [1e-3 * x for x in rows[0][1]], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = vector_dups.link_vectors(df, grid=grid)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == _vector_links(rows)
+
+
+def test_vectors_without_and_with_repeated_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [5.0, -1.0, 0.0]
+    rows = [(1, v, 1), (1, v, 1), (2, v, 1), (None, v, 1), (None, w, 1), (3, w, 1), (4, v, 2)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep string")
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dups.link_vectors(df).collect())
+    assert got == {(1, 2, 1, True): 2, (2, 2, 1, False): 1, (None, 0, None, True): 2, (3, 0, 3, True): 1, (4, 0, 4, True): 1}
+
+
+def test_grid_grows_with_the_largest_label():
+    assert [vector_dups.grid_dims(n, 0.98, 8) for n in (0, 5_000, 300_000, 10**6, 10**12)] == [2, 2, 3, 4, 6]
+    assert vector_dups.grid_dims(10**12, 1.0, 8) < 6
+
+
 def test_divergence_base_counts(docs, empty):
     got = {r.doc_id: r for r in divergence.judge(docs).collect()}
     for r in docs.collect():
