@@ -45,6 +45,13 @@ def _windows(texts: pa.Array, k: int, seed2: bool) -> Iterator[tuple]:
         yield lo, b, starts, ends, first, edge, at, h1, h2
 
 
+def _pairs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Both hashes of each window as one value that can be sorted and looked up."""
+    out = np.empty((len(h1), 2), ">u8")
+    out[:, 0], out[:, 1] = h1, h2
+    return out.view("S16").ravel()
+
+
 def repeat_sketch(docs: DataFrame, window: int):
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(n_bytes // 6, CELLS_PER_WINDOW, MOST_BITS)
@@ -93,19 +100,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
             names = batch.schema.names
             texts, firsts = batch.column(names.index("text")), batch.column(names.index("firsts"))
             n_words, n_removed, out = [], [], []
-            for lo, b, starts, ends, first, edge, at, h1, _ in _windows(texts, window, False):
+            for lo, b, starts, ends, first, edge, at, h1, h2 in _windows(texts, window, True):
                 hit = sketch.repeated(h1)
+                both = _pairs(h1, h2)
                 data = b.tobytes()
                 for i in range(len(first) - 1):
                     w0, w1, e0, e1 = first[i], first[i + 1], edge[i], edge[i + 1]
                     n_words.append(int(w1 - w0))
                     gone = 0
                     if hit[e0:e1].any():
-                        h = h1[e0:e1]
+                        h = both[e0:e1]
                         own = firsts[lo + i].values
                         again = np.ones(len(h), bool)
                         again[np.unique(h, return_index=True)[1]] = False
-                        mine = np.isin(h, own.to_numpy().view(np.uint64)) if own is not None else np.zeros(len(h), bool)
+                        mine = np.zeros(len(h), bool)
+                        if own is not None:
+                            mine = np.isin(h, _pairs(*(own.field(x).to_numpy().view(np.uint64) for x in ("h1", "h2"))))
                         lost = np.flatnonzero(again | (hit[e0:e1] & ~mine))
                         cover = np.zeros(w1 - w0 + 1, np.int64)
                         np.add.at(cover, lost, 1)
@@ -130,7 +140,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
         .groupBy("h1", "h2")
         .agg(F.min("doc").alias("doc"), F.min("like").alias("like"))
         .groupBy("doc", F.when(F.col("doc").isNull(), F.col("like")).alias("like"))
-        .agg(F.collect_list("h1").alias("firsts"))
+        .agg(F.collect_list(F.struct("h1", "h2")).alias("firsts"))
     )
     found = stored(found, "first-windows")
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & F.col("alike").eqNullSafe(F.col("like")), "left").drop("doc", "like")
