@@ -1,13 +1,18 @@
 """Column rules on small cases."""
 
+import contextlib
 import hashlib
 import hmac
+import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from visitlens.functions import columns as C
 from visitlens.operators import rollups
+from visitlens.plans import journey_queries
+from visitlens.plans import tables as T
 
 
 def one(spark, *cols, **values):
@@ -145,3 +150,17 @@ def test_white_space_alone_is_blank(spark):
     values = [None, "", " ", "\t", "\n \r", "\u000b", "a", " a\t"]
     got = spark.createDataFrame([(v,) for v in values], "v string").select(C.blank(F.col("v")).alias("b"), C.filled(F.col("v")).alias("f")).collect()
     assert [r.b for r in got] == [True] * 6 + [False] * 2 and [r.f for r in got][6:] == ["a", " a\t"]
+
+
+@pytest.mark.parametrize("of", ["enriched", "facts", "steps"])
+def test_no_generated_method_is_too_large_for_the_jvm_to_compile(spark, sf, of):
+    """HotSpot leaves methods of more than 8000 bytes to its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = {"enriched": T.enriched, "facts": T.facts, "steps": journey_queries.steps}[of](spark, sf)
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
