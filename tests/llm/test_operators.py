@@ -544,6 +544,18 @@ def test_gibbs_sweeps_keep_to_the_exact_distribution_of_tables(c, moves, sweeps,
     assert np.diff(off).mean() == pytest.approx(want, rel=0.03)
 
 
+def test_a_sweep_moves_every_customer():
+    """Customers of one dish at two tables, where hardly any other is opened: blocks leave
+    and come back until as many have moved as there are. The share of a table then strays
+    as in that many draws; a sweep of 32 customers would hardly move it."""
+    n, c = 400, 20_000
+    key = common.mix(np.arange(n).astype(np.uint64))
+    size, off = hpylm.gibbs(np.full(2 * n, c // 2), np.arange(n + 1) * 2, np.full(n, c), 32, np.full(n, 1e-12), np.full(n, 3.0), 0.5, 1.0, key)
+    assert (np.diff(off) == 2).all() and (size.reshape(n, 2).sum(1) == c).all()
+    # a move changes the size with variance 2 * 1/2 * 1/2, so c of them by sqrt(c / 2) = 100
+    assert np.std(size.reshape(n, 2)[:, 0]) == pytest.approx(math.sqrt(c / 2), rel=0.2)
+
+
 def test_gibbs_follows_changed_counts():
     """Customers come and go one by one; a dish without customers has no table."""
     c = np.array([0, 1, 3, 900, 40, 0])

@@ -3,16 +3,17 @@
 Two levels: a root restaurant over all words, and one restaurant per context, which all
 share the root as their parent. The contexts are all observed previous words and the
 beginning of a text. Customers are the training tokens, counted over all of them. The
-state is the sizes of the tables of each word in each restaurant. A sweep of the Gibbs
-sampler takes customers out one by one, each drawn among those of its word, and seats
-each again in the Chinese-restaurant way given all others; of a word in a restaurant as
-many as it has, ``moves`` at most, drawn anew in each sweep. The tables are the root's
-customers: between sweeps those that were added or closed come to the root or leave it,
-one by one, and the root is swept alike. Totals of a restaurant and the root's
+state is the number of tables of each word in each restaurant, and their sizes. A sweep
+of the Gibbs sampler takes all customers of each word out and seats them again in the
+Chinese-restaurant way given all others: up to WHOLE of them at once, by an exact draw of
+the number of their tables, which needs no sizes, so none are kept; of more, blocks of
+``moves`` leave and return together, until as many have moved as there are. The tables
+are the root's customers: between sweeps those that were added or closed come to the root
+or leave it, and the root is swept alike. Totals of a restaurant and the root's
 probabilities are those at the sweep's beginning, corrected by the word's own changes.
 Each level has one discount and one strength, drawn in each sweep from their conditional
-distribution on a grid, which needs only how often each table size, restaurant size and
-number of tables occurs. After ``burn`` sweeps, the predictive probabilities of the
+distribution on a grid, which needs only how often each table size (or few customers and
+their tables), restaurant size and number of tables occurs. After ``burn`` sweeps, the predictive probabilities of the
 sweeps are averaged. Draws are hashes of word, context, sweep and customer, so a task
 that is run again seats alike. The first state, before the sweeps, comes from ``seat``.
 
@@ -36,8 +37,10 @@ an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,7 @@ END = np.uint64(0x9D2C5680EFC60000)  # the end token
 BEGIN = np.uint64(0x6A09E667F3BCC908)  # the context at a text's beginning
 FLUSH = 1_500_000
 CELLS = 1 << 20  # places at tables that are laid out at a time
+WHOLE = 64  # customers of a dish that are taken out together
 CELLS_PER_PAIR, MOST_BITS = 2.0, 28
 _U = np.uint64
 
@@ -298,82 +302,196 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(x))[off])
 
 
+@lru_cache(4)
+def stirling(discount: float) -> np.ndarray:
+    """Entry (c, t): the weights of all ways to seat c <= WHOLE customers at t tables, summed."""
+    out = np.zeros((WHOLE + 1, WHOLE + 1))
+    out[0, 0] = 1.0
+    for c in range(WHOLE):
+        out[c + 1, 1:] = out[c, :-1] + np.maximum(c - discount * np.arange(1, WHOLE + 1), 0) * out[c, 1:]
+    return out
+
+
+def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, key: np.ndarray) -> np.ndarray:
+    """All customers of each dish, WHOLE at most, are taken out and seated again together:
+    the number of their tables, drawn given those of the restaurant's other dishes."""
+    tables = np.minimum(c, 1).astype(np.int64)
+    for m in np.unique(c[c > 1]).tolist():
+        every, ways = np.flatnonzero(c == m), np.log(stirling(discount)[m, 1 : m + 1])
+        for lo in range(0, len(every), max(1, CELLS // m)):
+            rows = every[lo : lo + max(1, CELLS // m)]
+            odds = np.zeros((len(rows), m))
+            np.cumsum(np.log((strength + discount * (others[rows, None] + np.arange(1, m))) * base[rows, None]), 1, out=odds[:, 1:])
+            odds += ways
+            odds = np.cumsum(np.exp(odds - odds.max(1, keepdims=True)), 1)
+            tables[rows] = np.minimum((odds <= (_uniform(key[rows], 1) * odds[:, -1])[:, None]).sum(1), m - 1) + 1
+    return tables
+
+
+def partition(c: np.ndarray, tables: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
+    """How c <= WHOLE customers share so many tables, drawn: one row of sizes, zeros behind."""
+    most, ways = int(c.max(initial=0)), stirling(discount)
+    opens, left = np.zeros((len(c), most), bool), tables.astype(np.int64).copy()
+    for i in range(most, 0, -1):  # from the last customer back: whether they opened a table
+        r = np.flatnonzero(c >= i)
+        opens[r, i - 1] = _uniform(key[r], 2 * i) * ways[i, left[r]] < ways[i - 1, left[r] - 1]
+        left -= opens[:, i - 1]
+    out, used = np.zeros((len(c), max(1, int(tables.max(initial=0))))), np.zeros(len(c), np.int64)
+    for i in range(most):
+        r = np.flatnonzero(opens[:, i])
+        out[r, used[r]] = 1
+        used[r] += 1
+        r = np.flatnonzero(~opens[:, i] & (c > i))
+        sums = np.cumsum(np.where(out[r] > 0, out[r] - discount, 0), 1)
+        out[r, np.minimum((sums <= (_uniform(key[r], 2 * i + 1) * sums[:, -1])[:, None]).sum(1), used[r] - 1)] += 1
+    return out
+
+
 def gibbs(size: np.ndarray, off: np.ndarray, c: np.ndarray, moves: int, base: np.ndarray, others: np.ndarray, discount: float, strength: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Customers of each dish are taken out and seated again one by one, and those are
-    added or taken away that bring the customers to ``c``. ``others`` counts the tables
-    of the restaurant's other dishes, ``base`` is the parent's probability of the dish.
-    Returns sizes and offsets."""
-    tables, have = np.diff(off), _sums(size, off)
-    rounds = np.where(c > 1, np.minimum(c, moves), 0)
-    kind = np.ceil(np.log2(np.maximum(np.minimum(tables + 2, np.maximum(c, tables)), 1))).astype(np.int64)
-    out, count = [None] * len(c), np.zeros(len(c), np.int64)
+    """A sweep over all customers of each dish: they are taken out and seated again, all
+    given the rest. Up to WHOLE are taken out at once; of more, blocks of up to ``moves``
+    (at most half of WHOLE) leave and return together, until as many have moved as there
+    are. First those are added or taken away that bring the customers to ``c``. ``others``
+    counts the tables of the restaurant's other dishes, ``base`` is the parent's
+    probability of the dish. Returns sizes and offsets."""
+    tables, have, moves = np.diff(off), _sums(size, off), min(moves, WHOLE // 2)
+    kind = np.where(c <= WHOLE, -1, np.ceil(np.log2(np.maximum(tables + 2, 2))).astype(np.int64))
+    at, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in np.unique(kind):
         every = np.flatnonzero(kind == k)
-        step = max(1, CELLS >> int(k))
+        every = every[np.argsort(-c[every], kind="stable")]  # those that move longest first
+        step = max(1, CELLS >> (int(k) if k >= 0 else 6))
         for lo in range(0, len(every), step):
             rows = every[lo : lo + step]
-            at = np.repeat(np.arange(len(rows)), tables[rows])
-            s = np.zeros((len(rows), 1 << int(k)))
-            s[at, ranges(np.zeros(len(rows), np.int64), tables[rows])] = size[ranges(off[rows], off[rows + 1])]
-            t = tables[rows].copy()
-            s = _sweep(s, t, have[rows].astype(float), c[rows], rounds[rows], base[rows], others[rows], discount, strength, key[rows])
-            count[rows] = t
-            for i, r in enumerate(rows) if len(rows) < 64 else ():
-                out[r] = s[i, : t[i]]
-            if len(rows) >= 64:
-                flat, edge = s[np.arange(s.shape[1]) < t[:, None]], np.append(0, np.cumsum(t))
-                for r, i, j in zip(rows.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
-                    out[r] = flat[i:j]
-    return (np.concatenate(out).astype(np.int64) if len(c) else size), np.append(0, np.cumsum(count))
-
-
-def _sweep(s: np.ndarray, t: np.ndarray, n: np.ndarray, want: np.ndarray, rounds: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, strength: float, key: np.ndarray) -> np.ndarray:
-    """Changes sizes ``s`` (tables first, zeros after them), tables ``t`` and customers
-    ``n``; returns the sizes, which are wider where tables needed room."""
-    draw = 0
-
-    def leave(i: np.ndarray) -> None:
-        x = _uniform(key[i], draw) * n[i]
-        k = np.minimum((np.cumsum(s[i], 1) <= x[:, None]).sum(1), t[i] - 1)
-        s[i, k] -= 1
-        n[i] -= 1
-        gone = s[i, k] == 0
-        j, k = i[gone], k[gone]
-        t[j] -= 1
-        s[j, k] = s[j, t[j]]  # the last table takes the free place
-        s[j, t[j]] = 0
-
-    def enter(i: np.ndarray) -> None:
+            if k < 0:
+                s = partition(c[rows], draw_tables(c[rows], base[rows], others[rows], discount, strength, key[rows]), discount, ~key[rows])
+            else:
+                s = np.zeros((len(rows), 1 << int(k)))
+                s[np.repeat(np.arange(len(rows)), tables[rows]), ranges(np.zeros(len(rows), np.int64), tables[rows])] = size[ranges(off[rows], off[rows + 1])]
+                s[have[rows] == 0, 0] = 1
+                s = _sweep(s, c[rows], moves, base[rows], others[rows], discount, strength, key[rows])
+            i, j = np.nonzero(s)
+            at.append(rows[i])
+            sizes.append(s[i, j].astype(np.int64))
+    at, sizes = np.concatenate(at), np.concatenate(sizes)
+    return sizes[np.argsort(at, kind="stable")], np.append(0, np.cumsum(np.bincount(at, minlength=len(c))))
+
+
+def _sweep(s: np.ndarray, want: np.ndarray, moves: int, base: np.ndarray, others: np.ndarray, d: float, strength: float, key: np.ndarray) -> np.ndarray:
+    """Sizes ``s`` (zeros where there is no table) after a sweep of blocks; returns them
+    wider where tables needed room."""
+    draw, ways = 0, stirling(d)[: moves + 1, : moves + 1]
+    choose = np.array([[math.comb(e, j) for j in range(moves + 1)] for e in range(moves + 1)], float)
+    nth = np.arange(moves)
+
+    def uniforms(rows: np.ndarray, n: int) -> np.ndarray:
+        nonlocal draw
+        draw += 1
+        return _uniform(mix(key[rows] + _U(draw))[:, None] + nth[:n].astype(_U) * _U(0x9E3779B97F4A7C15), 1)
+
+    def leave(x: np.ndarray, rows: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Up to r unlike customers of each row of x, of all alike; returns how many."""
+        sums = np.cumsum(x, 1)
+        picked = np.where(nth < r[:, None], np.floor(uniforms(rows, moves) * sums[:, -1:]), np.inf)
+        picked.sort(1)
+        new = np.isfinite(picked)
+        new[:, 1:] &= picked[:, 1:] != picked[:, :-1]
+        i, _ = np.nonzero(new)
+        start = np.append(0, np.cumsum(sums[:, -1]))[:-1]
+        flat = np.searchsorted((sums + start[:, None]).ravel(), picked[new] + start[i], "right")
+        x -= np.bincount(flat, minlength=x.size).reshape(x.shape)
+        return new.sum(1)
+
+    def enter(x: np.ndarray, rows: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """e customers of each row of x sit down, given all that sit there. Of the ways to
+        do so, j of them sit at new tables with weight choose * rising(e - j) * opened."""
+        t = (x > 0).sum(1)
+        weight = np.where(x > 0, x - d, 0)
+        sums = np.cumsum(weight, 1)
+        w = sums[:, -1:]
+        mass = np.ones((len(x), moves + 1))
+        np.cumprod((strength + d * ((others[rows] + t)[:, None] + nth)) * base[rows, None], 1, out=mass[:, 1:])
+        rising = np.ones((len(x), moves + 1))
+        np.cumprod(1 + nth / w, 1, out=rising[:, 1:])
+        stay = e[:, None] - np.arange(moves + 1)
+        odds = choose[e] * np.take_along_axis(rising, np.maximum(stay, 0), 1) * (mass @ ways.T) * (1 / w) ** np.arange(moves + 1)
+        odds = np.cumsum(odds, 1)
+        u = uniforms(rows, 2)
+        j = np.minimum((odds <= u[:, :1] * odds[:, -1:]).sum(1), e)
+        # the others copy one that came before, or choose a table that stood
+        v = uniforms(rows, moves) * (w + nth)
+        first = np.where(v < w, nth, np.minimum(np.floor(v - w), np.maximum(nth - 1, 0))).astype(np.int64)
+        for _ in range(max(1, (moves - 1).bit_length())):
+            first = np.take_along_axis(first, first, 1)
+        start = np.append(0.0, np.cumsum(w[:, 0]))[:-1]
+        flat = np.searchsorted((sums + start[:, None]).ravel(), (uniforms(rows, moves) * w + start[:, None]).ravel(), "right").reshape(len(x), moves)
+        flat = np.take_along_axis(np.minimum(flat, x.size - 1), first, 1)[nth < (e - j)[:, None]]
+        x += np.bincount(flat, minlength=x.size).reshape(x.shape)
+        i = np.flatnonzero(j)
+        if len(i):
+            odds = np.cumsum(ways[j[i]] * mass[i], 1)
+            opened = np.minimum((odds <= u[i, 1:] * odds[:, -1:]).sum(1), j[i])
+            z = partition(j[i], opened, d, mix(key[rows[i]] + _U(draw)) + _U(1))
+            if (t[i] + opened).max() > x.shape[1]:
+                x = np.pad(x, ((0, 0), (0, max(moves, x.shape[1]))))
+            free = np.argsort(x[i] > 0, 1, kind="stable")[:, : z.shape[1]]
+            at, k = np.nonzero(z)
+            x[i[at], free[at, k]] = z[at, k]
+        return x
+
+    def put(rows: np.ndarray | slice, x: np.ndarray) -> None:
         nonlocal s
-        if t[i].max() == s.shape[1]:
-            s = np.pad(s, ((0, 0), (0, s.shape[1])))
-        place = np.arange(s.shape[1])
-        new = np.where(t[i] > 0, (strength + d * (others[i] + t[i])) * base[i], 1.0)
-        x = _uniform(key[i], draw) * (new + np.maximum(n[i] - d * t[i], 0)) - new
-        k = np.minimum(((np.cumsum(s[i], 1) - d * (place + 1) <= x[:, None]) & (place < t[i][:, None])).sum(1), np.maximum(t[i] - 1, 0))
-        k = np.where(x < 0, t[i], k)
-        t[i] += x < 0
-        s[i, k] += 1
-        n[i] += 1
+        if x.shape[1] > s.shape[1]:
+            s = np.pad(s, ((0, 0), (0, x.shape[1] - s.shape[1])))
+        s[rows] = x
 
     while True:
+        n = s.sum(1)
         more, less = np.flatnonzero(n < want), np.flatnonzero(n > want)
         if not len(more) and not len(less):
             break
-        if len(more):
-            enter(more)
         if len(less):
-            leave(less)
-        draw += 1
-    live, done = np.flatnonzero(rounds > 0), 0
-    while len(live):
-        leave(live)
-        draw += 1
-        enter(live)
-        draw += 1
+            x = s[less]
+            leave(x, less, np.minimum(n[less] - want[less], moves).astype(np.int64))
+            put(less, x)
+        if len(more):
+            put(more, enter(s[more], more, np.minimum(want[more] - n[more], moves).astype(np.int64)))
+    left = np.ceil(want / (want * -np.expm1(moves * np.log1p(-1 / want)))).astype(np.int64)  # blocks, less those drawn twice
+    place, done = np.arange(len(want)), 0
+    while True:
+        live = int(np.searchsorted(-left, -done, "left"))
+        if not live:
+            return s
+        x, rows = s[:live].copy(), place[:live]
+        put(slice(0, live), enter(x, rows, leave(x, rows, np.full(live, moves))))
         done += 1
-        live = live[rounds[live] > done]
-    return s
+
+
+def _seated_again(
+    c: np.ndarray, before: np.ndarray, tables: np.ndarray, sizes: pa.Array, mass: np.ndarray | None, moves: int,
+    base: np.ndarray, others: np.ndarray, discount: float, strength: float, key: np.ndarray,
+) -> tuple[np.ndarray, pa.Array]:
+    """Tables of each dish after a sweep, and their sizes, which are kept where there are
+    more than WHOLE customers; of fewer, all are seated anew, which needs no sizes. In the
+    first sweep ``mass`` is given and sizes are laid out by it."""
+    t, few, many = tables.astype(np.int64), np.flatnonzero(c <= WHOLE), np.flatnonzero(c > WHOLE)
+    t[few] = draw_tables(c[few], base[few], others[few], discount, strength, key[few])
+    if mass is not None:
+        size, off = first_sizes(c[many], seat(c[many], base[many], np.full(len(many), discount), mass[many], ~key[many]), discount)
+    else:
+        size, off = _ragged(sizes.take(pa.array(many)))
+        grown = np.flatnonzero(np.diff(off) == 0)  # had no more than WHOLE
+        if len(grown):
+            z = partition(before[many[grown]], tables[many[grown]], discount, ~key[many[grown]])
+            i, k = np.nonzero(z)
+            at = np.append(np.repeat(np.arange(len(many)), np.diff(off)), grown[i])
+            size = np.append(size, z[i, k].astype(np.int64))[np.argsort(at, kind="stable")]
+            off = np.append(0, np.cumsum(np.bincount(at, minlength=len(many))))
+    size, off = gibbs(size, off, c[many], moves, base[many], others[many], discount, strength, key[many])
+    t[many] = np.diff(off)
+    kept = np.zeros(len(c), np.int64)
+    kept[many] = t[many]
+    return t, _lists(size, np.append(0, np.cumsum(kept)))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -389,14 +507,20 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 Histogram = tuple[np.ndarray, np.ndarray]  # values and how often each occurs
 
 
-def draw_level(sizes: Histogram, tables: Histogram, customers: Histogram, discount: float, strength: float, seed: int, discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS) -> tuple[float, float]:
-    """Discount and strength of a level, each drawn given the other and all seatings."""
+def draw_level(
+    sizes: Histogram, tables: Histogram, customers: Histogram, discount: float, strength: float, seed: int, discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS,
+    few: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> tuple[float, float]:
+    """Discount and strength of a level, each drawn given the other and all seatings:
+    ``sizes`` of tables and, where only their number is kept, ``few`` customers, their
+    tables, and how often."""
     (s, ns), (t, nt), (c, nc) = sizes, tables, customers
     rng = np.random.default_rng(seed)
 
     def log_odds(d: float, a: float) -> float:
         opened = ((t - 1) * np.log(d) + _lgamma(a / d + t) - _lgamma(a / d + 1)) @ nt
-        return opened - (_lgamma(a + c) - _lgamma(a + 1)) @ nc + (_lgamma(s - d) - _lgamma(1 - d)) @ ns
+        ways = np.log(stirling(float(d))[few[0], few[1]]) @ few[2] if few is not None else 0.0
+        return opened - (_lgamma(a + c) - _lgamma(a + 1)) @ nc + (_lgamma(s - d) - _lgamma(1 - d)) @ ns + ways
 
     def drawn(values: tuple, odds: list[float]) -> float:
         p = np.exp(np.array(odds) - max(odds))
@@ -419,6 +543,12 @@ def _histogram(rows: DataFrame, value, more: dict[int, float]) -> Histogram:
     return np.array(list(got), float), np.array(list(got.values()), float)
 
 
+def _seatings(rows: DataFrame, c: str, t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Customers, tables and how often, of dishes with 2 to WHOLE customers."""
+    got = rows.where(F.col(c).between(2, WHOLE)).groupBy(c, t).count().toArrow()  # under WHOLE**2 rows
+    return got[c].to_numpy(), got[t].to_numpy(), got["count"].to_numpy().astype(float)
+
+
 def _lists(sizes: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(sizes, pa.int64()))
 
@@ -474,15 +604,14 @@ def train(
 
     contexts = scratch.store(totals(counts.select(F.when(F.col("w") == end, begin).otherwise(F.col("w")).alias("u"), F.col("c").alias("n")), "u", "n"), "contexts")
     none = F.array().cast("array<long>")
-    words = scratch.store(totals(counts, "w", "c").select("w", "hot_w", "c", "one", F.col("t").alias("customers"), F.lit(1).cast("long").alias("tables"), none.alias("sizes")), "words")
+    words = scratch.store(totals(counts, "w", "c").select("w", "hot_w", "c", "one", F.col("t").alias("customers"), F.col("t").alias("before"), F.lit(1).cast("long").alias("tables"), none.alias("sizes")), "words")
     stored_words = words
     n, v, total = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.sum("customers")).first())
-    singles = float(contexts.agg(F.sum("one")).first()[0] or 0) + alone
     n, v, total, total_tables = n + alone, v + alone, total + alone, v + alone
     customers = _histogram(contexts, F.col("n"), {1: alone} if alone else {})
     leaf, top = Level(float(np.median(discounts)), float(strengths[len(strengths) // 2])), Level(float(np.median(discounts)), float(strengths[len(strengths) // 2]))
     many, levels, single, unseen = sweeps - burn, [], [], []
-    seats = pairs.where("c > 1").select("u", "w", "hot_u", "hot_w", "c", F.lit(0.0).alias("own"), none.alias("sizes"))
+    seats = pairs.where("c > 1").select("u", "w", "hot_u", "hot_w", "c", F.lit(0.0).alias("own"), F.lit(1).cast("long").alias("tables"), none.alias("sizes"))
     stored_seats = None
 
     def below() -> float:
@@ -498,21 +627,19 @@ def train(
                 u, w, c = _key(batch, "u"), _key(batch, "w"), batch.column("c").to_numpy()
                 n_, t = (shared.value.fill(x, u, batch.column(x)) for x in ("n", "t"))
                 p, seed = shared.value.fill("base", w, batch.column("base")), mix(w ^ mix(u + _U(1000 * k)))
-                size, off = _ragged(batch.column("sizes"))
-                if k == 1:
-                    size, off = first_sizes(c, seat(c, p, np.full(len(c), d), a + d * t, ~seed), d)
-                others = np.maximum(t - (1 if k == 1 else np.diff(off)), 0)  # at first each dish has counted as one table
-                size, off = gibbs(size, off, c, moves, p, others, d, a, seed)
-                own = batch.column("own").to_numpy() + ((c - d * np.diff(off)) / (a + n_) / many if k > burn else 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own), _lists(size, off)], names=batch.schema.names[:7])
+                now = batch.column("tables").to_numpy()
+                others = np.maximum(t - now, 0)  # at first each dish has counted as one table
+                now, sizes = _seated_again(c, c, now, batch.column("sizes"), a + d * t if k == 1 else None, moves, p, others, d, a, seed)
+                own = batch.column("own").to_numpy() + ((c - d * now) / (a + n_) / many if k > burn else 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own), pa.array(now), sizes], names=batch.schema.names[:8])
             give_back()
 
         found = _looked_up(_looked_up(seats, "u", contexts.where("not hot_u").select("u", F.col("n").cast("double").alias("n"), F.col("t").cast("double").alias("t"))), "w", base.where("not hot_w").drop("hot_w"))
-        found = found.select("u", "w", "hot_u", "hot_w", "c", "own", "sizes", "n", "t", "base")
+        found = found.select("u", "w", "hot_u", "hot_w", "c", "own", "tables", "sizes", "n", "t", "base")
         now = scratch.store(found.mapInArrow(sit, seats.schema), "seats")
         scratch.drop(stored_seats)
         seats = stored_seats = now
-        opened = F.sum(F.size("sizes")).alias("more")
+        opened = F.sum("tables").alias("more")
         total_of = (F.col("one") + F.coalesce("more", F.lit(0))).alias("t")
         kept = [c for c in contexts.columns if c.startswith("back")]
         back = [((leaf.strength + leaf.discount * total_of) / (leaf.strength + F.col("n"))).alias(f"back{k - burn - 1}")] if k > burn else []
@@ -524,16 +651,14 @@ def train(
             for batch in batches:
                 w, c, before = _key(batch, "w"), batch.column("customers").to_numpy(), batch.column("tables").to_numpy()
                 seed, base_ = mix(w ^ _U(76 + k)), np.full(len(w), p)
-                size, off = _ragged(batch.column("sizes"))
-                if k == 1:
-                    size, off = first_sizes(c, seat(c, base_, np.full(len(w), d), np.full(len(w), a + d * in_all), ~seed), d)
-                size, off = gibbs(size, off, c, moves, base_, in_all - before, d, a, seed)
-                columns = {"tables": pa.array(np.diff(off)), "sizes": _lists(size, off)}
+                mass = np.full(len(w), a + d * in_all) if k == 1 else None
+                now, sizes = _seated_again(c, batch.column("before").to_numpy(), before, batch.column("sizes"), mass, moves, base_, in_all - before, d, a, seed)
+                columns = {"tables": pa.array(now), "sizes": sizes}
                 yield pa.RecordBatch.from_arrays([columns.get(x, batch.column(x)) for x in batch.schema.names], names=batch.schema.names)
             give_back()
 
         kept = [c for c in words.columns if c.startswith("root")]
-        now = words.join(seats.groupBy("w").agg(opened), "w", "left").select("w", "hot_w", "c", "one", total_of.alias("customers"), "tables", "sizes", *kept)
+        now = words.join(seats.groupBy("w").agg(opened), "w", "left").select("w", "hot_w", "c", "one", F.col("customers").alias("before"), total_of.alias("customers"), "tables", "sizes", *kept)
         now = scratch.store(now.mapInArrow(root, now.schema), "words")
         scratch.drop(stored_words)
         stored_words = words = now
@@ -545,12 +670,12 @@ def train(
             single.append((1 - top.discount + below()) / (top.strength + total) / many)
             unseen.append(below() / (top.strength + total) / many)
         if k < sweeps and n:
-            each = _histogram(seats.select(F.explode("sizes").alias("s")), F.col("s"), {1: singles})
-            leaf = Level(*draw_level(each, _histogram(contexts, F.col("t"), {1: alone}), customers, leaf.discount, leaf.strength, 2 * k, discounts, strengths))
-            each = _histogram(words.select(F.explode("sizes").alias("s")), F.col("s"), {1: alone})
             one = np.ones(1)
-            top = Level(*draw_level(each, (one * total_tables, one), (one * total, one), top.discount, top.strength, 2 * k + 1, discounts, strengths))
-    whole = pairs.where("c < 2").withColumn("own", F.lit(None).cast("double")).unionByName(seats.drop("sizes"))
+            each = _histogram(seats.select(F.explode("sizes").alias("s")), F.col("s"), {})
+            leaf = Level(*draw_level(each, _histogram(contexts, F.col("t"), {1: alone}), customers, leaf.discount, leaf.strength, 2 * k, discounts, strengths, _seatings(seats, "c", "tables")))
+            each = _histogram(words.select(F.explode("sizes").alias("s")), F.col("s"), {})
+            top = Level(*draw_level(each, (one * total_tables, one), (one * total, one), top.discount, top.strength, 2 * k + 1, discounts, strengths, _seatings(words, "customers", "tables")))
+    whole = pairs.where("c < 2").withColumn("own", F.lit(None).cast("double")).unionByName(seats.drop("tables", "sizes"))
     return Model(
         whole, contexts.select("u", "hot_u", F.col("n").cast("double").alias("n"), *[f"back{i}" for i in range(many)]),
         words.select("w", "hot_w", F.col("c").cast("double").alias("cw"), *[f"root{i}" for i in range(many)]), levels, single, unseen, n, v,
