@@ -476,6 +476,25 @@ def test_language_model_learns_alike_from_a_column_or_another_table(spark):
         assert {r.doc_id: r.score for r in hpylm.score(docs, "learns", **options).collect()} == pytest.approx(want, rel=1e-6)
 
 
+def test_language_model_looks_up_a_slice_of_the_pairs_at_a_time(spark, monkeypatch):
+    """However many slices: the same scores; with more, none stores as many looked-up tokens as one alone."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(40)), k % 3 != 0) for k in range(60)], "doc_id long, text string, learns boolean")
+    sizes, store = [], hpylm.Scratch.store
+
+    def counting(self, df, name):
+        out = store(self, df, name)
+        if name == "asked":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(hpylm.Scratch, "store", counting)
+    one = {r.doc_id: r.score for r in hpylm.score(docs, "learns", heavy=10, slices=1, sweeps=2).collect()}
+    whole, sizes[:] = sizes[0], []
+    assert {r.doc_id: r.score for r in hpylm.score(docs, "learns", heavy=10, slices=3, sweeps=2).collect()} == pytest.approx(one, rel=1e-9)
+    assert len(sizes) == 3 and sum(sizes) == whole and max(sizes) < 0.6 * whole
+
+
 def test_language_model_sums_to_one(spark):
     """The probabilities of all words, of the unknown word and of the end add up to 1
     behind every context. With s(x) = P(x | begin) P(end | x) and s(xw), the ends behind

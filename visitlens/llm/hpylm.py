@@ -28,7 +28,8 @@ totals follow from the counts of words.
 Seatings are rows (context, word, count, sizes); totals by context and by word are tables
 of their own. Those of the ``heavy`` most frequent words, and the ``pairs`` most frequent
 pairs of these, are broadcast (fixed bounds): caches only, all others are joined, so no
-join has a hot key.
+join has a hot key. The tokens that need a join are looked up in ``slices`` by hash of
+their pair, each summed up by text and deleted before the next.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored
 alike, each; with no training token every word has the one unknown symbol's probability;
@@ -40,7 +41,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ END = np.uint64(0x9D2C5680EFC60000)  # the end token
 BEGIN = np.uint64(0x6A09E667F3BCC908)  # the context at a text's beginning
 FLUSH = 1_500_000
 CELLS = 1 << 20  # places at tables that are laid out at a time
+SLICES = 6  # of the pairs to look up, one after the other, so that only one of them is shuffled and stored at a time
 WHOLE = 64  # customers of a dish that are taken out together
 CELLS_PER_PAIR, MOST_BITS = 2.0, 28
 _U = np.uint64
@@ -759,7 +761,7 @@ def _single(n: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 def score(
     docs: DataFrame, training: DataFrame | str, heavy: int = HEAVY, sweeps: int = SWEEPS, burn: int = BURN, pairs: int = PAIRS, moves: int = MOVES,
-    discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS,
+    discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS, slices: int = SLICES,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score, one row per row of
     docs; ``training`` has the texts to learn from, or is the name of the boolean column
@@ -868,26 +870,34 @@ def score(
 
     each = ids.mapInArrow(summary, "doc_id long, fp long, n_tokens long, n_near long, base double, score double")
     away = scratch.store(ids.mapInArrow(rare, "doc_id long, fp long, u long, w long, hot int, pair boolean"), "away")
-    asked = away.where("pair").drop("pair").join(known.select("u", "w", "cw", "logp"), ["u", "w"], "left")
-    asked = scratch.store(_flags(asked.withColumn("learns", F.col("hot").bitwiseAND(4) > 0)), "asked")
-    scratch.drop(known)
-    rest = _flags(away.where("not pair").drop("pair").withColumn("learns", F.col("hot").bitwiseAND(4) > 0))
-    fresh = asked.where("logp is null").drop("cw", "logp").unionByName(rest)
-    fresh = _looked_up(_looked_up(fresh, "u", light_u), "w", light_w)
-    fresh = fresh.mapInArrow(new_pairs, "doc_id long, fp long, hot_w boolean, cw double, logp double")
-    light = ~F.col("hot_w")
-    sums = (
-        asked.where("logp is not null").select("doc_id", "fp", "hot_w", "cw", "logp").unionByName(fresh)
-        .select(
-            "doc_id", "fp", (light & F.col("cw").isNotNull()).cast("long").alias("known"),
-            F.when(light, F.log10((F.coalesce("cw", F.lit(0.0)) + 1) / F.lit(float(total)))).otherwise(F.lit(0.0)).alias("b"), "logp",
-        )
-        .groupBy("doc_id", "fp")
-        .agg(F.sum("known").alias("more_known"), F.sum("b").alias("more_base"), F.sum("logp").alias("more"))
-        .select(F.col("doc_id").alias("d2"), F.col("fp").alias("f2"), "more_known", "more_base", "more")
-    )
-    sums = scratch.store(sums, "away-sums")
-    scratch.drop(away, asked, *model.stored)
+    light, parts = ~F.col("hot_w"), []
+    for k in range(slices):
+
+        def sliced(rows: DataFrame, k: int = k) -> DataFrame:
+            return rows.where(F.pmod(F.xxhash64("u", "w"), F.lit(slices)) == k)
+
+        mine = sliced(away)
+        asked = mine.where("pair").drop("pair").join(sliced(known.select("u", "w", "cw", "logp")), ["u", "w"], "left")
+        asked = scratch.store(_flags(asked.withColumn("learns", F.col("hot").bitwiseAND(4) > 0)), "asked")
+        rest = _flags(mine.where("not pair").drop("pair").withColumn("learns", F.col("hot").bitwiseAND(4) > 0))
+        fresh = asked.where("logp is null").drop("cw", "logp").unionByName(rest)
+        fresh = _looked_up(_looked_up(fresh, "u", light_u), "w", light_w)
+        fresh = fresh.mapInArrow(new_pairs, "doc_id long, fp long, hot_w boolean, cw double, logp double")
+        sums = (
+            asked.where("logp is not null").select("doc_id", "fp", "hot_w", "cw", "logp").unionByName(fresh)
+            .select(
+                "doc_id", "fp", (light & F.col("cw").isNotNull()).cast("long").alias("more_known"),
+                F.when(light, F.log10((F.coalesce("cw", F.lit(0.0)) + 1) / F.lit(float(total)))).otherwise(F.lit(0.0)).alias("more_base"), F.col("logp").alias("more"),
+            )
+            .groupBy("doc_id", "fp")
+            .agg(*(F.sum(x).alias(x) for x in ("more_known", "more_base", "more")))
+        )
+        parts.append(scratch.store(sums, "away-sums"))
+        scratch.drop(asked)
+    scratch.drop(known, away, *model.stored)
+    sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias("d2"), F.col("fp").alias("f2"))
+    sums = scratch.store(sums.agg(*(F.sum(x).alias(x) for x in ("more_known", "more_base", "more"))), "away-sums")
+    scratch.drop(*parts)
     copies = F.count("*").over(Window.partitionBy("doc_id", "fp"))
     joined = each.withColumn("copies", copies).join(sums, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("fp") == F.col("f2")), "left")
 
