@@ -583,6 +583,29 @@ def test_gibbs_follows_changed_counts():
     assert [int(size[i:j].sum()) for i, j in zip(off, off[1:])] == c.tolist() and size.min() >= 1
 
 
+@pytest.mark.parametrize("d,strength,others,base", [(0.4, 2.0, 9.0, 0.15), (0.8, 1.0, 2e5, 0.01), (0.95, 1.0, 1e6, 0.5), (0.05, 10.0, 5e3, 1e-3)])
+def test_many_customers_are_drawn_at_once_from_the_exact_distribution_of_tables(d, strength, others, base):
+    """More customers than are tabled: integrals agree with the recursion of the Stirling numbers, and draws with the exact distribution."""
+    c, n = hpylm.TABLE + 300, 20_000
+    row = np.zeros(1)
+    for m in range(1, c):
+        stay = np.log(m - d * np.arange(1, m + 1)) + row
+        row = np.append(np.logaddexp(np.append(-np.inf, row[:-1]), stay), row[-1])
+    t = np.arange(1, c + 1)
+    assert hpylm.log_stirling(np.full(c, c), t, d) == pytest.approx(row, abs=1e-7)
+    p = row + np.append(0, np.cumsum(np.log((strength + d * (others + t[:-1])) * base)))
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    got = hpylm.draw_tables(np.full(n, c), np.full(n, base), np.full(n, others), d, strength, common.mix(np.arange(n).astype(np.uint64)))
+    assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / n - p)).max() < 1.63 / math.sqrt(n)
+
+
+def test_a_dish_of_any_number_of_customers_costs_alike():
+    """Nothing is laid out by customer or table: of 10**9 customers, whose millions of tables would not fit, all leave and come back."""
+    n = 50
+    got = hpylm.draw_tables(np.full(n, 10**9), np.full(n, 0.05), np.full(n, 1e8), 0.5, 1.0, common.mix(np.arange(n).astype(np.uint64)))
+    assert got.mean() > 10**6 and 0 < got.std() < math.sqrt(10**9) / 2 and (np.abs(got - got.mean()) < 6 * got.std()).all()
+
+
 def test_levels_are_drawn_near_those_that_made_the_seating():
     rng, d, strength, tables = random.Random(4), 0.6, 10.0, []
     for n in range(20_000):

@@ -3,19 +3,20 @@
 Two levels: a root restaurant over all words, and one restaurant per context, which all
 share the root as their parent. The contexts are all observed previous words and the
 beginning of a text. Customers are the training tokens, counted over all of them. The
-state is the number of tables of each word in each restaurant, and their sizes. A sweep
-of the Gibbs sampler takes all customers of each word out and seats them again in the
-Chinese-restaurant way given all others: up to WHOLE of them at once, by an exact draw of
-the number of their tables, which needs no sizes, so none are kept; of more, blocks of
-``moves`` leave and return together, until as many have moved as there are. The tables
-are the root's customers: between sweeps those that were added or closed come to the root
-or leave it, and the root is swept alike. Totals of a restaurant and the root's
-probabilities are those at the sweep's beginning, corrected by the word's own changes.
+state is the number of tables of each word in each restaurant. A sweep of the Gibbs
+sampler takes all customers of each word out and seats them again given all others, by a
+draw of the number of their tables from its distribution, the generalised Stirling number
+times the masses of the tables opened. It needs no sizes, so none are kept, and costs the
+same for any count of more than TABLE. The tables are the root's customers, and the root
+is swept alike. Totals of a restaurant and the root's probabilities are those at the
+sweep's beginning, corrected by the word's own changes.
 Each level has one discount and one strength, drawn in each sweep from their conditional
-distribution on a grid, which needs only how often each table size (or few customers and
-their tables), restaurant size and number of tables occurs. After ``burn`` sweeps, the predictive probabilities of the
+distribution on a grid, which needs only how often each pair of customers and tables,
+restaurant size and number of tables occurs. After ``burn`` sweeps, the predictive probabilities of the
 sweeps are averaged. Draws are hashes of word, context, sweep and customer, so a task
-that is run again seats alike. The first state, before the sweeps, comes from ``seat``.
+that is run again seats alike.
+Before the sweeps each word has one table. ``seat`` and ``gibbs``, which move customers one
+by one or in blocks and keep sizes, are no part of the model: tests hold the draws against them.
 
 Most words and most pairs of a context and a word occur once. A single customer always
 has one table, so these need no seating, and they are not stored: words and pairs are
@@ -25,7 +26,7 @@ misses a repeat. A pair that is not in the table is then the training text's own
 one customer, or is new if the text is not learnt from; likewise a word. Restaurants'
 totals follow from the counts of words.
 
-Seatings are rows (context, word, count, sizes); totals by context and by word are tables
+Seatings are rows (context, word, count, tables); totals by context and by word are tables
 of their own. Those of the ``heavy`` most frequent words, and the ``pairs`` most frequent
 pairs of these, are broadcast (fixed bounds): caches only, all others are joined, so no
 join has a hot key. The tokens that need a join are looked up in ``slices`` by hash of
@@ -55,7 +56,6 @@ from .common import Scratch, Sketch, give_back, lower_ascii, merge_sketch, mix,
 HEAVY = 1 << 17
 PAIRS = 1 << 21
 SWEEPS, BURN = 4, 1
-MOVES = 32
 #: where discounts and strengths are drawn
 DISCOUNTS, STRENGTHS = tuple(np.round(np.linspace(0.05, 0.95, 19), 2)), tuple(np.round(np.geomspace(0.1, 100.0, 16), 4))
 END = np.uint64(0x9D2C5680EFC60000)  # the end token
@@ -63,7 +63,10 @@ BEGIN = np.uint64(0x6A09E667F3BCC908)  # the context at a text's beginning
 FLUSH = 1_500_000
 CELLS = 1 << 20  # places at tables that are laid out at a time
 SLICES = 6  # of the pairs to look up, one after the other, so that only one of them is shuffled and stored at a time
-WHOLE = 64  # customers of a dish that are taken out together
+WHOLE = 64  # customers of a dish that ``gibbs`` takes out together
+TABLE = 1024  # customers up to which Stirling numbers are tabled, 8 MB a discount
+NODES, POINTS = 33, 16  # of an integral, and of a function that is interpolated
+WIDTHS = np.unique(np.round(2 ** (np.arange(2, 21) / 2)).astype(np.int64))  # cells that dishes of like size are laid out in
 CELLS_PER_PAIR, MOST_BITS = 2.0, 28
 _U = np.uint64
 
@@ -314,19 +317,144 @@ def stirling(discount: float) -> np.ndarray:
     return out
 
 
+@lru_cache(4)
+def log_stirling_table(discount: float) -> np.ndarray:
+    """Logarithms of ``stirling`` up to TABLE customers."""
+    out = np.full((TABLE + 1, TABLE + 1), -np.inf)
+    out[0, 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(TABLE):
+            stay = np.log(np.maximum(c - discount * np.arange(1, c + 2), 0))
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], stay + out[c, 1 : c + 2])
+    return out
+
+
+def _slopes(eta: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """At x = 1 / (1 + exp(-eta)), with D = x d/dx: x / (1 - x), log x, and D and D D of
+    the logarithm of phi(x) / x (see ``log_way``)."""
+    p, log_y = np.exp(eta), -np.logaddexp(0, eta)
+    r = d * np.exp(eta + d * log_y) / -np.expm1(d * log_y)
+    small, first = p < 1e-5, (1 - d) * p / 2
+    return p, eta + log_y, np.where(small, first, r - 1), np.where(small, first, r * (1 + (1 - d) * p - r))
+
+
+def log_way(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithm of S(c, t) * gamma(t) / gamma(c), S being the generalised Stirling numbers:
+    the coefficient of x**(c - t) in (phi(x) / x)**(t - 1) * (1 - x)**(d - 1), where phi(x) =
+    (1 - (1 - x)**d) / d. Cauchy's integral over s = log x, by the trapezoidal rule, on a
+    hyperbola through the saddle point that opens around the cut; on the whole circle where
+    c - t is a few. Ten digits."""
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    left, eta = np.maximum(c - t, 0.5), np.zeros(len(c))
+    eta = np.log(left / ((t - 1) * (1 - d) / 2 + 1 - d))
+    for _ in range(60):
+        p, _, q1, q2 = _slopes(eta, d)
+        f = (t - 1) * q1 + (1 - d) * p
+        step = np.clip(np.log(left / f) * f * (1 + p) / ((t - 1) * q2 + (1 - d) * p * (1 + p)), -20, 20)
+        eta = eta + step
+        if np.abs(step).max(initial=0) < 1e-9:
+            break
+    p, s0, q1, q2 = _slopes(eta, d)
+    q3 = np.where(p < 1e-5, q2, q2 * (1 + (1 - d) * p - q1 - 1) + (q1 + 1) * ((1 - d) * p * (1 + p) - q2))
+    second = (t - 1) * q2 + (1 - d) * p * (1 + p)
+    third = (t - 1) * q3 + (1 - d) * p * (1 + p) * (1 + 2 * p)
+    width, b = 1 / np.sqrt(second), 1.2 * 3 * second / np.maximum(third, 1e-300)
+    ring = 12 * width >= np.pi
+    reach = np.arcsinh(8.5 * width / b)
+    reach = np.where(s0 > -1, np.maximum(reach, np.arccosh(1 + 32 / (left * 1.2 * b))), reach)
+    reach = np.minimum(reach, np.arcsinh(np.pi / b))
+    v = np.linspace(0, 1, NODES)
+    sinh, cosh = np.sinh(v * reach[:, None]), np.cosh(v * reach[:, None])
+    s = s0[:, None] + b[:, None] * (1j * sinh + 1.2 * (cosh - 1))
+    ds = b[:, None] * (cosh - 1.2j * sinh) * (reach[:, None] / (NODES - 1))
+    s[ring], ds[ring] = s0[ring, None] + 1j * np.pi * v, np.pi / (NODES - 1)
+    ds[:, 0] /= 2
+    ds[ring, -1] /= 2
+    x = np.exp(s)
+    u, low = np.empty_like(x), s0 < -0.7  # log(1 - x)
+    u[low] = 0.5 * np.log1p(x[low].real * (x[low].real - 2) + x[low].imag ** 2) + 1j * np.arctan2(-x[low].imag, 1 - x[low].real)
+    u[~low] = np.log(-np.expm1(s[~low]))
+    g = (t[:, None] - 1) * np.log(-np.expm1(d * u) / (d * x)) + (d - 1) * u - (c - t)[:, None] * s
+    top = g[:, 0].real
+    return np.where(c > t, top + np.log(np.maximum((np.exp(g - top[:, None]) * ds).real.sum(1) / np.pi, 1e-300)), 0.0)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers, 1 <= t <= c."""
+    out, few = np.empty(len(c)), c <= TABLE
+    out[few] = log_stirling_table(float(d))[c[few], t[few]]
+    many = np.flatnonzero(~few)
+    for lo in range(0, len(many), CELLS // NODES):
+        rows = many[lo : lo + CELLS // NODES]
+        out[rows] = log_way(c[rows], t[rows], d) + _lgamma(c[rows]) - _lgamma(t[rows])
+    return out
+
+
+@lru_cache(32)
+def _through(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places among ``width`` cells, and the matrix that takes values there, of a smooth
+    function, to all cells."""
+    if width <= 2 * POINTS:
+        return np.arange(width), np.eye(width)
+    at = np.round((width - 1) * (1 - np.cos(np.pi * np.arange(POINTS) / (POINTS - 1))) / 2).astype(np.int64)
+    cells = np.polynomial.chebyshev.chebvander(2 * np.arange(width) / (width - 1) - 1, POINTS - 1)
+    return at, np.linalg.solve(cells[at].T, cells.T)
+
+
+def _chosen(log_odds: np.ndarray, key: np.ndarray) -> np.ndarray:
+    odds = np.cumsum(np.exp(log_odds - log_odds.max(1, keepdims=True)), 1)
+    return np.minimum((odds <= (_uniform(key, 1) * odds[:, -1])[:, None]).sum(1), odds.shape[1] - 1)
+
+
 def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, key: np.ndarray) -> np.ndarray:
-    """All customers of each dish, WHOLE at most, are taken out and seated again together:
-    the number of their tables, drawn given those of the restaurant's other dishes."""
+    """All customers of each dish are taken out and seated again together: the number of
+    their tables, drawn given those of the restaurant's other dishes, with odds S(c, t)
+    times the masses of the tables opened. Up to TABLE customers all t are weighed; of more,
+    a window around the mode beyond which less than 1e-12 lies."""
     tables = np.minimum(c, 1).astype(np.int64)
-    for m in np.unique(c[c > 1]).tolist():
-        every, ways = np.flatnonzero(c == m), np.log(stirling(discount)[m, 1 : m + 1])
-        for lo in range(0, len(every), max(1, CELLS // m)):
-            rows = every[lo : lo + max(1, CELLS // m)]
+    kind = np.searchsorted(WIDTHS, c)
+    for m in np.unique(kind[(c > 1) & (c <= TABLE)]).tolist():
+        every, m = np.flatnonzero((kind == m) & (c > 1)), int(WIDTHS[m])
+        step, ways = max(1, CELLS // m), log_stirling_table(float(discount))[:, 1 : m + 1]
+        for lo in range(0, len(every), step):
+            rows = every[lo : lo + step]
             odds = np.zeros((len(rows), m))
             np.cumsum(np.log((strength + discount * (others[rows, None] + np.arange(1, m))) * base[rows, None]), 1, out=odds[:, 1:])
-            odds += ways
-            odds = np.cumsum(np.exp(odds - odds.max(1, keepdims=True)), 1)
-            tables[rows] = np.minimum((odds <= (_uniform(key[rows], 1) * odds[:, -1])[:, None]).sum(1), m - 1) + 1
+            tables[rows] = _chosen(odds + ways[c[rows]], key[rows]) + 1
+    many = np.flatnonzero(c > TABLE)
+    if not len(many):
+        return tables
+    d, n = discount, c[many].astype(float)
+    rest, p_new = others[many] + strength / d, np.minimum(base[many], 1 - 1e-9)
+
+    def mode(eta: np.ndarray) -> np.ndarray:
+        share = p_new * -np.expm1(-d * np.logaddexp(0, eta))
+        return np.maximum(rest * share / (1 - share), 1.0)
+
+    low, high = np.full(len(many), -60.0), np.log(n / (1 - d)) + 1
+    for _ in range(50):
+        eta = (low + high) / 2
+        p, _, q1, _ = _slopes(eta, d)
+        t = mode(eta)
+        over = t + (t - 1) * q1 + (1 - d) * p > n
+        low, high = np.where(over, low, eta), np.where(over, eta, high)
+    t, (p, _, q1, q2) = mode(low), _slopes(low, d)
+    bend = (q1 + 1) ** 2 / ((t - 1) * q2 + (1 - d) * p * (1 + p)) + 1 / t - 1 / (rest + t)
+    wide = 18 / np.sqrt(np.maximum(bend, 4 / n)) + 24
+    wide = 1 << np.ceil(np.log2(wide)).astype(np.int64)
+    first = np.maximum(np.minimum(np.round(t).astype(np.int64) - wide // 2, c[many] - wide + 1), 1)
+    for w in np.unique(wide).tolist():
+        every, (at, through) = np.flatnonzero(wide == w), _through(w)
+        step = max(1, CELLS // max(w, NODES * len(at)))
+        for lo in range(0, len(every), step):
+            i = every[lo : lo + step]
+            asked, ns = (first[i, None] + at).astype(float), np.repeat(n[i], len(at))
+            # smooth, so that it may be interpolated: times the factorial of c - t
+            odds = (log_way(ns, asked.ravel(), d) + _lgamma(ns - asked.ravel() + 1)).reshape(len(i), -1) @ through
+            t = first[i, None] + np.arange(w - 1.0)
+            opened = np.log((rest[i, None] + t) / t * (n[i, None] - t)) + np.log(d * base[many[i]])[:, None]
+            odds[:, 1:] += np.cumsum(opened, 1)
+            tables[many[i]] = first[i] + _chosen(odds, key[many[i]])
     return tables
 
 
@@ -469,33 +597,6 @@ def _sweep(s: np.ndarray, want: np.ndarray, moves: int, base: np.ndarray, others
         done += 1
 
 
-def _seated_again(
-    c: np.ndarray, before: np.ndarray, tables: np.ndarray, sizes: pa.Array, mass: np.ndarray | None, moves: int,
-    base: np.ndarray, others: np.ndarray, discount: float, strength: float, key: np.ndarray,
-) -> tuple[np.ndarray, pa.Array]:
-    """Tables of each dish after a sweep, and their sizes, which are kept where there are
-    more than WHOLE customers; of fewer, all are seated anew, which needs no sizes. In the
-    first sweep ``mass`` is given and sizes are laid out by it."""
-    t, few, many = tables.astype(np.int64), np.flatnonzero(c <= WHOLE), np.flatnonzero(c > WHOLE)
-    t[few] = draw_tables(c[few], base[few], others[few], discount, strength, key[few])
-    if mass is not None:
-        size, off = first_sizes(c[many], seat(c[many], base[many], np.full(len(many), discount), mass[many], ~key[many]), discount)
-    else:
-        size, off = _ragged(sizes.take(pa.array(many)))
-        grown = np.flatnonzero(np.diff(off) == 0)  # had no more than WHOLE
-        if len(grown):
-            z = partition(before[many[grown]], tables[many[grown]], discount, ~key[many[grown]])
-            i, k = np.nonzero(z)
-            at = np.append(np.repeat(np.arange(len(many)), np.diff(off)), grown[i])
-            size = np.append(size, z[i, k].astype(np.int64))[np.argsort(at, kind="stable")]
-            off = np.append(0, np.cumsum(np.bincount(at, minlength=len(many))))
-    size, off = gibbs(size, off, c[many], moves, base[many], others[many], discount, strength, key[many])
-    t[many] = np.diff(off)
-    kept = np.zeros(len(c), np.int64)
-    kept[many] = t[many]
-    return t, _lists(size, np.append(0, np.cumsum(kept)))
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function of positive numbers (Stirling's series from 8 on)."""
     x = np.asarray(x, float)
@@ -511,18 +612,17 @@ Histogram = tuple[np.ndarray, np.ndarray]  # values and how often each occurs
 
 def draw_level(
     sizes: Histogram, tables: Histogram, customers: Histogram, discount: float, strength: float, seed: int, discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS,
-    few: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+    ways: np.ndarray | None = None,
 ) -> tuple[float, float]:
     """Discount and strength of a level, each drawn given the other and all seatings:
-    ``sizes`` of tables and, where only their number is kept, ``few`` customers, their
-    tables, and how often."""
+    ``sizes`` of tables or, where only their numbers are kept, the summed logarithms of the
+    ``ways`` to share them, of each of the discounts."""
     (s, ns), (t, nt), (c, nc) = sizes, tables, customers
     rng = np.random.default_rng(seed)
 
     def log_odds(d: float, a: float) -> float:
         opened = ((t - 1) * np.log(d) + _lgamma(a / d + t) - _lgamma(a / d + 1)) @ nt
-        ways = np.log(stirling(float(d))[few[0], few[1]]) @ few[2] if few is not None else 0.0
-        return opened - (_lgamma(a + c) - _lgamma(a + 1)) @ nc + (_lgamma(s - d) - _lgamma(1 - d)) @ ns + ways
+        return opened - (_lgamma(a + c) - _lgamma(a + 1)) @ nc + (_lgamma(s - d) - _lgamma(1 - d)) @ ns + (ways[discounts.index(d)] if ways is not None else 0.0)
 
     def drawn(values: tuple, odds: list[float]) -> float:
         p = np.exp(np.array(odds) - max(odds))
@@ -545,19 +645,25 @@ def _histogram(rows: DataFrame, value, more: dict[int, float]) -> Histogram:
     return np.array(list(got), float), np.array(list(got.values()), float)
 
 
-def _seatings(rows: DataFrame, c: str, t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Customers, tables and how often, of dishes with 2 to WHOLE customers."""
-    got = rows.where(F.col(c).between(2, WHOLE)).groupBy(c, t).count().toArrow()  # under WHOLE**2 rows
-    return got[c].to_numpy(), got[t].to_numpy(), got["count"].to_numpy().astype(float)
-
-
-def _lists(sizes: np.ndarray, off: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(sizes, pa.int64()))
+def _ways(rows: DataFrame, c: str, t: str, discounts: tuple) -> np.ndarray:
+    """The summed logarithms of the ways to seat each row's customers at its tables, of each
+    discount. Unlike pairs of customers and tables are weighed once, those of more than
+    TABLE customers in tasks."""
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c_, t_, n = (x.to_numpy() for x in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(discounts)), pa.int32()), pa.array([float(log_stirling(c_, t_, d) @ n) for d in discounts])], names=["k", "ways"])
+        give_back()
 
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    n = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
-    return column.flatten().to_numpy().astype(np.int64), n
+    alike = rows.where(f"{c} > 1").groupBy(F.col(c).alias("c"), F.col(t).alias("t")).count()
+    few = alike.where(F.col("c") <= TABLE).toArrow()  # under TABLE**2 / 2 rows, of numbers only
+    c_, t_, n = (few[x].to_numpy() for x in ("c", "t", "count"))
+    out = np.array([log_stirling(c_, t_, d) @ n for d in discounts], float)
+    many = alike.where(F.col("c") > TABLE).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    for k, x in many.mapInArrow(weigh, "k int, ways double").groupBy("k").agg(F.sum("ways")).collect():  # one row a discount
+        out[k] += x
+    return out
 
 
 @dataclass
@@ -586,7 +692,7 @@ class Model:
 
 
 def train(
-    pairs: DataFrame, counts: DataFrame, lexicon: Lexicon, scratch: Scratch, sweeps: int = SWEEPS, burn: int = BURN, moves: int = MOVES,
+    pairs: DataFrame, counts: DataFrame, lexicon: Lexicon, scratch: Scratch, sweeps: int = SWEEPS, burn: int = BURN,
     discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS,
 ) -> Model:
     """Sweeps over the stored tables of ``pair_counts`` and ``word_counts``. Of each, the
@@ -605,15 +711,14 @@ def train(
         return rows.select(key, F.coalesce("hot", F.lit(False)).alias(f"hot_{key}"), n, one.alias("one"), (one + F.coalesce("pairs", F.lit(0))).alias("t"))
 
     contexts = scratch.store(totals(counts.select(F.when(F.col("w") == end, begin).otherwise(F.col("w")).alias("u"), F.col("c").alias("n")), "u", "n"), "contexts")
-    none = F.array().cast("array<long>")
-    words = scratch.store(totals(counts, "w", "c").select("w", "hot_w", "c", "one", F.col("t").alias("customers"), F.col("t").alias("before"), F.lit(1).cast("long").alias("tables"), none.alias("sizes")), "words")
+    words = scratch.store(totals(counts, "w", "c").select("w", "hot_w", "c", "one", F.col("t").alias("customers"), F.lit(1).cast("long").alias("tables")), "words")
     stored_words = words
     n, v, total = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.sum("customers")).first())
     n, v, total, total_tables = n + alone, v + alone, total + alone, v + alone
     customers = _histogram(contexts, F.col("n"), {1: alone} if alone else {})
     leaf, top = Level(float(np.median(discounts)), float(strengths[len(strengths) // 2])), Level(float(np.median(discounts)), float(strengths[len(strengths) // 2]))
     many, levels, single, unseen = sweeps - burn, [], [], []
-    seats = pairs.where("c > 1").select("u", "w", "hot_u", "hot_w", "c", F.lit(0.0).alias("own"), F.lit(1).cast("long").alias("tables"), none.alias("sizes"))
+    seats = pairs.where("c > 1").select("u", "w", "hot_u", "hot_w", "c", F.lit(0.0).alias("own"), F.lit(1).cast("long").alias("tables"))
     stored_seats = None
 
     def below() -> float:
@@ -631,13 +736,13 @@ def train(
                 p, seed = shared.value.fill("base", w, batch.column("base")), mix(w ^ mix(u + _U(1000 * k)))
                 now = batch.column("tables").to_numpy()
                 others = np.maximum(t - now, 0)  # at first each dish has counted as one table
-                now, sizes = _seated_again(c, c, now, batch.column("sizes"), a + d * t if k == 1 else None, moves, p, others, d, a, seed)
+                now = draw_tables(c, p, others, d, a, seed)
                 own = batch.column("own").to_numpy() + ((c - d * now) / (a + n_) / many if k > burn else 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own), pa.array(now), sizes], names=batch.schema.names[:8])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own), pa.array(now)], names=batch.schema.names[:7])
             give_back()
 
         found = _looked_up(_looked_up(seats, "u", contexts.where("not hot_u").select("u", F.col("n").cast("double").alias("n"), F.col("t").cast("double").alias("t"))), "w", base.where("not hot_w").drop("hot_w"))
-        found = found.select("u", "w", "hot_u", "hot_w", "c", "own", "tables", "sizes", "n", "t", "base")
+        found = found.select("u", "w", "hot_u", "hot_w", "c", "own", "tables", "n", "t", "base")
         now = scratch.store(found.mapInArrow(sit, seats.schema), "seats")
         scratch.drop(stored_seats)
         seats = stored_seats = now
@@ -652,15 +757,13 @@ def train(
         def root(batches: Iterator[pa.RecordBatch], k: int = k, d: float = top.discount, a: float = top.strength, in_all: float = float(total_tables), p: float = 1.0 / (v + 1)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 w, c, before = _key(batch, "w"), batch.column("customers").to_numpy(), batch.column("tables").to_numpy()
-                seed, base_ = mix(w ^ _U(76 + k)), np.full(len(w), p)
-                mass = np.full(len(w), a + d * in_all) if k == 1 else None
-                now, sizes = _seated_again(c, batch.column("before").to_numpy(), before, batch.column("sizes"), mass, moves, base_, in_all - before, d, a, seed)
-                columns = {"tables": pa.array(now), "sizes": sizes}
+                now = draw_tables(c, np.full(len(w), p), in_all - before, d, a, mix(w ^ _U(76 + k)))
+                columns = {"tables": pa.array(now)}
                 yield pa.RecordBatch.from_arrays([columns.get(x, batch.column(x)) for x in batch.schema.names], names=batch.schema.names)
             give_back()
 
         kept = [c for c in words.columns if c.startswith("root")]
-        now = words.join(seats.groupBy("w").agg(opened), "w", "left").select("w", "hot_w", "c", "one", F.col("customers").alias("before"), total_of.alias("customers"), "tables", "sizes", *kept)
+        now = words.join(seats.groupBy("w").agg(opened), "w", "left").select("w", "hot_w", "c", "one", total_of.alias("customers"), "tables", *kept)
         now = scratch.store(now.mapInArrow(root, now.schema), "words")
         scratch.drop(stored_words)
         stored_words = words = now
@@ -672,12 +775,10 @@ def train(
             single.append((1 - top.discount + below()) / (top.strength + total) / many)
             unseen.append(below() / (top.strength + total) / many)
         if k < sweeps and n:
-            one = np.ones(1)
-            each = _histogram(seats.select(F.explode("sizes").alias("s")), F.col("s"), {})
-            leaf = Level(*draw_level(each, _histogram(contexts, F.col("t"), {1: alone}), customers, leaf.discount, leaf.strength, 2 * k, discounts, strengths, _seatings(seats, "c", "tables")))
-            each = _histogram(words.select(F.explode("sizes").alias("s")), F.col("s"), {})
-            top = Level(*draw_level(each, (one * total_tables, one), (one * total, one), top.discount, top.strength, 2 * k + 1, discounts, strengths, _seatings(words, "customers", "tables")))
-    whole = pairs.where("c < 2").withColumn("own", F.lit(None).cast("double")).unionByName(seats.drop("tables", "sizes"))
+            one, none = np.ones(1), (np.zeros(0), np.zeros(0))
+            leaf = Level(*draw_level(none, _histogram(contexts, F.col("t"), {1: alone}), customers, leaf.discount, leaf.strength, 2 * k, discounts, strengths, _ways(seats, "c", "tables", discounts)))
+            top = Level(*draw_level(none, (one * total_tables, one), (one * total, one), top.discount, top.strength, 2 * k + 1, discounts, strengths, _ways(words, "customers", "tables", discounts)))
+    whole = pairs.where("c < 2").withColumn("own", F.lit(None).cast("double")).unionByName(seats.drop("tables"))
     return Model(
         whole, contexts.select("u", "hot_u", F.col("n").cast("double").alias("n"), *[f"back{i}" for i in range(many)]),
         words.select("w", "hot_w", F.col("c").cast("double").alias("cw"), *[f"root{i}" for i in range(many)]), levels, single, unseen, n, v,
@@ -760,7 +861,7 @@ def _single(n: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 
 def score(
-    docs: DataFrame, training: DataFrame | str, heavy: int = HEAVY, sweeps: int = SWEEPS, burn: int = BURN, pairs: int = PAIRS, moves: int = MOVES,
+    docs: DataFrame, training: DataFrame | str, heavy: int = HEAVY, sweeps: int = SWEEPS, burn: int = BURN, pairs: int = PAIRS,
     discounts: tuple = DISCOUNTS, strengths: tuple = STRENGTHS, slices: int = SLICES,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score, one row per row of
@@ -778,7 +879,7 @@ def score(
     top = by_word.where("w is not null").orderBy(F.desc("c"), "w").select("w").limit(heavy).toArrow()["w"].to_numpy()  # `heavy` rows
     lexicon = Lexicon(np.unique(np.append(top.astype(np.int64).view(_U), BEGIN)))
     counts = scratch.store(pair_counts(every, lexicon, sketch), "pair-counts")
-    model = train(counts, by_word, lexicon, scratch, sweeps, burn, moves, discounts, strengths)
+    model = train(counts, by_word, lexicon, scratch, sweeps, burn, discounts, strengths)
     n, total, many = model.n_tokens, model.n_tokens + model.vocabulary + 1, sweeps - burn
     hot = _hot(lexicon, (model.contexts.where("hot_u").drop("hot_u"), "u"), (model.words.where("hot_w").drop("hot_w"), "w"))
     none = np.zeros(0)
