@@ -495,6 +495,15 @@ def test_language_model_looks_up_a_slice_of_the_pairs_at_a_time(spark, monkeypat
     assert len(sizes) == 3 and sum(sizes) == whole and max(sizes) < 0.6 * whole
 
 
+def test_language_model_looks_its_texts_up_once(spark):
+    """Sums of texts are stored when the tokens to join are, so the result does not tokenise again."""
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, ""), (2, ""), (None, "c d")], "doc_id long, text string").withColumn("learns", F.col("doc_id") == 1)
+    out = hpylm.score(docs, "learns", heavy=2, sweeps=2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and out.count() == 4
+    assert sorted(r.n_tokens for r in out.collect()) == [1, 1, 3, 6]
+
+
 def test_language_model_sums_to_one(spark):
     """The probabilities of all words, of the unknown word and of the end add up to 1
     behind every context. With s(x) = P(x | begin) P(end | x) and s(xw), the ends behind

@@ -925,39 +925,34 @@ def score(
 
     ids = docs.select("doc_id", F.coalesce(F.xxhash64("text", "learns"), F.lit(0)).alias("fp"), "text", "learns")
 
-    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
-        learns = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, h, first in tokens(batch.column(2)):
-            u, doc = contexts_of(h, first), np.repeat(np.arange(len(first) - 1), np.diff(first))
-            yield lo, h, u, first, doc, learns[lo + doc], shared.value.find(h, u, learns[lo + doc], sketch)
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text a row of sums over the tokens that are known here, and a row of each of the others."""
+        schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "fp", "u", "w")] + [("hot", pa.int32()), ("pair", pa.bool_()), ("n_tokens", pa.int64()), ("n_near", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+        def rows(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(columns["fp"])
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, _, first, doc, _, x in found(batch):
+            fps, learn = batch.column(1).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, h, first in tokens(batch.column(2)):
                 k = len(first) - 1
+                u, doc = contexts_of(h, first), np.repeat(np.arange(k), np.diff(first))
+                learns = learn[lo + doc]
+                x = shared.value.find(h, u, learns, sketch)
                 base = np.where(x.near_w, np.log10((x.count + 1) / total), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, k), batch.column(1).slice(lo, k), pa.array(np.diff(first)),
-                        pa.array(np.bincount(doc[x.count > 0], minlength=k)), pa.array(np.bincount(doc, base, k)), pa.array(np.bincount(doc, x.logp, k)),
-                    ],
-                    names=["doc_id", "fp", "n_tokens", "n_near", "base", "score"],
+                yield rows(
+                    doc_id=batch.column(0).slice(lo, k), fp=batch.column(1).slice(lo, k), n_tokens=pa.array(np.diff(first)),
+                    n_near=pa.array(np.bincount(doc[x.count > 0], minlength=k)), base=pa.array(np.bincount(doc, base, k)), score=pa.array(np.bincount(doc, x.logp, k)),
                 )
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(1).to_numpy()
-            for lo, h, u, _, doc, learns, x in found(batch):
                 away = np.flatnonzero(~x.hit)
                 doc = doc[away] + lo
-                hot = x.near_u[away] + 2 * x.near_w[away] + 4 * learns[away]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(doc)), pa.array(fps[doc]), pa.array(u[away].view(np.int64)), pa.array(h[away].view(np.int64)),
-                        pa.array(hot, pa.int32()), pa.array(x.pair[away]),
-                    ],
-                    names=["doc_id", "fp", "u", "w", "hot", "pair"],
+                hot = (x.near_u[away] + 2 * x.near_w[away] + 4 * learns[away]).astype(np.int32)
+                yield rows(
+                    doc_id=batch.column(0).take(pa.array(doc)), fp=pa.array(fps[doc]), u=pa.array(u[away].view(np.int64)), w=pa.array(h[away].view(np.int64)),
+                    hot=pa.array(hot), pair=pa.array(x.pair[away]),
                 )
+        give_back()
 
     def new_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -969,8 +964,9 @@ def score(
             logp = filler.value.new_pair(n_, back, filler.value.roots(root, once_w, learns), learns)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "fp", "hot_w", "cw")), pa.array(logp)], names=["doc_id", "fp", "hot_w", "cw", "logp"])
 
-    each = ids.mapInArrow(summary, "doc_id long, fp long, n_tokens long, n_near long, base double, score double")
-    away = scratch.store(ids.mapInArrow(rare, "doc_id long, fp long, u long, w long, hot int, pair boolean"), "away")
+    both = scratch.store(ids.mapInArrow(looked_up, "doc_id long, fp long, u long, w long, hot int, pair boolean, n_tokens long, n_near long, base double, score double"), "away")
+    each = scratch.store(both.where("n_tokens is not null").select("doc_id", "fp", "n_tokens", "n_near", "base", "score"), "texts")
+    away = both.where("n_tokens is null").select("doc_id", "fp", "u", "w", "hot", "pair")
     light, parts = ~F.col("hot_w"), []
     for k in range(slices):
 
@@ -995,7 +991,7 @@ def score(
         )
         parts.append(scratch.store(sums, "away-sums"))
         scratch.drop(asked)
-    scratch.drop(known, away, *model.stored)
+    scratch.drop(known, both, *model.stored)
     sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias("d2"), F.col("fp").alias("f2"))
     sums = scratch.store(sums.agg(*(F.sum(x).alias(x) for x in ("more_known", "more_base", "more"))), "away-sums")
     scratch.drop(*parts)
