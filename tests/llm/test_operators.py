@@ -92,6 +92,32 @@ def test_sketch_never_misses_a_repeat(spark):
     assert sketch.repeated(h[:1000]).all() and sketch.repeated(h[6000:]).mean() < 0.1
 
 
+def test_only_repeats_fill_a_repeat_filter(spark):
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 4_000_000, dtype=np.uint64) << np.uint64(1)
+    h[2_000_000:2_002_000] = h[:2000]
+    h[3_000_000:3_000_070] = h[7]
+    space = common.cell_space(len(h))
+    parts = [p for k in range(0, len(h), 900_000) for p in common.cell_parts(h[k : k + 900_000], space)]
+    sketch = common.repeat_filter(spark.createDataFrame([(b, bytearray(p)) for b, p in parts], "block int, payload binary"), space, 8.0, 20, 1, (2, 8, 64))
+    assert (sketch.level(h[:2000]) > 0).all() and sketch.level(h[7:8])[0] == 3
+    assert (sketch.level(h[2000:2_000_000]) > 0).mean() < 0.08  # a sketch of 2**20 cells that counts all values calls every one repeated
+
+
+def test_single_windows_do_not_fill_the_sketch_of_passages(spark, monkeypatch):
+    """Three windows a cell: at any size, what is sent are the repeated ones and few more."""
+    monkeypatch.setattr(substring, "MOST_BITS", 20)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 200_000).tolist())) for _ in range(16)]
+    texts[1] = " ".join(texts[0].split()[500:1000]) + " " + texts[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sketch = substring.repeat_sketch(docs, 20)
+    own = [np.concatenate([h1 for *_, h1, _ in substring._windows(pa.array([t]), 20, False)]) for t in texts[1:3]]
+    assert sketch.repeated(own[0][:481]).all() and sketch.repeated(own[1]).mean() < 0.05
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs).collect()}
+    assert got == {i: (200_500 if i == 1 else 200_000, 500 if i == 1 else 0) for i in range(16)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)]

@@ -1,14 +1,15 @@
 """Removal of repeated passages: windows of 20 words, exact, behind a count-min filter.
 
-Pass one hashes every window inside tasks and sends each task's counts, saturated at
-two, as compressed cells; merged block by block they overestimate each window's count.
+Pass one hashes every window inside tasks and sends each task's counts as compressed
+cells, so many that hardly two windows share one; they are merged block by block, and
+the cells that occur again fill the sketch, which overestimates each window's count.
 Pass two sends only windows estimated repeated, and groups them exactly by a 96-bit
 hash: the smallest document that has each. The minimum is combined before the shuffle,
 so a passage shared by any share of the documents meets in one task only as one row per
 task. The last pass gives each document the windows which it has first, and removes
 words covered by other repeated windows. A window that occurs twice is never lost,
-however full the sketch is; beyond 2**28 windows the sketch fills up and ever more
-single windows take the second pass too, with the same result.
+however full the sketch is; only windows that are repeated fill it, so single ones take
+the second pass in the same small share at any size, up to 2**28 unlike repeated windows.
 
 Defined results: a null or empty text has no words; texts of under 20 words have no
 windows and keep all; rows with the same doc_id do not take words from each other; a
@@ -26,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, merge_sketch, ranges, sketch_bits, sketch_parts, stored, text_chunks, window_hashes, word_hashes, word_spans
+from .common import FLUSH, Sketch, cell_parts, cell_space, give_back, ranges, repeat_filter, stored, text_chunks, window_hashes, word_hashes, word_spans
 
 WINDOW = 20
-CELLS_PER_WINDOW, MOST_BITS, DEPTH = 1.5, 28, 2
-FLUSH = 1_500_000  # hashes which a task holds before it sends its counts
+CELLS_PER_REPEAT, MOST_BITS, DEPTH = 8.0, 28, 2
 
 
 def _windows(texts: pa.Array, k: int, seed2: bool) -> Iterator[tuple]:
@@ -52,15 +52,15 @@ def _pairs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out.view("S16").ravel()
 
 
-def repeat_sketch(docs: DataFrame, window: int):
+def repeat_sketch(docs: DataFrame, window: int) -> Sketch:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(n_bytes // 6, CELLS_PER_WINDOW, MOST_BITS)
+    space = cell_space(n_bytes // 6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            parts = list(sketch_parts(np.concatenate(held), bits, DEPTH)) if held else []
+            parts = list(cell_parts(np.concatenate(held), space)) if held else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "payload"]
             )
@@ -75,7 +75,7 @@ def repeat_sketch(docs: DataFrame, window: int):
         yield flush()
         give_back()
 
-    return merge_sketch(docs.select("text").mapInArrow(count, "block int, payload binary"), bits, DEPTH)
+    return repeat_filter(docs.select("text").mapInArrow(count, "block int, payload binary"), space, CELLS_PER_REPEAT, MOST_BITS, DEPTH)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
