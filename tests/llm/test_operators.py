@@ -244,6 +244,20 @@ def test_ngram_join(docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_documents_of_their_own_send_nothing_beside_many_others(spark, monkeypatch):
+    """Three shingles a cell of the largest sketch: still only near copies are sent."""
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 20)
+    sent, keyed = [], ngram_join._keyed
+    monkeypatch.setattr(ngram_join, "_keyed", lambda *a: sent.append(keyed(*a)) or sent[0])
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 20_000).tolist())) for _ in range(160)]
+    texts[9] = texts[3] + " more"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: 3 if i == 9 else i for i in range(160)}
+    assert sent[0].count() == 2
+
+
 def test_ngram_tiles_find_what_pivots_do_not(spark):
     """Documents which share a passage and fall into several groups around it."""
     rng = random.Random(9)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, Sketch, components, give_back, lower_ascii, merge_sketch, mix, ranges, sketch_bits, sketch_parts, text_chunks, window_hashes, word_hashes, word_spans
+from .common import FLUSH, Scratch, Sketch, Space, cell_parts, cell_space, components, give_back, lower_ascii, mix, ranges, repeat_filter, text_chunks, window_hashes, word_hashes, word_spans
 from .tiles import Roots, binary16, pairs_behind, salts_of, tiled, whole_groups
 
 WORDS = 5
@@ -53,9 +53,8 @@ PERCENT = 80
 BITS_PER_SHINGLE = 16
 FEW = 8
 PIVOT_SEEDS = (11, 12)
-CELLS_PER_SHINGLE, MOST_BITS = 1.0, 27
+CELLS_PER_REPEAT, MOST_BITS = 2.0, 29
 LEVELS = (2, 8, 64)
-FLUSH = 1_500_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -111,14 +110,14 @@ def _long_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _survey(docs: DataFrame, bits: int) -> DataFrame:
-    """One pass: (doc_id, n, sid) of every document, and the sketch's parts."""
+def _survey(docs: DataFrame, space: Space) -> DataFrame:
+    """One pass: (doc_id, n, sid) of every document, and the parts of all shingles' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
-            parts = list(sketch_parts(np.concatenate(held), bits, 1))
+            parts = list(cell_parts(np.concatenate(held), space))
             none = [pa.nulls(len(parts), t) for t in (kind, pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
 
@@ -396,10 +395,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     type that has an order; component_id is of the same."""
     docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(n_bytes // 6, CELLS_PER_SHINGLE, MOST_BITS)
-    survey = scratch.store(_survey(docs, bits), "survey")
-    each = survey.where("block is null").select("doc_id", "n", "sid")
-    sketch = merge_sketch(survey.where("block is not null"), bits, 1, LEVELS)
+    space = cell_space(n_bytes // 6)
+    survey = scratch.store(_survey(docs, space), "survey")
+    sketch = repeat_filter(survey.where("block is not null"), space, CELLS_PER_REPEAT, MOST_BITS, 1, LEVELS)
+    each = scratch.store(survey.where("block is null").select("doc_id", "n", "sid"), "each")
+    scratch.drop(survey)
 
     sets = scratch.store(_keyed(docs, sketch, percent).dropDuplicates(["sid"]), "sets")
     keys = scratch.store(sets.select(F.posexplode("keys").alias("pos", "h"), "sid", "n", "n_index").select("h", "sid", "n", (F.col("pos") < F.col("n_index")).alias("index")), "keys")
